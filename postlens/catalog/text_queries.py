@@ -40,8 +40,8 @@ FLAT_SQL = "* REPLACE (array_to_string(skills_extracted, '|') AS skills_extracte
 
 @query(f"SELECT page_id, {checks.clean_sql('html')} AS text FROM pages")
 def clean_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.table(spark, sf_dir, "pages").select(
-        "page_id", text.clean_text(F.col("html")).alias("text"))
+    pages = inputs.table(spark, sf_dir, "pages")
+    return text.with_clean_text(pages, "html", "text").select("page_id", "text")
 
 
 FANCY = "replace(replace(replace(replace(text, '.', '…'), ',', '—'), 'e ', '’ '), ' a', ' “')"
@@ -63,7 +63,8 @@ INJECTED = """concat('Intro. THIS job is with Acme, a myGwork partner.', chr(10)
   AS text FROM documents""")
 def boilerplate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.drop_boilerplate(F.expr(INJECTED)).alias("text"))
+    return docs.select("doc_id", F.expr(INJECTED).alias("text")) \
+        .withColumn("text", text.drop_boilerplate(F.col("text")))
 
 
 @query("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")

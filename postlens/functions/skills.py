@@ -5,13 +5,13 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import lru_cache, reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.text import fold_case
-from postlens.taxonomy import ROLE_SKILLS, Taxonomy, Term, compile_taxonomy, compile_term, jvm_regex
+from postlens.taxonomy import ROLE_SKILLS, Taxonomy, Term, compile_taxonomy, jvm_regex
 
 # Experience patterns, the first one found anywhere in the text winning.
 EXPERIENCE = [
@@ -24,19 +24,20 @@ EXPERIENCE = [
 
 def _found(folded: Column, terms: list[Term]) -> Column:
     def one(term: Term) -> Column:
-        if term.regex is None:
-            return folded.contains(term.needle)
-        hit = folded.rlike(term.regex)
-        return folded.contains(term.needle) & hit if term.needle else hit
+        tests = [reduce(or_, [folded.contains(n) for n in group]) for group in term.needles]
+        if term.regex is not None:
+            tests.append(folded.rlike(term.regex))
+        return reduce(and_, tests)
 
     return reduce(or_, map(one, terms))
 
 
 def skill_names(folded: Column, taxonomy: Taxonomy = ROLE_SKILLS) -> Column:
-    """Sorted names of the skills found. The literals enter the array already in name order."""
+    """Sorted names of the skills found. The names enter the array already in order, and taking
+    away the null array drops those not found."""
     hits = [F.when(_found(folded, terms), F.lit(skill))
             for skill, terms in compile_taxonomy(taxonomy).items()]
-    return F.array_compact(F.array(*hits))
+    return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
 
 
 @lru_cache(maxsize=1)
@@ -107,8 +108,4 @@ def match_spans(text: Column, patterns: list[str], around: int = 30) -> Column:
 
 
 def _body(pattern: str) -> str:
-    return jvm_regex(pattern).removeprefix("(?iUd)")
-
-
-__all__ = ["EXPERIENCE", "band_edge", "compile_term", "experience_numbers", "match_spans",
-           "skill_names", "with_experience", "with_skills", "with_tags"]
+    return jvm_regex(pattern).removeprefix("(?iUd)").removeprefix("(?Ud)")

@@ -10,7 +10,7 @@ import html
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -82,10 +82,19 @@ def strip_ends(c: Column) -> Column:
     return F.trim(c, F.lit(SPACES))
 
 
-def clean_text(c: Column, spans: Sequence[tuple[str, str]] = tuple(BOILERPLATE)) -> Column:
-    """Punctuation, platform spans, entities, tags, white space, in that order; null gives ''."""
-    c = drop_boilerplate(plain_punctuation(or_empty(c)), spans)
-    return collapse_spaces(strip_tags(decode_entities(c)))
+def with_clean_text(df: DataFrame, source: str, out: str,
+                    spans: Sequence[tuple[str, str]] = tuple(BOILERPLATE)) -> DataFrame:
+    """Add `out`: punctuation, platform spans, entities, tags, white space, in that order.
+
+    Null gives ''. Steps that read their input more than once get it from a projection of its own,
+    so no step repeats the ones before it.
+    """
+    return (
+        df.withColumn("_plain", plain_punctuation(or_empty(F.col(source))))
+        .withColumn("_plain", drop_boilerplate(F.col("_plain"), spans))
+        .withColumn(out, collapse_spaces(strip_tags(decode_entities(F.col("_plain")))))
+        .drop("_plain")
+    )
 
 
 def looks_truncated(c: Column) -> Column:

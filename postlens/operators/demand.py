@@ -1,14 +1,18 @@
 """Demand aggregates over tagged postings.
 
-Every count starts from `mentions` or from a hash aggregate that combines map-side, so the shuffles
-carry at most one row per skill, source or label set and task.
+Every count is a hash aggregate that combines map-side, so the shuffles carry at most one row per
+skill, source or label set and task.
+
+Unwanted groups are dropped by a count after the aggregate, and arrays are exploded with the outer
+form. A filter on the tagged columns, or the one Spark infers for a plain explode, would be pushed
+below the projection that makes them and repeat the whole tagging there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens import schemas
@@ -19,12 +23,14 @@ SKILLS = "skills_extracted"
 
 
 def mentions(df: DataFrame, skills: str = SKILLS) -> DataFrame:
-    return df.select(F.explode(skills).alias("skill"))
+    """One row per posting and skill; a posting without skills gives a null."""
+    return df.select(F.explode_outer(skills).alias("skill"))
 
 
 def skill_counts(df: DataFrame, skills: str = SKILLS) -> DataFrame:
     """Postings per skill."""
-    return mentions(df, skills).groupBy("skill").agg(F.count("*").alias("postings"))
+    return mentions(df, skills).groupBy("skill").agg(F.count("skill").alias("postings")) \
+        .filter(F.col("postings") > 0)
 
 
 def ranked_skills(df: DataFrame, skills: str = SKILLS) -> DataFrame:
@@ -64,12 +70,13 @@ def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
 
 def experience_histogram(df: DataFrame, years: str = "exp_min_years") -> DataFrame:
     """Postings per minimum years, with how many of all postings had a band."""
-    total = df.agg(F.count("*").alias("n")).scalar()
-    parsed = df.agg(F.count(years).alias("n")).scalar()
+    everything = Window.partitionBy()  # one row per distinct number of years
     return (
-        df.filter(F.col(years).isNotNull()).groupBy(F.col(years).cast("int").alias("years"))
-        .agg(F.count("*").alias("postings")).orderBy("years")
-        .select("years", "postings", parsed.alias("parsed"), total.alias("total"))
+        df.groupBy(F.col(years).cast("int").alias("years"))
+        .agg(F.count(years).alias("postings"), F.count("*").alias("_n"))
+        .withColumn("parsed", F.sum("postings").over(everything))
+        .withColumn("total", F.sum("_n").over(everything))
+        .filter(F.col("postings") > 0).drop("_n").orderBy("years")
     )
 
 
@@ -85,7 +92,7 @@ def head_to_head(df: DataFrame, pairs: Sequence[tuple[str, str]],
     """Counts for the listed skills, in list order, repeats kept, 0 for a skill never seen."""
     wanted = sorted({s for pair in pairs for s in pair})
     counts = mentions(df, skills).filter(F.col("skill").isin(wanted)) \
-        .groupBy("skill").agg(F.count("*").alias("postings"))
+        .groupBy("skill").agg(F.count("skill").alias("postings"))
     return (
         pair_table(df.sparkSession, pairs).join(counts, "skill", "left")
         .select("pos", "side", "skill", F.coalesce("postings", F.lit(0)).alias("postings"))
@@ -96,26 +103,31 @@ def head_to_head(df: DataFrame, pairs: Sequence[tuple[str, str]],
 def cooccurrence(df: DataFrame, n: int = 15, skills: str = SKILLS) -> DataFrame:
     """Full symmetric count matrix of the top n skills, diagonal and zeros included.
 
-    Postings are first counted by the set of top skills they carry. Pairs are then spread from
-    those distinct sets, never from postings, and each set has at most n members.
+    Postings are first counted by skill set. The ranking and the pairs both start from these counts
+    and share their exchange. Pairs are spread from the distinct sets of top skills, never from
+    postings, and such a set has at most n members.
     """
-    top = ranked_skills(df, skills).limit(n)
-    ranked = top.agg(F.sort_array(F.collect_list(F.struct(-F.col("postings"), "skill")))
-                     .alias("s")).select(F.transform("s", lambda x: x["skill"])).scalar()
-    carried = F.array_sort(F.array_intersect(F.array_distinct(F.col(skills)), ranked))
-    sets = df.select(carried.alias("skills")).filter(F.size("skills") > 0) \
-        .groupBy("skills").agg(F.count("*").alias("n"))
+    sets = df.select(F.col(skills).alias("skills")).groupBy("skills").agg(F.count("*").alias("n"))
+    ranked = (
+        sets.select("n", F.explode_outer("skills").alias("skill"))
+        .groupBy("skill").agg(F.sum("n").alias("postings")).filter(F.col("skill").isNotNull())
+        .orderBy(F.desc("postings"), "skill").limit(n)
+        .agg(F.sort_array(F.collect_list(F.struct(-F.col("postings"), "skill"))).alias("s"))
+        .select(F.transform("s", lambda x: x["skill"])).scalar()
+    )
+    carried = sets.select("n", F.array_intersect(ranked, F.col("skills")).alias("skills")) \
+        .groupBy("skills").agg(F.sum("n").alias("n"))
     pairs = (
-        sets.select("skills", "n", F.explode("skills").alias("a"))
-        .select("n", "a", F.explode("skills").alias("b"))
+        carried.select("skills", "n", F.explode_outer("skills").alias("a"))
+        .select("n", "a", F.explode_outer("skills").alias("b"))
         .groupBy("a", "b").agg(F.sum("n").alias("postings"))
     )
-    spark = df.sparkSession
     grid = (
-        spark.range(1).select(ranked.alias("ranked"))
+        df.sparkSession.range(1).select(ranked.alias("ranked"))
         .select("ranked", F.posexplode("ranked").alias("rank_a", "a"))
         .select("rank_a", "a", F.posexplode("ranked").alias("rank_b", "b"))
     )
+    # n * n rows on either side
     return (
         grid.join(F.broadcast(pairs), ["a", "b"], "left")
         .select("rank_a", "rank_b", "a", "b", F.coalesce("postings", F.lit(0)).alias("postings"))
@@ -170,18 +182,19 @@ def run_summary(df: DataFrame) -> DataFrame:
 
 def truncation_audit(df: DataFrame, has: str, lacks: str, skills: str = SKILLS) -> DataFrame:
     """Postings with one skill but not the other, by whether their text was cut off."""
+    wanted = F.array_contains(skills, has) & ~F.array_contains(skills, lacks)
     return (
-        df.filter(F.array_contains(skills, has) & ~F.array_contains(skills, lacks))
-        .groupBy("description_is_truncated").agg(F.count("*").alias("postings"))
-        .orderBy("description_is_truncated")
+        df.groupBy("description_is_truncated").agg(F.count_if(wanted).alias("postings"))
+        .filter(F.col("postings") > 0).orderBy("description_is_truncated")
     )
 
 
 def span_audit(df: DataFrame, text: str, patterns: list[str], around: int = 30) -> DataFrame:
     """Distinct contexts in which a skill's patterns hit, most frequent first."""
     return (
-        df.select(F.explode(match_spans(F.col(text), patterns, around)).alias("span"))
-        .groupBy("span").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "span")
+        df.select(F.explode_outer(match_spans(F.col(text), patterns, around)).alias("span"))
+        .groupBy("span").agg(F.count("span").alias("hits"))
+        .filter(F.col("hits") > 0).orderBy(F.desc("hits"), "span")
     )
 
 

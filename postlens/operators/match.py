@@ -76,8 +76,8 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
 
     # 2
     salt = F.pmod(F.xxhash64("p_set"), F.lit(salts)).cast("int")
-    index = members.select("p_set", "members", salt.alias("salt"), F.explode("p_set").alias("skill"))
-    probes = r_sets.select("r_set", F.explode("r_set").alias("skill")) \
+    index = members.select("p_set", "members", salt.alias("salt"), F.explode_outer("p_set").alias("skill"))
+    probes = r_sets.select("r_set", F.explode_outer("r_set").alias("skill")) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     shared = F.array_intersect("p_set", "r_set")
     pairs = (

@@ -68,9 +68,8 @@ def term_counts(df: DataFrame, doc: str, terms: str = "terms") -> DataFrame:
                       lambda a, b: F.struct(F.get(at, a).alias("term"), (b - a).alias("tf")))
     return (
         df.select(F.col(doc), F.sort_array(terms).alias("_sorted"))
-        .filter(F.size("_sorted") > 0)
         .withColumn("_begins", begins)
-        .select(doc, F.inline(runs))
+        .select(doc, F.inline_outer(runs)).filter(F.col("term").isNotNull())
         .select(doc, "term", F.col("tf").cast("bigint").alias("tf"))
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.skills import with_tags
-from postlens.functions.text import clean_text, looks_truncated, or_empty, search_text
+from postlens.functions.text import looks_truncated, or_empty, search_text, with_clean_text
 from postlens.operators.dedupe import keep_longest
 from postlens.operators.prefix import company_prefixes, strip_prefixes
 from postlens.session import stage
@@ -15,13 +15,12 @@ from postlens.taxonomy import ROLE_SKILLS, Taxonomy
 
 def to_clean(raw: DataFrame) -> DataFrame:
     """Row-local part: rename, clean the description, flag cut-off text. Titles stay as they are."""
-    description = F.col("description_snippet")
-    return raw.select(
+    cut = looks_truncated(F.col("description_snippet"))
+    cleaned = with_clean_text(raw, "description_snippet", "description_clean")
+    return cleaned.select(
         "source", F.col("query").alias("search_query"), "job_id",
-        or_empty(F.col("title")).alias("title"), "company", "location",
-        clean_text(description).alias("description_clean"),
-        looks_truncated(description).alias("description_is_truncated"),
-        "posted_date", "url")
+        or_empty(F.col("title")).alias("title"), "company", "location", "description_clean",
+        cut.alias("description_is_truncated"), "posted_date", "url")
 
 
 def tag(df: DataFrame, taxonomy: Taxonomy = ROLE_SKILLS) -> DataFrame:

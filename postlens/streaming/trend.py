@@ -23,8 +23,9 @@ def skill_trend(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_ext
     sets = _labelled(df, ts, skills, period).filter(F.col("period").isNotNull()) \
         .groupBy("period", "skills").agg(F.count("*").alias("n"))
     totals = sets.groupBy("period").agg(F.sum("n").alias("total"))
-    counts = sets.select("period", "n", F.explode("skills").alias("skill")) \
-        .groupBy("period", "skill").agg(F.sum("n").alias("postings"))
+    counts = sets.select("period", "n", F.explode_outer("skills").alias("skill")) \
+        .filter(F.col("skill").isNotNull()).groupBy("period", "skill") \
+        .agg(F.sum("n").alias("postings"))
     in_period = Window.partitionBy("period").orderBy(F.desc("postings"), "skill")
     over_time = Window.partitionBy("skill").orderBy("period")
     return (

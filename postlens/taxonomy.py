@@ -109,16 +109,22 @@ ROLE_PAIRS = {
 
 _WORD = r"[\p{L}\p{N}_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_OPENING_EDGE = re.compile(r"\\b(?=\w(?![?*{]))")
+_CLOSING_EDGE = re.compile(r"(?:(?<=\w)(?<!\\\w)|(?<=\w\?)(?<!\\\w\?))\\b")
 _LITERAL = re.compile(r"(?:[^\\.^$*+?{}\[\]|()]|\\[^\w\s])+")
 _HEAD = re.compile(r"(?:\\b)?([\w /-]+)([?*{]?)")
+_AHEAD = re.compile(r"\(\?=\.\*\(([\w |]+)\)\)")
 
 
 @dataclass(frozen=True)
 class Term:
-    """One pattern, ready to match: `needle` must occur in the folded text, and so must `regex`
-    unless the needle alone decides."""
+    """One pattern, ready to match on folded text.
 
-    needle: str
+    Of each group in `needles` at least one string must occur. `regex` must then match too, unless
+    the needles alone decide.
+    """
+
+    needles: tuple[tuple[str, ...], ...]
     regex: str | None
 
     @property
@@ -127,24 +133,31 @@ class Term:
 
 
 def jvm_regex(pattern: str) -> str:
-    """Give a Python-style pattern its Python meaning in java.util.regex.
+    """Give a Python-style pattern its Python meaning in java.util.regex, on folded text.
 
     Word characters are letters, numbers and '_' (Java's own also count combining marks); white
-    space takes in the four ASCII separators; '.' stops at '\\n' only.
+    space takes in the four ASCII separators; '.' stops at '\\n' only. A word edge whose one side is
+    known needs only the other side looked at, and a pattern without capitals needs no case flag.
     """
+    flags = "(?Ud)" if pattern == pattern.lower() else "(?iUd)"
+    pattern = _OPENING_EDGE.sub(lambda m: f"(?<!{_WORD})", pattern)
+    pattern = _CLOSING_EDGE.sub(lambda m: f"(?!{_WORD})", pattern)
     for python, java in ((r"\b", _EDGE), (r"\w", _WORD), (r"\s", r"[\s\x1c-\x1f]")):
         pattern = pattern.replace(python, java)
-    return "(?iUd)" + pattern
+    return flags + pattern
 
 
 def compile_term(pattern: str) -> Term:
     if _LITERAL.fullmatch(pattern):
-        return Term(re.sub(r"\\(.)", r"\1", pattern).lower(), None)
-    head = None if "|" in re.sub(r"\([^()]*\)", "", pattern) else _HEAD.match(pattern)
-    needle = ""
+        return Term(((re.sub(r"\\(.)", r"\1", pattern).lower(),),), None)
+    needles = []
+    head = None if "|" in re.sub(r"\([^()]*\)", "", _AHEAD.sub("", pattern)) \
+        else _HEAD.match(pattern)
     if head:
-        needle = head.group(1)[:-1] if head.group(2) else head.group(1)
-    return Term(needle.lower(), jvm_regex(pattern))
+        word = head.group(1)[:-1] if head.group(2) else head.group(1)
+        needles += [(word.lower(),)] if word else []
+        needles += [tuple(g.lower().split("|")) for g in _AHEAD.findall(pattern)]
+    return Term(tuple(needles), jvm_regex(pattern))
 
 
 def compile_taxonomy(taxonomy: Taxonomy) -> dict[str, list[Term]]:
