@@ -40,28 +40,35 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.vocabulary(terms.term_counts(docs, "doc_id"), n_docs)
 
 
-@query(f"""{vocab_sql()},
+WEIGHTS = f"""{vocab_sql()},
   w AS (SELECT doc_id, term, tf, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1)
     AS raw FROM tf JOIN vocab USING (term))
   SELECT doc_id, term, tf, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight
-  FROM w""")
+  FROM w"""
+
+
+@query(WEIGHTS)
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.tfidf(documents_with_terms(spark, sf_dir), "doc_id") \
         .withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"SELECT doc_id, term, weight FROM ({WEIGHTS})")
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_with_terms(spark, sf_dir)
-    rows = terms.fit_terms(docs).transform(docs)
-    return rows.select("doc_id", F.round(F.aggregate(
-        vector_to_array("features"), F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared_norm"))
+    model = terms.fit_terms(docs, "doc_id")
+    names = F.split(F.lit("|".join(model.vocabulary)), r"\|")
+    cells = model.transform(docs).select(
+        "doc_id", F.posexplode(vector_to_array("features")).alias("i", "weight"))
+    return cells.filter(F.col("weight") > 0) \
+        .select("doc_id", F.get(names, "i").alias("term"), F.round("weight", 6).alias("weight"))
 
 
 @lru_cache(maxsize=2)
 def _clusters(spark: SparkSession, sf_dir: str) -> RoleClusters:
     """One fit serves the queries that read different sides of it."""
-    return cluster_postings(document_tagged(spark, sf_dir), stop_words=inputs.PROSE_STOPS)
+    return cluster_postings(document_tagged(spark, sf_dir), "posting_id",
+                            stop_words=inputs.PROSE_STOPS)
 
 
 @query()

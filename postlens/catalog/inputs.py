@@ -88,7 +88,7 @@ _BAND = """case p_partkey % 7
     when 5 then concat(p_size % 9, '+ years or 1 - 4+ years')
     else 'any background' end"""
 
-_INTRO = """case when p_size % 50 = 49 then ''
+_INTRO = """case when p_brand = 'Brand#5' and p_size % 50 = 49 then ''
     when p_brand in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') then
     concat('<p>About ', p_brand, ' &amp; friends: we’ve made parts for every workshop in the ',
            'region – and for a long time.</p> ') else '' end"""

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.labels import NO_MATCH, percent, skills_text
+from postlens.session import stage
 
 # How many matches are shown, and the shortest usable résumé.
 TOP_MATCHES = 25
@@ -50,74 +53,167 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
 
     A score depends only on the two skill sets, so sets are matched, not rows:
 
-    1. Postings collapse to their distinct skill sets, each keeping its first n postings. A set
-       ranks its members by position only, so no other member can reach any top n.
-    2. Distinct sets meet through an inverted index on skill. A pair sharing several skills is
-       taken at its first shared skill only, which scores it on the spot: pairs are never shuffled.
-       The posting side is salted, so one skill held by a third of all sets is spread over tasks.
-    3. The n best sets per résumé set hold its n best postings: each of n better sets has a first
-       member that beats everything in a worse set. Members are unpacked after that cut.
+    1. Postings collapse to their distinct skill sets, each keeping its first members. A set ranks
+       its members by position only, so no member after the n-th can reach any top n. Sets become
+       bit words, rarest skill first, and everything below works on those.
+    2. Sets meet through an inverted index on skill. A pair sharing several skills is taken at its
+       rarest one only. The posting side is salted, so one skill held by a third of all sets is
+       spread over tasks. This pass only counts: for each résumé set, how many postings reach each
+       score. The counts tell the score its n-th best posting has.
+    3. The pass is repeated for pairs that reach that score. Sharing t skills with a set of m means
+       sharing one of its m-t+1 rarest, so only those are looked up. What is left to rank is the
+       winners and their ties, and the n best sets hold the n best postings: each of n better sets
+       has a first member that beats everything in a worse set.
     4. Postings sharing nothing rank last, by position. A résumé set with fewer than n matches
-       finds its fillers among the first 2n postings, as fewer than n of those can match.
-
-    Each `row_number() <= n` is planned with a group limit below its shuffle.
+       takes its fillers from the first 2n postings, of which fewer than n can match.
     """
-    held = F.sort_array(F.array_distinct(F.col(skills)))
-    wanted = resumes.select(F.col(resume), held.alias("r_set"))
-    offered = postings.select(F.col(posting).alias("posting"), held.alias("p_set"))
-
-    # 1
-    by_position = Window.partitionBy("p_set").orderBy("posting")
-    members = (
-        offered.withColumn("_i", F.row_number().over(by_position)).filter(F.col("_i") <= n)
-        .groupBy("p_set").agg(F.sort_array(F.collect_list("posting")).alias("members"))
-    )
-    r_sets = wanted.select("r_set").distinct()
-
-    # 2
-    salt = F.pmod(F.xxhash64("p_set"), F.lit(salts)).cast("int")
-    index = members.select("p_set", "members", salt.alias("salt"), F.explode_outer("p_set").alias("skill"))
-    probes = r_sets.select("r_set", F.explode_outer("r_set").alias("skill")) \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    shared = F.array_intersect("p_set", "r_set")
-    pairs = (
-        probes.join(index, ["skill", "salt"])
-        .filter(F.array_min(shared) == F.col("skill"))
-        .select("r_set", "p_set", "members", F.size(shared).alias("matched_count"))
+    posting_sets = stage(_posting_sets(postings, posting, skills, 2 * n), "posting-sets")
+    wanted = stage(resumes.select(F.col(resume), F.array_distinct(skills).alias("r_set")),
+                   "resume-sets")
+    # one row per skill of the taxonomy
+    names = [row["skill"] for row in (
+        posting_sets.select(F.explode_outer("p_set").alias("skill"))
+        .filter(F.col("skill").isNotNull())
+        .groupBy("skill").agg(F.count("*").alias("n")).orderBy("n", "skill").collect())]
+    bits = _Bits(names)
+    key = bits.columns("r")
+
+    offered = posting_sets.select(
+        bits.ids("p_set").alias("ids"), F.size("p_set").alias("job_requires"), "members") \
+        .select("*", *bits.encode("ids", "p"))
+    index = offered.select(
+        *bits.columns("p"), "job_requires", "members",
+        F.pmod(F.xxhash64(*bits.columns("p")), F.lit(salts)).cast("int").alias("salt"),
+        F.explode_outer("ids").alias("skill"))
+    coded = wanted.select(resume, bits.ids("r_set").alias("ids")) \
+        .select("*", *bits.encode("ids", "r"))
+    r_sets = coded.select(*key, "ids").distinct()
+
+    def meet(probes: DataFrame) -> DataFrame:
+        spread = probes.withColumn("skill", F.explode_outer("ids")).drop("ids") \
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return (
+            spread.join(index, ["skill", "salt"]).filter(bits.first_shared("skill"))
+            .withColumn("matched_count", bits.shared())
+            .withColumn("coverage_pct", coverage(F.col("matched_count"), F.col("job_requires")))
+        )
+
+    score = F.struct("matched_count", "coverage_pct")
+    reached = Window.partitionBy(*key).orderBy(F.desc("matched_count"), F.desc("coverage_pct"))
+    cuts = (
+        meet(r_sets).groupBy(*key, "matched_count", "coverage_pct")
+        .agg(F.sum(F.size("members")).alias("postings"))
+        .withColumn("reached", F.sum("postings").over(reached))
+        .filter(F.col("reached") >= n)
+        .groupBy(*key).agg(F.max(score).alias("cut"))
     )
+    bounded = r_sets.join(cuts, key, "left")
 
-    # 3
-    rank_sets = Window.partitionBy("r_set").orderBy(
+    needed = F.coalesce("cut.matched_count", F.lit(1))
+    rarest = F.slice("ids", F.lit(1), F.greatest(F.size("ids") - needed + 1, F.lit(0)))
+    rank_sets = Window.partitionBy(*key).orderBy(
         F.desc("matched_count"), F.desc("coverage_pct"), F.get("members", F.lit(0)))
     matched = (
-        pairs.withColumn("coverage_pct", coverage(F.col("matched_count"), F.size("p_set")))
+        meet(bounded.withColumn("ids", rarest))
+        .filter(F.col("cut").isNull() | (score >= F.col("cut")))
         .withColumn("_i", F.row_number().over(rank_sets)).filter(F.col("_i") <= n)
-        .select("r_set", "p_set", "matched_count", "coverage_pct",
-                F.explode("members").alias("posting"))
+        .select(*key, *bits.columns("p"), "job_requires", "matched_count", "coverage_pct",
+                F.explode(F.slice("members", 1, n)).alias("posting"))
     )
 
-    # 4
-    first = offered.orderBy("posting").limit(2 * n) \
-        .agg(F.collect_list(F.struct("posting", "p_set"))).scalar()
+    first = (
+        offered.select(*bits.columns("p"), "job_requires", F.explode("members").alias("posting"))
+        .orderBy("posting").limit(2 * n)
+        .agg(F.collect_list(F.struct(*bits.columns("p"), "job_requires", "posting"))).scalar()
+    )
     fillers = (
-        r_sets.select("r_set", F.inline(first))
-        .filter(F.size(F.array_intersect("p_set", "r_set")) == 0)
-        .select("r_set", "p_set", F.lit(0).alias("matched_count"), F.lit(0).alias("coverage_pct"),
-                "posting")
+        bounded.filter(F.col("cut").isNull()).select(*key, F.inline_outer(first))
+        .withColumn("matched_count", bits.shared()).filter(F.col("matched_count") == 0)
+        .withColumn("coverage_pct", F.lit(0))
     )
 
-    rank = Window.partitionBy("r_set").orderBy(
+    rank = Window.partitionBy(*key).orderBy(
         F.desc("matched_count"), F.desc("coverage_pct"), "posting")
     best = (
         matched.unionByName(fillers)
         .withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= n)
-        .groupBy("r_set").agg(F.collect_list(F.struct(
-            "place", "posting", "matched_count", "coverage_pct", "p_set")).alias("best"))
+        .groupBy(*key).agg(F.collect_list(F.struct(
+            "place", "posting", "matched_count", "job_requires", "coverage_pct",
+            *bits.columns("p"))).alias("best"))
     )
-    shared = F.sort_array(F.array_intersect("p_set", "r_set"))
     return (
-        wanted.join(best, "r_set").select(resume, "r_set", F.inline("best"))
-        .select(resume, "place", F.col("posting").alias(posting), "matched_count",
-                F.size("p_set").alias("job_requires"), "coverage_pct",
-                skills_text(shared, NO_MATCH).alias("matched_skills"))
+        coded.join(best, key).select(resume, *key, F.inline("best"))
+        .select(resume, "place", F.col("posting").alias(posting), "matched_count", "job_requires",
+                "coverage_pct", skills_text(bits.names_shared(), NO_MATCH).alias("matched_skills"))
     )
+
+
+def _posting_sets(postings: DataFrame, posting: str, skills: str, keep: int) -> DataFrame:
+    """(p_set, members): distinct skill sets with their first `keep` postings."""
+    first = Window.partitionBy("p_set").orderBy("posting")
+    return (
+        postings.select(F.col(posting).alias("posting"),
+                        F.sort_array(F.array_distinct(skills)).alias("p_set"))
+        .withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= keep)
+        .groupBy("p_set").agg(F.sort_array(F.collect_list("posting")).alias("members"))
+    )
+
+
+class _Bits:
+    """Skill sets as 63-bit words over a fixed name list."""
+
+    SIZE = 63
+
+    def __init__(self, names: Sequence[str]) -> None:
+        self.words = max(1, -(-len(names) // self.SIZE))
+        self._names = [_literal(names[w * self.SIZE:(w + 1) * self.SIZE])
+                       for w in range(self.words)]
+        self._all = _literal(names)
+
+    def columns(self, side: str) -> list[str]:
+        return [f"{side}{w}" for w in range(self.words)]
+
+    def ids(self, skills: str) -> Column:
+        """Positions of the set's skills in the name list, ascending; unknown names left out."""
+        places = F.transform(skills, lambda s: F.array_position(self._all, s).cast("int") - 1)
+        return F.sort_array(F.filter(places, lambda i: i >= 0))
+
+    def encode(self, ids: str, side: str) -> list[Column]:
+        def word(w: int) -> Column:
+            mine = F.filter(ids, lambda i: F.floor(i / self.SIZE) == w)
+            bit = F.transform(mine, lambda i: F.call_function(
+                "shiftleft", F.lit(1).cast("bigint"), i % self.SIZE))
+            return F.aggregate(bit, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+        return [word(w).alias(name) for w, name in enumerate(self.columns(side))]
+
+    def _both(self) -> list[Column]:
+        return [F.col(f"r{w}").bitwiseAND(F.col(f"p{w}")) for w in range(self.words)]
+
+    def shared(self) -> Column:
+        """Number of shared skills."""
+        return reduce(add, [F.bit_count(x).cast("int") for x in self._both()])
+
+    def first_shared(self, position: str) -> Column:
+        """No skill before the position held in this column is shared."""
+        def before(w: int) -> Column:
+            at = F.col(position) - w * self.SIZE
+            full = F.lit((1 << self.SIZE) - 1)
+            return F.when(at >= self.SIZE, full).when(at <= 0, F.lit(0).cast("bigint")) \
+                .otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), at) - 1)
+
+        return reduce(and_, [x.bitwiseAND(before(w)) == 0 for w, x in enumerate(self._both())])
+
+    def names_shared(self) -> Column:
+        """Names of the shared skills, sorted."""
+        def held(names: Column, word: Column) -> Column:
+            return F.filter(names, lambda _, i: F.getbit(word, i) == 1)
+
+        return F.sort_array(F.concat(*map(held, self._names, self._both())))
+
+
+def _literal(names: Sequence[str]) -> Column:
+    """The names as one constant array."""
+    if not names:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x01".join(names)), "\x01")

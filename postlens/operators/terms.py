@@ -8,12 +8,11 @@ then the kept cells once for the norms.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
@@ -118,16 +117,17 @@ class TermModel:
         return unit.transform(scaled.transform(self.counter.transform(df))).drop("_tf", "_scaled")
 
 
-def fit_terms(df: DataFrame, terms: str = "terms", max_terms: int = MAX_TERMS,
+def fit_terms(df: DataFrame, doc: str, terms: str = "terms", max_terms: int = MAX_TERMS,
               min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> TermModel:
-    """Fit the vector form. MLlib's IDF lacks the trailing +1, so it is added to its weights.
+    """Fit the vector form from the table form's vocabulary, in one pass over the documents.
 
-    A `max_share` of 1.0 would be read by MLlib as one row, hence no upper limit is set then.
+    MLlib's own fits would read them three times, and its IDF lacks the trailing +1. At most
+    `max_terms` rows come to the driver. No term kept leaves a one-term model that marks nothing.
     """
-    counter = CountVectorizer(inputCol=terms, outputCol="_tf", vocabSize=max_terms,
-                              minDF=float(min_docs))
-    if max_share < 1.0:
-        counter = counter.setMaxDF(float(max_share))
-    counted = counter.fit(df)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted.transform(df).select("_tf"))
-    return TermModel(counted, DenseVector(idf.idf.toArray() + 1.0))
+    n_docs = df.count()
+    kept = vocabulary(term_counts(df, doc, terms), F.lit(n_docs), max_terms, min_docs, max_share)
+    rows = kept.collect()
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in rows] or [""], inputCol=terms, outputCol="_tf")
+    weights = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows] or [1.0]
+    return TermModel(counter, DenseVector(weights))

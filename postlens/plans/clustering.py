@@ -19,6 +19,7 @@ from postlens.operators.roles import (
     sweep_k,
 )
 from postlens.operators.terms import TermModel, corpus_text, fit_terms, with_terms
+from postlens.session import stage
 
 
 @dataclass
@@ -46,15 +47,16 @@ class RoleClusters:
             "title", "company", "cluster", "cluster_label", "pca_x", "pca_y")
 
 
-def cluster_postings(clean: DataFrame, ks: Iterable[int] = K_RANGE, restarts: int = RESTARTS,
-                     stop_words: Sequence[str] | None = None, **features: float) -> RoleClusters:
+def cluster_postings(clean: DataFrame, doc: str = "job_id", ks: Iterable[int] = K_RANGE,
+                     restarts: int = RESTARTS, stop_words: Sequence[str] | None = None, **features: float) -> RoleClusters:
     """Features, sweep over k, and the cluster of every posting under the best k.
 
-    The winning model of the sweep is used as it is; fitting it again would give the same labels.
+    The vectors are staged, so that no fit or summary tokenises again. The winning model of the
+    sweep is used as it is; fitting it again would give the same labels.
     """
     text = corpus_text(F.col("title"), F.col("skills_extracted"), F.col("description_clean"))
     worded = with_terms(clean, text, stop_words)
-    model = fit_terms(worded, **features)
-    vectors = model.transform(worded).drop("terms")
+    model = fit_terms(worded, doc, **features)
+    vectors = stage(model.transform(worded).drop("terms"), "vectors")
     sweep = sweep_k(vectors, ks, restarts)
     return RoleClusters(assign_clusters(vectors, sweep.best), model, sweep)
