@@ -16,7 +16,7 @@ from postlens.plans.clustering import RoleClusters, cluster_postings
 
 
 def documents_with_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = inputs.texts(spark, sf_dir, "documents").select("doc_id", "text")
     return terms.with_terms(docs, F.col("text"), inputs.PROSE_STOPS).select("doc_id", "terms")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.session import spread
 from postlens.taxonomy import Taxonomy
 
 # Terms for the invented prose of `documents` and `conversations`.
@@ -118,6 +119,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on row by row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def select_sql(columns: dict[str, str], source: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {source}"
 
@@ -128,7 +134,7 @@ def _derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def role_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw postings derived from `part`."""
-    return _derive(table(spark, sf_dir, "part"), ROLE_COLUMNS)
+    return _derive(texts(spark, sf_dir, "part"), ROLE_COLUMNS)
 
 
 ROLE_SQL = select_sql(ROLE_COLUMNS, "part")
@@ -145,7 +151,7 @@ DOCUMENT_COLUMNS = {
 
 
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(table(spark, sf_dir, "documents"), DOCUMENT_COLUMNS)
+    return _derive(texts(spark, sf_dir, "documents"), DOCUMENT_COLUMNS)
 
 
 DOCUMENT_SQL = select_sql(DOCUMENT_COLUMNS, "documents")
@@ -159,7 +165,7 @@ PAGE_COLUMNS = {
 
 
 def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(table(spark, sf_dir, "pages"), PAGE_COLUMNS)
+    return _derive(texts(spark, sf_dir, "pages"), PAGE_COLUMNS)
 
 
 PAGE_SQL = select_sql(PAGE_COLUMNS, "pages")
@@ -172,7 +178,7 @@ RESUME_COLUMNS = {
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(table(spark, sf_dir, "conversations"), RESUME_COLUMNS)
+    return _derive(texts(spark, sf_dir, "conversations"), RESUME_COLUMNS)
 
 
 RESUME_SQL = select_sql(RESUME_COLUMNS, "conversations")

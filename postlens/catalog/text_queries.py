@@ -40,7 +40,7 @@ FLAT_SQL = "* REPLACE (array_to_string(skills_extracted, '|') AS skills_extracte
 
 @query(f"SELECT page_id, {checks.clean_sql('html')} AS text FROM pages")
 def clean_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = inputs.table(spark, sf_dir, "pages")
+    pages = inputs.texts(spark, sf_dir, "pages")
     return text.with_clean_text(pages, "html", "text").select("page_id", "text")
 
 
@@ -50,7 +50,7 @@ FANCY = "replace(replace(replace(replace(text, '.', '…'), ',', '—'), 'e ', '
 @query(f"""SELECT doc_id, replace(replace(replace(replace({FANCY}, '…', '...'), '—', '-'),
   '’', ''''), '“', '"') AS text FROM documents""")
 def plain_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", text.plain_punctuation(F.expr(FANCY)).alias("text"))
 
 
@@ -62,14 +62,14 @@ INJECTED = """concat('Intro. THIS job is with Acme, a myGwork partner.', chr(10)
   '(?is)This job is with .*?myGwork.*?Please do not contact the recruiter directly\\.?', ' ', 'g')
   AS text FROM documents""")
 def boilerplate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", F.expr(INJECTED).alias("text")) \
         .withColumn("text", text.drop_boilerplate(F.col("text")))
 
 
 @query("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
 def tag_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.table(spark, sf_dir, "pages").select(
+    return inputs.texts(spark, sf_dir, "pages").select(
         "page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
@@ -83,13 +83,13 @@ def space_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.concat(
         F.lit("\t"), F.replace(F.replace("text", F.lit(" t"), F.lit("\xa0  t")), F.lit("e "),
                                F.lit("e ")), F.lit("\n"))
-    return inputs.table(spark, sf_dir, "documents").select(
+    return inputs.texts(spark, sf_dir, "documents").select(
         "doc_id", text.collapse_spaces(spaced).alias("text"))
 
 
 @query(f"SELECT doc_id, {checks.truncated_sql('text')} AS cut FROM documents")
 def truncate_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.table(spark, sf_dir, "documents").select(
+    return inputs.texts(spark, sf_dir, "documents").select(
         "doc_id", text.looks_truncated(F.col("text")).alias("cut"))
 
 

@@ -9,7 +9,7 @@ from postlens.functions.skills import with_tags
 from postlens.functions.text import looks_truncated, or_empty, search_text, with_clean_text
 from postlens.operators.dedupe import keep_longest
 from postlens.operators.prefix import company_prefixes, strip_prefixes
-from postlens.session import stage
+from postlens.session import spread, stage
 from postlens.taxonomy import ROLE_SKILLS, Taxonomy
 
 
@@ -38,7 +38,7 @@ def clean_postings(raw: DataFrame, taxonomy: Taxonomy = ROLE_SKILLS,
     The cleaned rows are staged once: prefix search and the strip read them three times, each with
     its own few columns. Tagging comes after the merge so that merged copies are never tagged.
     """
-    cleaned = to_clean(raw)
+    cleaned = to_clean(spread(raw))
     if dedupe_first:
         cleaned = keep_longest(cleaned)
     cleaned = stage(cleaned, "cleaned")

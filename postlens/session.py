@@ -52,6 +52,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores if they arrive in fewer partitions, before per-row text work.
+
+    One parquet row group or one JSON array is one task, however long its texts. Large inputs come
+    in more partitions than there are cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Mark the small side of a join for broadcast, but only after counting it.
 
