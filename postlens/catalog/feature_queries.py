@@ -15,9 +15,9 @@ from postlens.operators import roles, terms
 from postlens.plans.clustering import RoleClusters, cluster_postings
 
 
-def documents_with_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.texts(spark, sf_dir, "documents").select("doc_id", "text")
-    return terms.with_terms(docs, F.col("text"), inputs.PROSE_STOPS).select("doc_id", "terms")
+    return terms.with_words(docs, F.col("text"), inputs.PROSE_STOPS).select("doc_id", "words")
 
 
 def vocab_sql() -> str:
@@ -35,9 +35,8 @@ def vocab_sql() -> str:
 
 @query(f"{vocab_sql()} SELECT * FROM vocab")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents_with_terms(spark, sf_dir)
-    n_docs = inputs.table(spark, sf_dir, "documents").agg(F.count("*").alias("n")).scalar()
-    return terms.vocabulary(terms.term_counts(docs, "doc_id"), n_docs)
+    docs = documents_with_words(spark, sf_dir)
+    return terms.vocabulary(docs, "doc_id", docs.count())
 
 
 WEIGHTS = f"""{vocab_sql()},
@@ -49,13 +48,13 @@ WEIGHTS = f"""{vocab_sql()},
 
 @query(WEIGHTS)
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.tfidf(documents_with_terms(spark, sf_dir), "doc_id") \
+    return terms.tfidf(documents_with_words(spark, sf_dir), "doc_id") \
         .withColumn("weight", F.round("weight", 6))
 
 
 @query(f"SELECT doc_id, term, weight FROM ({WEIGHTS})")
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents_with_terms(spark, sf_dir)
+    docs = documents_with_words(spark, sf_dir)
     model = terms.fit_terms(docs, "doc_id")
     names = F.split(F.lit("|".join(model.vocabulary)), r"\|")
     cells = model.transform(docs).select(

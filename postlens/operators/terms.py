@@ -1,17 +1,17 @@
 """Term features: words and word pairs, pruned vocabulary, smoothed and normalised TF-IDF.
 
-Two forms. The table form gives one (doc, term, weight) row per non-zero cell. The vector form fits
-MLlib models for the clustering jobs. Both count terms inside the row they occur in, so no shuffle
-ever carries tokens: the table form shuffles one partial row per term and task for the vocabulary,
-then the kept cells once for the norms.
+Two forms with the same numbers. The table form gives one (doc, term, weight) row per non-zero
+cell, the vector form MLlib vectors for the clustering jobs. Terms are counted inside the row they
+occur in, so no shuffle carries tokens: the vocabulary shuffles one partial row per term and task,
+the norms the kept cells once.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -22,11 +22,16 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.session import stage
+
 # Feature settings.
 MAX_TERMS = 500
 MIN_DOCS = 3
 MAX_SHARE = 0.7
 
+# Words passed to the tasks as one constant set; beyond it pairs are not narrowed.
+MAX_FREQUENT = 5000
+
 
 def english_stop_words() -> list[str]:
     """MLlib's own list; every caller can pass another."""
@@ -38,25 +43,26 @@ def corpus_text(title: Column, skills: Column, description: Column) -> Column:
     return F.concat_ws(" ", title, title, F.array_join(skills, " "), description)
 
 
-def with_terms(df: DataFrame, text: Column, stop_words: Sequence[str] | None = None,
-               out: str = "terms") -> DataFrame:
-    """Add the array of words (two or more word characters) and of pairs of adjacent words.
-
-    Stop words go first, so a pair may span one.
-    """
+def with_words(df: DataFrame, text: Column, stop_words: Sequence[str] | None = None,
+               out: str = "words") -> DataFrame:
+    """Add the array of lower-case words of two or more word characters, stop words left out."""
     stops = english_stop_words() if stop_words is None else list(stop_words)
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    kept = F.filter("_words", lambda w: ~w.isin(stops)) if stops else F.col("_words")
-    followers = F.slice("_kept", 2, F.size("_kept"))
-    pairs = F.array_compact(F.zip_with(F.col("_kept"), followers,
-                                       lambda a, b: F.concat(a, F.lit(" "), b)))
-    return (
-        df.withColumn("_words", words).withColumn("_kept", kept)
-        .withColumn(out, F.concat("_kept", pairs)).drop("_words", "_kept")
-    )
+    return df.withColumn(out, F.filter(words, lambda w: ~w.isin(stops)) if stops else words)
+
+
+def word_pairs(words: Column) -> Column:
+    """Adjacent words joined by a space. A null word makes no pair."""
+    return F.array_compact(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)),
+                                      lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def all_terms(words: Column) -> Column:
+    """Words, then pairs. Stop words are gone already, so a pair may span one."""
+    return F.concat(words, word_pairs(words))
 
 
-def term_counts(df: DataFrame, doc: str, terms: str = "terms") -> DataFrame:
+def term_counts(df: DataFrame, doc: str, terms: Column) -> DataFrame:
     """(doc, term, tf), counted within the row: sort its terms, then measure the runs."""
     at = F.col("_sorted")
     begins = F.filter(
@@ -73,27 +79,50 @@ def term_counts(df: DataFrame, doc: str, terms: str = "terms") -> DataFrame:
     )
 
 
-def vocabulary(counts: DataFrame, n_docs: Column, max_terms: int = MAX_TERMS,
-               min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(term, df, cf): terms in neither too few nor too many documents, then the most frequent."""
-    return (
-        counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .filter((F.col("df") >= min_docs) & (F.col("df") <= n_docs * F.lit(max_share)))
-        .orderBy(F.desc("cf"), "term").limit(max_terms)
-    )
+def vocabulary(df: DataFrame, doc: str, n_docs: int, words: str = "words",
+               max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS,
+               max_share: float = MAX_SHARE) -> DataFrame:
+    """(term, df, cf): terms in neither too few nor too many documents, then the most frequent.
+
+    Words are counted first. A pair occurs no more often than either of its words, so once enough
+    words qualify, only pairs of words at least as frequent as the last of them can enter, and no
+    others are counted. That replaces the many rare pairs, which make up most of the distinct terms
+    of a corpus, by at most a few hundred thousand.
+    """
+    def fitting(counts: DataFrame) -> DataFrame:
+        return counts.filter((F.col("df") >= min_docs) & (F.col("df") <= n_docs * max_share))
+
+    def most_frequent(counts: DataFrame) -> DataFrame:
+        return fitting(counts).orderBy(F.desc("cf"), "term").limit(max_terms)
 
+    singles = stage(_totals(term_counts(df, doc, F.col(words))), "words")
+    found, least = most_frequent(singles).agg(F.count("*"), F.min("cf")).first()
+    paired = F.col(words)
+    if found == max_terms:
+        frequent = [r["term"] for r in singles.filter(F.col("cf") >= least).select("term")
+                    .limit(MAX_FREQUENT + 1).collect()]
+        if len(frequent) <= MAX_FREQUENT:
+            paired = F.transform(paired, lambda w: F.when(w.isin(frequent), w))
+    pairs = df.select(doc, paired.alias("_paired")) \
+        .select(doc, word_pairs(F.col("_paired")).alias("_pairs"))
+    return most_frequent(singles.unionByName(_totals(term_counts(pairs, doc, F.col("_pairs")))))
 
-def tfidf(df: DataFrame, doc: str, terms: str = "terms", max_terms: int = MAX_TERMS,
+
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def tfidf(df: DataFrame, doc: str, words: str = "words", max_terms: int = MAX_TERMS,
           min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(doc, term, tf, weight): tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1."""
-    n_docs = df.agg(F.count("*").alias("n")).scalar()
-    counts = term_counts(df, doc, terms)
-    kept = vocabulary(counts, n_docs, max_terms, min_docs, max_share)
-    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
+    model = fit_terms(df, doc, words, max_terms, min_docs, max_share)
+    kept = F.filter(all_terms(F.col(words)), lambda t: t.isin(model.vocabulary))
+    idf = df.sparkSession.createDataFrame(
+        list(zip(model.vocabulary, model.weights.tolist())), "term string, _idf double")
     per_doc = Window.partitionBy(doc)
-    # at most `max_terms` rows, by the limit above
+    # at most `max_terms` rows
     return (
-        counts.join(F.broadcast(kept.select("term", idf.alias("_idf"))), "term")
+        term_counts(df, doc, kept).join(F.broadcast(idf), "term")
         .withColumn("_raw", F.col("tf") * F.col("_idf"))
         .withColumn("weight", F.col("_raw") / F.sqrt(F.sum(F.col("_raw") ** 2).over(per_doc)))
         .select(doc, "term", "tf", "weight")
@@ -104,30 +133,28 @@ def tfidf(df: DataFrame, doc: str, terms: str = "terms", max_terms: int = MAX_TE
 class TermModel:
     """Fitted vocabulary and weights. `transform` is a narrow pass."""
 
-    counter: CountVectorizerModel
-    weights: DenseVector
-
-    @property
-    def vocabulary(self) -> list[str]:
-        return self.counter.vocabulary
+    vocabulary: list[str]
+    weights: np.ndarray
 
-    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        scaled = ElementwiseProduct(scalingVec=self.weights, inputCol="_tf", outputCol="_scaled")
+    def transform(self, df: DataFrame, words: str = "words", out: str = "features") -> DataFrame:
+        counter = CountVectorizerModel.from_vocabulary(
+            self.vocabulary, inputCol="_terms", outputCol="_tf")
+        scaled = ElementwiseProduct(scalingVec=DenseVector(self.weights), inputCol="_tf",
+                                    outputCol="_scaled")
         unit = Normalizer(p=2.0, inputCol="_scaled", outputCol=out)
-        return unit.transform(scaled.transform(self.counter.transform(df))).drop("_tf", "_scaled")
+        counted = counter.transform(df.withColumn("_terms", all_terms(F.col(words))))
+        return unit.transform(scaled.transform(counted)).drop("_terms", "_tf", "_scaled")
 
 
-def fit_terms(df: DataFrame, doc: str, terms: str = "terms", max_terms: int = MAX_TERMS,
+def fit_terms(df: DataFrame, doc: str, words: str = "words", max_terms: int = MAX_TERMS,
               min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> TermModel:
-    """Fit the vector form from the table form's vocabulary, in one pass over the documents.
+    """Fit vocabulary and weights. At most `max_terms` rows come to the driver.
 
-    MLlib's own fits would read them three times, and its IDF lacks the trailing +1. At most
-    `max_terms` rows come to the driver. No term kept leaves a one-term model that marks nothing.
+    MLlib's IDF lacks the trailing +1 and its CountVectorizer settles ties by chance, so only their
+    fitted forms are used. If no term is kept, the one empty term marks nothing.
     """
     n_docs = df.count()
-    kept = vocabulary(term_counts(df, doc, terms), F.lit(n_docs), max_terms, min_docs, max_share)
-    rows = kept.collect()
-    counter = CountVectorizerModel.from_vocabulary(
-        [r["term"] for r in rows] or [""], inputCol=terms, outputCol="_tf")
-    weights = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows] or [1.0]
-    return TermModel(counter, DenseVector(weights))
+    rows = vocabulary(df, doc, n_docs, words, max_terms, min_docs, max_share).collect()
+    df_of = {r["term"]: r["df"] for r in rows} or {"": n_docs}
+    weights = np.log((1 + n_docs) / (1 + np.array(list(df_of.values())))) + 1
+    return TermModel(list(df_of), weights)

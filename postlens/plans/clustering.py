@@ -18,7 +18,7 @@ from postlens.operators.roles import (
     project_2d,
     sweep_k,
 )
-from postlens.operators.terms import TermModel, corpus_text, fit_terms, with_terms
+from postlens.operators.terms import TermModel, corpus_text, fit_terms, with_words
 from postlens.session import stage
 
 
@@ -55,8 +55,8 @@ def cluster_postings(clean: DataFrame, doc: str = "job_id", ks: Iterable[int] =
     sweep is used as it is; fitting it again would give the same labels.
     """
     text = corpus_text(F.col("title"), F.col("skills_extracted"), F.col("description_clean"))
-    worded = with_terms(clean, text, stop_words)
+    worded = with_words(clean, text, stop_words)
     model = fit_terms(worded, doc, **features)
-    vectors = stage(model.transform(worded).drop("terms"), "vectors")
+    vectors = stage(model.transform(worded).drop("words"), "vectors")
     sweep = sweep_k(vectors, ks, restarts)
     return RoleClusters(assign_clusters(vectors, sweep.best), model, sweep)
