@@ -18,7 +18,7 @@ def valid_text(c: Column) -> Column:
 def read_resumes(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(resume_id, text): file name without its ending, whole text."""
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+        spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
         .select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("resume_id"),
                 valid_text(F.col("value")).alias("text"))
     )
