@@ -162,3 +162,8 @@ def weekly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = inputs.table(spark, sf_dir, "events").select(
         F.col("ts").alias("scraped_at"), F.array("event_type").alias("skills_extracted"))
     return skill_trend(events, period="week")
+
+
+@query("SELECT DISTINCT source FROM documents")
+def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demand.distinct_values(inputs.table(spark, sf_dir, "documents"), "source")

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.catalog import inputs
+from postlens.catalog import checks, inputs
 from postlens.catalog.registry import query
 from postlens.catalog.text_queries import document_tagged
 from postlens.operators import roles, terms
@@ -20,6 +20,13 @@ def documents_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.with_words(docs, F.col("text"), inputs.PROSE_STOPS).select("doc_id", "words")
 
 
+@query(f"""{checks.DOCUMENT_TAGGED} SELECT posting_id, concat_ws(' ', title, title,
+  array_to_string(skills_extracted, ' '), description_clean) AS text FROM t""")
+def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = terms.corpus_text(F.col("title"), F.col("skills_extracted"), F.col("description_clean"))
+    return document_tagged(spark, sf_dir).select("posting_id", text.alias("text"))
+
+
 def vocab_sql() -> str:
     stops = ", ".join(f"'{w}'" for w in inputs.PROSE_STOPS)
     return f"""WITH words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text),

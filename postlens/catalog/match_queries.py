@@ -146,3 +146,9 @@ def find_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.find_posting(role_tagged(spark, sf_dir), "ECONOMY hot gear", "Brand#3",
                                  ["job_id"])
     return found.select("job_id", "title", "company")
+
+
+@query(f"""{ROLES} SELECT job_id, title FROM t ORDER BY title, job_id LIMIT 1 OFFSET 42""")
+def posting_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.posting_at(role_tagged(spark, sf_dir), 42, ["title", "job_id"]) \
+        .select("job_id", "title")

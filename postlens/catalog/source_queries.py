@@ -176,6 +176,13 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(tables.read_clean(spark, folder))
 
 
+@query(f"{checks.ROLE_TAGGED} SELECT {FLAT_SQL}, length(title)::INTEGER AS cluster FROM t")
+def clustered_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "clustered")
+    tables.write_json(role_tagged(spark, sf_dir).withColumn("cluster", F.length("title")), folder)
+    return flat(tables.read_clustered(spark, folder))
+
+
 @query(f"""{checks.ROLE_TAGGED} SELECT job_id, title, description_clean,
   array_to_string(skills_extracted, ', ') AS skills_extracted FROM t""")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,3 +208,8 @@ def merge_counts(raw: DataFrame, keys: Sequence[str] = ("company", "title"),
     totals = merged.select(F.explode(F.create_map(
         F.lit("all"), F.col("before"), F.lit("merged"), F.col("after"))).alias("source", "postings"))
     return per_source.unionByName(totals)
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """Sorted distinct values, such as the cluster numbers on offer."""
+    return df.select(column).distinct().orderBy(column)

@@ -29,26 +29,38 @@ def cut_back(prefix: Column) -> Column:
         .otherwise(prefix)
 
 
+# Columns added by `with_heads`.
+HEADS = ("_head", "_chars")
+
+
+def with_heads(df: DataFrame, text: str = "description_clean", min_chars: int = 60) -> DataFrame:
+    """Add a digest of the first `min_chars` characters and the length of the text."""
+    return df.withColumns({"_head": F.xxhash64(F.left(text, F.lit(min_chars))),
+                           "_chars": F.length(text)})
+
+
 def company_prefixes(df: DataFrame, company: str = "company", text: str = "description_clean",
                      min_rows: int = 2, min_chars: int = 60) -> DataFrame:
     """(company, rows, prefix) for companies whose postings share at least `min_chars` characters.
 
-    The threshold is tested before the prefix is cut back to a whole word.
+    The threshold is tested before the prefix is cut back to a whole word. A staged frame may bring
+    the columns of `with_heads` for the same `min_chars` along.
     """
-    rows = df.select(F.col(company).alias("company"), F.col(text).alias("_text")) \
+    if not set(HEADS) <= set(df.columns):
+        df = with_heads(df, text, min_chars)
+    rows = df.select(F.col(company).alias("company"), F.col(text).alias("_text"), *HEADS) \
         .filter(F.coalesce(F.col("company"), F.lit("")) != "")
-    head = F.xxhash64(F.left("_text", F.lit(min_chars)))
     alike = (
         rows.groupBy("company")
-        .agg(F.count("*").alias("rows"), F.min(F.length("_text")).alias("_shortest"),
-             F.min(head).alias("_low"), F.max(head).alias("_high"))
+        .agg(F.count("*").alias("rows"), F.min("_chars").alias("_shortest"),
+             F.min("_head").alias("_low"), F.max("_head").alias("_high"))
         .filter((F.col("rows") >= min_rows) & (F.col("_shortest") >= min_chars)
                 & (F.col("_low") == F.col("_high")))
-        .select("company", "rows")
+        .select("company")
     )
     alike = lookup_side(alike)
     return (
-        rows.join(alike.select("company"), "company", "left_semi")
+        rows.join(alike, "company", "left_semi")
         .groupBy("company")
         .agg(F.count("*").alias("rows"), F.min("_text").alias("_low"),
              F.max("_text").alias("_high"))

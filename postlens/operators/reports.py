@@ -125,3 +125,8 @@ def find_posting(df: DataFrame, title: str, company: str, order: list[Column | s
     """The first posting with this title and company."""
     return df.filter((F.col("title") == title) & F.col("company").eqNullSafe(company)) \
         .orderBy(*order).limit(1)
+
+
+def posting_at(df: DataFrame, index: int, order: list[Column | str]) -> DataFrame:
+    """The posting at a position of the ordered table."""
+    return df.orderBy(*order).offset(index).limit(1)

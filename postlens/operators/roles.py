@@ -70,15 +70,16 @@ def sweep_k(df: DataFrame, ks: Iterable[int] = K_RANGE, restarts: int = RESTARTS
         return item[0], float(judge.evaluate(item[1].transform(data)))
 
     tasks = [(k, seed + i) for k in ks for i in range(restarts)]
-    spark = df.sparkSession
-    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-        fitted = pool.map(inheritable_thread_target(spark)(fit), tasks, chunksize=1)
-        best: dict[int, KMeansModel] = {}
-        for k, model in fitted:
-            if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-                best[k] = model
-        scores = dict(pool.map(inheritable_thread_target(spark)(score), best.items(), chunksize=1))
-    data.unpersist()
+    run = inheritable_thread_target(df.sparkSession)
+    try:
+        with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+            best: dict[int, KMeansModel] = {}
+            for k, model in pool.map(run(fit), tasks, chunksize=1):
+                if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+                    best[k] = model
+            scores = dict(pool.map(run(score), best.items(), chunksize=1))
+    finally:
+        data.unpersist()
     return Sweep(best, scores)
 
 

@@ -7,14 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from postlens.operators import demand
+from postlens.session import stage
 from postlens.taxonomy import ROLE_PAIRS, ROLE_SKILLS, Taxonomy, category_table
 
 
 def overview(clean: DataFrame, taxonomy: Taxonomy = ROLE_SKILLS,
              pairs: Mapping[str, Sequence[tuple[str, str]]] = ROLE_PAIRS) -> dict[str, DataFrame]:
-    """Name -> aggregate. Only the columns the aggregates read are cached."""
-    narrow = clean.select("source", "company", "skills_extracted", "skill_count",
-                          "exp_min_years").persist()
+    """Name -> aggregate. The columns the aggregates read are staged, without the texts."""
+    narrow = stage(clean.select("source", "company", "skills_extracted", "skill_count",
+                                "exp_min_years"), "overview")
     categories = category_table(clean.sparkSession, taxonomy)
     tables = {
         "headline": demand.headline_numbers(narrow),

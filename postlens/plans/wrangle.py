@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from postlens.functions.skills import with_tags
 from postlens.functions.text import looks_truncated, or_empty, search_text, with_clean_text
 from postlens.operators.dedupe import keep_longest
-from postlens.operators.prefix import company_prefixes, strip_prefixes
-from postlens.session import spread, stage
+from postlens.operators.prefix import HEADS, company_prefixes, strip_prefixes, with_heads
+from postlens.session import stage
 from postlens.taxonomy import ROLE_SKILLS, Taxonomy
 
 
@@ -35,14 +35,14 @@ def clean_postings(raw: DataFrame, taxonomy: Taxonomy = ROLE_SKILLS,
     Intros are stripped before copies are merged, as repeats of one posting share their whole text
     and so lose all but its last word. `dedupe_first` merges first instead, which keeps them.
 
-    The cleaned rows are staged once: prefix search and the strip read them three times, each with
-    its own few columns. Tagging comes after the merge so that merged copies are never tagged.
+    The cleaned rows are staged once with the digests of their openings, so the first step of the
+    prefix search reads no text. Tagging comes after the merge, so merged copies are never tagged.
     """
-    cleaned = to_clean(spread(raw))
+    cleaned = to_clean(raw)
     if dedupe_first:
         cleaned = keep_longest(cleaned)
-    cleaned = stage(cleaned, "cleaned")
-    stripped = strip_prefixes(cleaned, company_prefixes(cleaned))
+    cleaned = stage(with_heads(cleaned), "cleaned")
+    stripped = strip_prefixes(cleaned, company_prefixes(cleaned)).drop(*HEADS)
     if not dedupe_first:
         stripped = keep_longest(stripped)
     return tag(stripped, taxonomy)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+@lru_cache(maxsize=None)
+def _local_folder(app_id: str) -> str:
+    return tempfile.mkdtemp(prefix="postlens-")
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="postlens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_folder(context.applicationId)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -52,22 +57,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores if they arrive in fewer partitions, before per-row text work.
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread the rows of a scan over all cores if it comes in fewer partitions.
 
     One parquet row group or one JSON array is one task, however long its texts. Large inputs come
-    in more partitions than there are cores and are left alone.
+    in more partitions than there are cores and are left alone. Only for frames straight from a
+    reader: asking a frame with shuffles for its partitions would run them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def lookup_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Mark the small side of a join for broadcast, but only after counting it.
 
-    The counted rows are kept, so they are not computed again by the join. A side over `max_rows`
-    comes back unmarked and the join shuffles; callers pass narrow rows, so the bound holds the
-    broadcast to a few tens of megabytes.
+    The side is staged, so the join does not compute it again. Over `max_rows` it comes back
+    unmarked and Spark joins by its size on disk, shuffling if it must. Callers pass narrow rows,
+    so the bound holds the broadcast to a few tens of megabytes.
     """
-    kept = df.persist()
+    kept = stage(df, "lookup")
     return F.broadcast(kept) if kept.count() <= max_rows else kept

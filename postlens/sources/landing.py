@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens import schemas
+from postlens.session import spread
 
 
 def read_landing(spark: SparkSession, path: str, pattern: str = "*.json",
@@ -17,10 +18,9 @@ def read_landing(spark: SparkSession, path: str, pattern: str = "*.json",
     (`multi_line=False`) split freely.
     """
     try:
-        return (
+        return spread(
             spark.read.schema(schemas.RAW).option("multiLine", multi_line)
-            .option("pathGlobFilter", pattern).option("recursiveFileLookup", True).json(path)
-        )
+            .option("pathGlobFilter", pattern).option("recursiveFileLookup", True).json(path))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -31,7 +31,8 @@ def rows_per_file(spark: SparkSession, path: str, pattern: str = "*.json",
                   multi_line: bool = True) -> DataFrame:
     """(file, postings) for every file, including those that hold no posting."""
     loaded = (
-        read_landing(spark, path, pattern, multi_line)
+        spark.read.schema(schemas.RAW).option("multiLine", multi_line)
+        .option("pathGlobFilter", pattern).option("recursiveFileLookup", True).json(path)
         .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
     )
     # only the path column is read, so no file is opened

@@ -109,6 +109,7 @@ ROLE_PAIRS = {
 
 _WORD = r"[\p{L}\p{N}_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_OPENING_WORD = re.compile(r"^\\b(\w+)(?![?*{])")
 _OPENING_EDGE = re.compile(r"\\b(?=\w(?![?*{]))")
 _CLOSING_EDGE = re.compile(r"(?:(?<=\w)(?<!\\\w)|(?<=\w\?)(?<!\\\w\?))\\b")
 _LITERAL = re.compile(r"(?:[^\\.^$*+?{}\[\]|()]|\\[^\w\s])+")
@@ -137,11 +138,14 @@ def jvm_regex(pattern: str) -> str:
 
     Word characters are letters, numbers and '_' (Java's own also count combining marks); white
     space takes in the four ASCII separators; '.' stops at '\\n' only. A word edge whose one side is
-    known needs only the other side looked at, and a pattern without capitals needs no case flag.
+    known needs only the other side looked at, and an edge before an opening word is looked at once
+    the word is found, so that the search is for the word. A pattern without capitals needs no case
+    flag.
     """
     flags = "(?Ud)" if pattern == pattern.lower() else "(?iUd)"
-    pattern = _OPENING_EDGE.sub(lambda m: f"(?<!{_WORD})", pattern)
     pattern = _CLOSING_EDGE.sub(lambda m: f"(?!{_WORD})", pattern)
+    pattern = _OPENING_WORD.sub(lambda m: f"{m[1]}(?<!{_WORD}{m[1]})", pattern)
+    pattern = _OPENING_EDGE.sub(lambda m: f"(?<!{_WORD})", pattern)
     for python, java in ((r"\b", _EDGE), (r"\w", _WORD), (r"\s", r"[\s\x1c-\x1f]")):
         pattern = pattern.replace(python, java)
     return flags + pattern
