@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.labels import NO_MATCH, percent, skills_text
-from postlens.session import stage
+from postlens.session import spread, stage
 
 # How many matches are shown, and the shortest usable résumé.
 TOP_MATCHES = 25
@@ -67,7 +67,8 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
     4. Postings sharing nothing rank last, by position. A résumé set with fewer than n matches
        takes its fillers from the first 2n postings, of which fewer than n can match.
     """
-    posting_sets = stage(_posting_sets(postings, posting, skills, 2 * n), "posting-sets")
+    # narrow and few, yet costly to pair: a small table is spread over all cores
+    posting_sets = spread(stage(_posting_sets(postings, posting, skills, 2 * n), "posting-sets"))
     wanted = stage(resumes.select(F.col(resume), F.array_distinct(skills).alias("r_set")),
                    "resume-sets")
     # one row per skill of the taxonomy
@@ -79,10 +80,11 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
     key = bits.columns("r")
 
     offered = posting_sets.select(
-        bits.ids("p_set").alias("ids"), F.size("p_set").alias("job_requires"), "members") \
+        bits.ids("p_set").alias("ids"), F.size("p_set").alias("job_requires"), "members",
+        F.size("members").alias("n_members")) \
         .select("*", *bits.encode("ids", "p"))
     index = offered.select(
-        *bits.columns("p"), "job_requires", "members",
+        *bits.columns("p"), "job_requires", "members", "n_members",
         F.pmod(F.xxhash64(*bits.columns("p")), F.lit(salts)).cast("int").alias("salt"),
         F.explode_outer("ids").alias("skill"))
     coded = wanted.select(resume, bits.ids("r_set").alias("ids")) \
@@ -90,32 +92,35 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
     r_sets = coded.select(*key, "ids").distinct()
 
     def meet(probes: DataFrame) -> DataFrame:
-        spread = probes.withColumn("skill", F.explode_outer("ids")).drop("ids") \
+        probing = probes.withColumn("skill", F.explode_outer("ids")).drop("ids") \
+            .select("*", *bits.before("skill")) \
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return (
-            spread.join(index, ["skill", "salt"]).filter(bits.first_shared("skill"))
+        return probing.join(index, ["skill", "salt"]).filter(bits.none_before()) \
             .withColumn("matched_count", bits.shared())
-            .withColumn("coverage_pct", coverage(F.col("matched_count"), F.col("job_requires")))
-        )
 
-    score = F.struct("matched_count", "coverage_pct")
+    covered = coverage(F.col("matched_count"), F.col("job_requires"))
     reached = Window.partitionBy(*key).orderBy(F.desc("matched_count"), F.desc("coverage_pct"))
     cuts = (
-        meet(r_sets).groupBy(*key, "matched_count", "coverage_pct")
-        .agg(F.sum(F.size("members")).alias("postings"))
+        meet(r_sets).groupBy(*key, "matched_count", "job_requires")
+        .agg(F.sum("n_members").alias("postings"))
+        .withColumn("coverage_pct", covered)
         .withColumn("reached", F.sum("postings").over(reached))
         .filter(F.col("reached") >= n)
-        .groupBy(*key).agg(F.max(score).alias("cut"))
+        .groupBy(*key).agg(F.max(F.struct("matched_count", "coverage_pct")).alias("cut"))
+        .select(*key, F.col("cut.matched_count").alias("cut_count"),
+                F.col("cut.coverage_pct").alias("cut_pct"))
     )
-    bounded = r_sets.join(cuts, key, "left")
+    bounded = stage(r_sets.join(cuts, key, "left"), "resume-cuts")
 
-    needed = F.coalesce("cut.matched_count", F.lit(1))
+    needed = F.coalesce("cut_count", F.lit(1))
+    more, even = F.col("matched_count") > needed, F.col("matched_count") == needed
+    wins = more | (even & (F.col("cut_pct").isNull() | (covered >= F.col("cut_pct"))))
     rarest = F.slice("ids", F.lit(1), F.greatest(F.size("ids") - needed + 1, F.lit(0)))
     rank_sets = Window.partitionBy(*key).orderBy(
         F.desc("matched_count"), F.desc("coverage_pct"), F.get("members", F.lit(0)))
     matched = (
         meet(bounded.withColumn("ids", rarest))
-        .filter(F.col("cut").isNull() | (score >= F.col("cut")))
+        .filter(wins).withColumn("coverage_pct", covered)
         .withColumn("_i", F.row_number().over(rank_sets)).filter(F.col("_i") <= n)
         .select(*key, *bits.columns("p"), "job_requires", "matched_count", "coverage_pct",
                 F.explode(F.slice("members", 1, n)).alias("posting"))
@@ -127,7 +132,7 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
         .agg(F.collect_list(F.struct(*bits.columns("p"), "job_requires", "posting"))).scalar()
     )
     fillers = (
-        bounded.filter(F.col("cut").isNull()).select(*key, F.inline_outer(first))
+        bounded.filter(F.col("cut_count").isNull()).select(*key, F.inline_outer(first))
         .withColumn("matched_count", bits.shared()).filter(F.col("matched_count") == 0)
         .withColumn("coverage_pct", F.lit(0))
     )
@@ -183,7 +188,9 @@ class _Bits:
             mine = F.filter(ids, lambda i: F.floor(i / self.SIZE) == w)
             bit = F.transform(mine, lambda i: F.call_function(
                 "shiftleft", F.lit(1).cast("bigint"), i % self.SIZE))
-            return F.aggregate(bit, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+            zero = F.lit(0).cast("bigint")
+            # declared never null, else every join on it would test for that
+            return F.coalesce(F.aggregate(bit, zero, lambda a, b: a.bitwiseOR(b)), zero)
 
         return [word(w).alias(name) for w, name in enumerate(self.columns(side))]
 
@@ -194,15 +201,21 @@ class _Bits:
         """Number of shared skills."""
         return reduce(add, [F.bit_count(x).cast("int") for x in self._both()])
 
-    def first_shared(self, position: str) -> Column:
-        """No skill before the position held in this column is shared."""
-        def before(w: int) -> Column:
+    def before(self, position: str) -> list[Column]:
+        """The résumé's skills that come before the one at `position`."""
+        def mask(w: int) -> Column:
             at = F.col(position) - w * self.SIZE
             full = F.lit((1 << self.SIZE) - 1)
             return F.when(at >= self.SIZE, full).when(at <= 0, F.lit(0).cast("bigint")) \
                 .otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), at) - 1)
 
-        return reduce(and_, [x.bitwiseAND(before(w)) == 0 for w, x in enumerate(self._both())])
+        return [F.col(r).bitwiseAND(mask(w)).alias(b)
+                for w, (r, b) in enumerate(zip(self.columns("r"), self.columns("b")))]
+
+    def none_before(self) -> Column:
+        """None of those is shared, so the pair is taken at this skill and no other."""
+        return reduce(and_, [F.col(p).bitwiseAND(F.col(b)) == 0
+                             for p, b in zip(self.columns("p"), self.columns("b"))])
 
     def names_shared(self) -> Column:
         """Names of the shared skills, sorted."""
