@@ -202,7 +202,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over landed snapshots ends at the table the batch stages give."""
     log, state = _folder(spark, "log"), _folder(spark, "state")
-    raw = ingest.read_landing_stream(spark, _landed(spark, sf_dir), files_per_batch=1,
+    raw = ingest.read_landing_stream(spark, _landed(spark, sf_dir), files_per_batch=8,
                                      multi_line=False)
     ingest.ingest(raw, log, state).awaitTermination()
     return flat(ingest.current_postings(spark, log))

@@ -24,6 +24,8 @@ RESTARTS = 10
 TOP_TERMS = 12
 SAMPLE_TITLES = 5
 
+ROWS_PER_TASK = 20_000
+
 
 @dataclass
 class Sweep:
@@ -56,8 +58,9 @@ def sweep_k(df: DataFrame, ks: Iterable[int] = K_RANGE, restarts: int = RESTARTS
     so one fit's short final stages do not leave the executors idle. Squared Euclidean silhouette
     is used because it needs one pass and per-cluster totals, not all pairs.
     """
-    data = df.select(features).persist()
-    data.count()
+    data = df.select(features)
+    # a fit is many short jobs: tasks below this size would cost more to start than to run
+    data = data.coalesce(max(1, data.count() // ROWS_PER_TASK)).persist()
 
     def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
         k, s = task
