@@ -32,7 +32,7 @@ def test_clean_text_hand_cases(spark):
 
 def test_extra_boilerplate_span(column):
     spans = [("Apply (?:now|today) at .*?!", "apply")]
-    got = column(lambda c: text.drop_boilerplate(c, spans), ["x APPLY NOW at\nacme! y", "x y"])
+    got = column(lambda c: text.drop_boilerplate(c, spans), ["x APPLY NOW at \nacme! y", "x y"])
     assert got == ["x   y", "x y"]
 
 
