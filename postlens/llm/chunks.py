@@ -263,6 +263,14 @@ def runs(flags: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(up), np.flatnonzero(down)
 
 
+def first_and_last(group: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest id of each of n groups."""
+    low, high = np.full(n, LAST_ID), np.full(n, -(1 << 63))
+    np.minimum.at(low, group, keys)
+    np.maximum.at(high, group, keys)
+    return low, high
+
+
 def covered(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of `size` places lie in one of the half-open intervals."""
     change = np.bincount(begins, minlength=size + 1).astype(np.int64)

@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.catalog.registry import query
-from postlens.llm import substring_dedup
+from postlens.llm import substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+        "kept_sha256")
+
+
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
     '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
   s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g

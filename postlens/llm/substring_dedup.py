@@ -87,20 +87,12 @@ class Windows:
         return (second >> np.uint64(48)).astype(np.uint32)
 
 
-def first_and_last(group: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest id of each of n groups."""
-    low, high = np.full(n, chunks.LAST_ID), np.full(n, -(1 << 63))
-    np.minimum.at(low, group, keys)
-    np.maximum.at(high, group, keys)
-    return low, high
-
-
 def possible(w: Windows, shared: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct filter keys; and, with the replies to them, the windows that can recur."""
     low, group = np.unique(w.low, return_inverse=True)
     if shared is None:
         return low, group
-    least, most = first_and_last(group, w.key, len(low))
+    least, most = chunks.first_and_last(group, w.key, len(low))
     return low, np.flatnonzero((shared | (least != most))[group])
 
 
