@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.catalog.registry import query
-from postlens.llm import substring_dedup, suffix_dedup
+from postlens.llm import minhash, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept_sha256")
 
 
+@query()
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
     '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
   s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
