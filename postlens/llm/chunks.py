@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a chunk holds on average; a task keeps a few arrays of that length.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Keys that one bucket holds on average.
 BUCKET_KEYS = 2_000_000
 #: Fewest chunks and buckets, so that small inputs are spread as well.
