@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.catalog.registry import query
-from postlens.llm import minhash, substring_dedup, suffix_dedup
+from postlens.llm import minhash, packing, substring_dedup, suffix_dedup
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +32,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
     '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
   s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
