@@ -250,3 +250,11 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         F.nullif("key", last).alias(id), F.col("n").alias("n_shingles"),
         F.nullif("component", last).alias("component_id"),
         (F.col("key") == F.col("component")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` but those of which a near copy with a smaller id is kept. Of several rows
+    of equal id all stay or go."""
+    gone = near_copies(docs, id, text).where("NOT kept").select(F.col(id).alias("__id")).distinct()
+    return docs.join(stage(gone, "near-copies"),
+                     F.col(f"`{id}`").cast("long").eqNullSafe(F.col("__id")), "left_anti")
