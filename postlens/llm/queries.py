@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.catalog.registry import query
-from postlens.llm import decontaminate, minhash, packing, quality, substring_dedup, suffix_dedup
+from postlens.llm import decontaminate, lm_score, minhash, packing, quality, substring_dedup, suffix_dedup
 
 
 def tokenizer() -> str:
@@ -27,6 +27,30 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept_sha256")
 
 
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b,
+    CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+  n1 AS (SELECT c, count(*) AS k FROM t GROUP BY c),
+  n2 AS (SELECT b, c, count(*) AS k FROM t WHERE b IS NOT NULL GROUP BY b, c),
+  n3 AS (SELECT a, b, c, count(*) AS k FROM t WHERE a IS NOT NULL GROUP BY a, b, c),
+  s AS (SELECT doc_id, CASE WHEN n3.k >= 2 THEN log10(n3.k / ab.k)
+      WHEN bc.k >= 2 THEN log10(bc.k / n1b.k) + CASE WHEN a IS NULL THEN 0 ELSE log10(0.4) END
+      ELSE log10(n1.k / (SELECT count(*) FROM t)) + CASE WHEN b IS NULL THEN 0 WHEN a IS NULL
+        THEN log10(0.4) ELSE 2 * log10(0.4) END END AS l,
+      CASE WHEN n3.k >= 2 THEN 3 WHEN bc.k >= 2 THEN 2 ELSE 1 END AS o
+    FROM t JOIN n1 USING (c) LEFT JOIN n3 USING (a, b, c) LEFT JOIN n2 AS bc USING (b, c)
+    LEFT JOIN n2 AS ab ON ab.b = t.a AND ab.c = t.b LEFT JOIN n1 AS n1b ON n1b.c = t.b)
+SELECT doc_id, count(o) AS n_tokens, count(*) FILTER (o = 3) AS n_trigrams,
+  count(*) FILTER (o = 2) AS n_bigrams, count(*) FILTER (o = 1) AS n_unigrams,
+  round(avg(l), 5) AS mean_log10
+FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id""")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.scored(docs).select("doc_id", "n_tokens", "n_trigrams", "n_bigrams",
+                                        "n_unigrams", F.round("mean_log10", 5).alias("mean_log10"))
+
+
 @query()
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
