@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.catalog.registry import query
-from postlens.llm import decontaminate, lm_score, minhash, packing, quality, substring_dedup, suffix_dedup
+from postlens.llm import (
+    decontaminate,
+    language_id,
+    lm_score,
+    minhash,
+    packing,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    vector_join,
+)
 
 
 def tokenizer() -> str:
@@ -19,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    return language_id.predicted(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,6 +45,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept_sha256")
 
 
+@query("""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL),
+  l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label
+    AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.98),
+  r(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+  c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u),
+  n AS (SELECT u, count(*) AS k FROM l GROUP BY u)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id""")
+def op3_vector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
     '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
   t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b,
