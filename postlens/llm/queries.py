@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,11 @@ from postlens.llm import (
     substring_dedup,
     suffix_dedup,
     vector_join,
+    warc,
 )
 
+from postlens.session import staging_root
+
 
 def tokenizer() -> str:
     import public_tokenizers
@@ -88,6 +93,26 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+@query("""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+  f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{staging_root(spark)}/archive-{uuid.uuid4().hex}"
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    records = warc.read(spark, path)
+    stored = F.col("record_type") == "response"
+    return records.select(
+        warc.page_of("record_id").alias("page_id"),
+        F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length"))
+        .alias("payload_bytes"),
+        F.when(stored, F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
+        .alias("payload_digest"),
+        "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
 @query()
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
