@@ -3,12 +3,14 @@
 1. Each text gives its set of word shingles as 64-bit hashes, `BANDS * ROWS` minima of universal
    hashes over it, and a fingerprint of the whole set. Texts of equal sets form a class, which one
    member stands for from here on, so a group of copies costs one row.
-2. Minima are hashed by bands of `ROWS`. In every bucket all members are held against its smallest
-   id: pairs are as many as members. A pair first compares signatures, then whole sets.
-3. Links give components. Members of one bucket that are still in different components are then
-   compared with each other by signature, in blocks of bounded size, and those pairs that may be
-   links by whole sets; a second round of components follows. A group of near copies has merged by
-   then, so what is left to compare is small, yet no link between members of a bucket is lost.
+2. Minima are hashed by bands of `ROWS`. Each bucket takes as pivot its member that meets most others
+   over all bands, and all members are held against it: pairs are as many as members. A pair first
+   compares signatures, then whole sets. Links give components.
+3. The members of all buckets of one pivot form a group; every pair that shares a bucket is in one.
+   In groups whose members are still in different components, those are held against each other, in
+   blocks of bounded size: by signature, then by whole sets. Only links that join two components
+   leave the task, so rows never grow with the square of a group. A second round of components
+   follows. No link between members of a bucket is lost.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^50 = 6e-9.
 """
@@ -16,6 +18,7 @@ A pair at the threshold shares no band with probability (1 - 0.75^4)^50 = 6e-9.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,10 @@ PERCENT = 75
 BANDS, ROWS = 50, 4
 #: A pair whose signatures agree on less is no link: five standard deviations below the threshold.
 LIKELY = 0.6
-#: Most members of a bucket that are compared with each other in one go.
-BLOCK = 1024
-#: Rows of buckets that one task compares.
-SLOT_ROWS = 100_000
+#: Members of a group that are compared with as many others in one go, about.
+BLOCK = 384
+#: Rows of groups that one task compares.
+SLOT_ROWS = 8_000
 
 _random = np.random.default_rng(7)
 FACTORS = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -135,8 +138,7 @@ def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         ok = []
         for x, y in zip(b["xu"].to_pylist(), b["xv"].to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
+            both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             ok.append(100 * common >= PERCENT * (len(both) - common))
@@ -145,46 +147,82 @@ def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["u", "v"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among distinct pairs, held against whole sets, which are made anew from the texts of
-    those documents alone that are in a pair. A hub's set is joined by a plain shuffle, which Spark
-    splits."""
-    pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    sets = stage(texts.join(wanted, "key", "left_semi").mapInArrow(set_rows, "key long, set binary"),
-                 "sets")
-    both = pairs.join(sets.select(F.col("key").alias("v"), F.col("set").alias("xv")), "v") \
-        .join(sets.select(F.col("key").alias("u"), F.col("set").alias("xu")), "u")
-    return stage(both.mapInArrow(linked, "u long, v long"), "links")
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the pairs `at` (rows: left, right), by the cheaper of two ways."""
+    sizes = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    one_by_one = float((sizes[0][at[:, 0]] + sizes[1][at[:, 1]]).sum()) * 2e-8 + len(at) * 1.5e-5
+    if one_by_one > 0.2:
+        values, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+        if len(left) * len(right) * len(values) * 1e-10 < one_by_one:
+            row = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+            out = np.zeros((len(left), len(right)), np.float32)
+            for v in range(0, len(values), 4096):
+                some = (place >= v) & (place < v + 4096)
+                has = np.zeros((len(left) + len(right), 4096), np.float32)
+                has[row[some], place[some] - v] = 1
+                out += has[:len(left)] @ has[len(left):].T
+            return out[at[:, 0], at[:, 1]].astype(np.int64)
+    out = np.empty(len(at), np.int64)
+    for i, (a, b) in enumerate(at.tolist()):
+        both = np.concatenate([left[a], right[b]])
+        both.sort(kind="stable")
+        out[i] = (both[1:] == both[:-1]).sum()
+    return out
+
+
+class Forest:
+    """Union-find over the components that a block holds."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.above.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
 
 
 def apart(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one slot's buckets that are in different components and look like links."""
-    table = table.sort_by([("band", "ascending"), ("bi", "ascending"), ("bj", "ascending"),
+    """Links between different components in one slot's blocks, as few as join them."""
+    table = table.sort_by([("pivot", "ascending"), ("bi", "ascending"), ("bj", "ascending"),
                            ("key", "ascending")])
-    of = [table[k].to_numpy() for k in ("band", "bi", "bj")]
+    of = [table[k].to_numpy() for k in ("pivot", "bi", "bj")]
     keys, comps, block = (table[k].to_numpy() for k in ("key", "component", "block"))
-    pivot = table["pivot"].to_numpy()
     signs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8) \
         .reshape(len(table), -1)
-    new = np.ones(len(table), bool)
-    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in of])
-    cuts = [*np.flatnonzero(new).tolist(), len(table)]
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+    sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+    new = np.ones(len(table) + 1, bool)
+    new[1:-1] = np.logical_or.reduce([x[1:] != x[:-1] for x in of])
+    us, vs = [], []
+    for i, j in pairwise(np.flatnonzero(new).tolist()):
         left = np.flatnonzero(block[i:j] == of[1][i]) + i
         right = np.flatnonzero(block[i:j] == of[2][i]) + i
-        for a in left:
-            b = right[(comps[right] != comps[a]) & (keys[right] > keys[a])] \
-                if of[1][i] == of[2][i] else right[comps[right] != comps[a]]
-            if keys[a] == pivot[a]:
-                continue
-            b = b[keys[b] != pivot[b]]
-            b = b[(signs[b] == signs[a]).mean(axis=1) >= LIKELY] if len(b) else b
-            us.append(np.maximum(keys[a], keys[b]))
-            vs.append(np.minimum(keys[a], keys[b]))
-    pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+        near = []
+        for n, a in enumerate(left):
+            b = np.flatnonzero((comps[right] != comps[a]) & ((keys[right] > keys[a])
+                                                            | (of[1][i] != of[2][i])))
+            if len(b):
+                b = b[(signs[right[b]] == signs[a]).mean(axis=1) >= LIKELY]
+                near.append(np.stack([np.full(len(b), n), b], axis=1))
+        pairs = np.concatenate(near) if near else np.zeros((0, 2), np.int64)
+        if not len(pairs):
+            continue
+        a, b = left[pairs[:, 0]], right[pairs[:, 1]]
+        common = overlaps([sets[x] for x in left], [sets[x] for x in right], pairs)
+        size = np.array([len(sets[x]) for x in range(i, j)])
+        linked = 100 * common >= PERCENT * (size[a - i] + size[b - i] - common)
+        forest = Forest()
+        for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+            if forest.join(int(comps[x]), int(comps[y])):
+                us.append(int(keys[x]))
+                vs.append(int(keys[y]))
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,8 +230,9 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
     A set holds the distinct 5-word shingles, or the whole sequence of fewer words; a text that is
     null or has no words has an empty set and links with nothing. Documents link if
-    100 * intersection >= 75 * union. Rows of equal id are one node; null ids are one, after all
-    others, and get a null component if alone. An empty table gives an empty one.
+    100 * intersection >= 75 * union. Ids are expected to be unique: rows that repeat one are placed by
+    their own texts, and where those differ links of either count for both. A null id comes after all
+    others; its component is null if it is alone. An empty table gives an empty one.
     """
     key = F.coalesce(docs[id].cast("long"), F.lit(chunks.LAST_ID))
     texts = docs.select(key.alias("key"), docs[text].alias("text"))
@@ -204,44 +243,49 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
                     .join(classes, ["d1", "d2"]).select("key", "n", "rep"), "members")
     alone = features.join(classes.select(F.col("rep").alias("key")).distinct(), "key", "left_semi") \
         .where("n > 0")
-    banded = stage(alone.select("key", F.explode("bands").alias("band")).distinct(), "bands")
-    pivots = stage(banded.groupBy("band").agg(F.min("key").alias("pivot"),
-                                              F.count(F.lit(1)).alias("size")).where("size > 1"),
-                   "pivots")
-    met = stage(banded.join(pivots, "band"), "met")
-    pairs = met.where("key > pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")) \
-        .distinct()
+    banded = alone.select("key", F.explode("bands").alias("band")).distinct()
+    sizes = stage(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"),
+                  "sizes")
+    met = stage(banded.join(sizes, "band"), "met")
+    rank = stage(met.groupBy("key").agg(F.sum("size").alias("meets")), "meets")
+    pivots = stage(met.join(rank, "key").groupBy("band").agg(
+        F.max_by("key", F.struct("meets", -F.col("key"))).alias("pivot")), "pivots")
+    grouped = stage(met.join(pivots, "band").select("pivot", "key").where("key != pivot")
+                    .distinct(), "grouped")
     signs = alone.select("key", "signature")
-    near = pairs.join(signs.select(F.col("key").alias("u"), F.col("signature").alias("su")), "u") \
-        .join(signs.select(F.col("key").alias("v"), F.col("signature").alias("sv")), "v") \
-        .mapInArrow(likely, "u long, v long")
-    links = verified(near, texts)
-    first = stage(components(links), "components")
-
-    # Members of a bucket that are still apart; the smallest one has been compared with all.
-    placed = met.where("size > 2").join(first.withColumnRenamed("node", "key"), "key", "left") \
-        .withColumn("component", F.coalesce("component", "key"))
-    placed = stage(placed, "placed")
-    split = stage(placed.groupBy("band").agg(F.min("component").alias("a"),
-                                             F.max("component").alias("b"))
-                  .where("a < b").select("band"), "split")
-    open_rows = stage(placed.join(split, "band", "left_semi"), "open")
-    n = open_rows.count()
-    if n:
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
-        slots = max(chunks.LEAST, -(-n // SLOT_ROWS))
-        spread = open_rows.withColumn("block", mine) \
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
-            .withColumn("bi", F.least("block", "other")) \
-            .withColumn("bj", F.greatest("block", "other")).drop("other") \
-            .join(signs, "key") \
-            .withColumn("slot", F.pmod(F.xxhash64("band", "bi", "bj"), F.lit(slots)).cast("int"))
-        late = spread.groupBy("slot").applyInArrow(apart, "u long, v long").distinct()
-        more = verified(late, texts)
+    sets = stage(texts.join(rank.select("key"), "key", "left_semi")
+                 .mapInArrow(set_rows, "key long, set binary").dropDuplicates(["key"]), "sets")
+
+    pairs = grouped.select(F.col("key").alias("u"), F.col("pivot").alias("v"))
+    near = stage(
+        pairs.join(signs.select(F.col("key").alias("u"), F.col("signature").alias("su")), "u")
+        .join(signs.select(F.col("key").alias("v"), F.col("signature").alias("sv")), "v")
+        .mapInArrow(likely, "u long, v long"), "near")
+    links = stage(
+        near.join(sets.select(F.col("key").alias("u"), F.col("set").alias("xu")), "u")
+        .join(sets.select(F.col("key").alias("v"), F.col("set").alias("xv")), "v")
+        .mapInArrow(linked, "u long, v long"), "links")
+    final = first = stage(components(links), "components")
+
+    placed = stage(grouped.join(first.withColumnRenamed("node", "key"), "key", "left")
+                   .withColumn("component", F.coalesce("component", "key")), "placed")
+    split = stage(placed.groupBy("pivot").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"),
+        F.count(F.lit(1)).alias("size")).where("a < b").select("pivot", "size"), "split")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    spread = placed.join(split, "pivot") \
+        .withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
+        .select("pivot", "key", "component", "block", F.least("block", "other").alias("bi"),
+                F.greatest("block", "other").alias("bj"))
+    spread = stage(spread, "spread")
+    rows = spread.count()
+    if rows:
+        slots = max(chunks.LEAST, -(-rows // SLOT_ROWS))
+        late = spread.join(signs, "key").join(sets, "key").withColumn(
+            "slot", F.pmod(F.xxhash64("pivot", "bi", "bj"), F.lit(slots)).cast("int"))
+        more = stage(late.groupBy("slot").applyInArrow(apart, "u long, v long").distinct(), "late")
         final = stage(components(links.unionByName(more)), "components")
-    else:
-        final = first
     named = members.join(final.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("key", "n", F.coalesce("component", "rep").alias("component"))
     none = features.where("n = 0").select("key", "n", F.col("key").alias("component"))
