@@ -240,15 +240,7 @@ def with_replies(df: DataFrame, answers: list[DataFrame],
     for a in answers[1:]:
         got = got.unionByName(a)
     return df.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(
-        lambda key, table, said: run(key[0].as_py(), Chunk(table), said) if len(table)
-        else empty(schema), schema)
-
-
-def empty(schema: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+        lambda key, table, said: run(key[0].as_py(), Chunk(table), said), schema)
 
 
 def runs(flags: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

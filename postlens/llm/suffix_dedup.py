@@ -25,10 +25,12 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm import chunks
@@ -43,7 +45,8 @@ SAMPLE = 20_000
 RANGE_BYTES = 8 << 20
 BLOCK = 1 << 17
 
-RUN = "range int, chunk int, n long, prefixes binary, lengths binary, tails binary, ids binary"
+RUN = "range int, chunk int, n long, prefixes binary, lengths binary, tails binary, ids binary, " \
+    "slots binary"
 FOUND = "key long, text binary, rest {rest}, n_bytes long, n_removed long, " \
     "removed array<struct<begin:long,end:long>>, kept_sha256 string"
 
@@ -109,17 +112,23 @@ class Spans:
         keep = valid[at[:-1]]
         self.at, self.count = at[:-1][keep], np.diff(at)[keep]
         self.key = c.keys[np.searchsorted(c.ends, self.at, side="right")]
-        self.anchor = anchors[keep] >> u64(64 - FILTER_BITS)
+        # Minima crowd at the low end; mixed again they fill all buckets alike.
+        self.anchor = chunks.mix(anchors[keep] & ~u64(63)) >> u64(64 - FILTER_BITS)
 
 
-def window_hashes(c: Chunk, at: np.ndarray, width: int) -> np.ndarray:
-    """Filter keys of the windows at `at`."""
+def string_hashes(c: Chunk, at: np.ndarray, length: np.ndarray | int, width: int) -> np.ndarray:
+    """64-bit hashes of strings at `at`, between `width` and `2 * width - ANCHOR` bytes long."""
+    end = at + length
+    places = [at + i for i in [*range(0, width - 7, 8), width - 8]]
+    if not isinstance(length, int):
+        places += [end - i for i in range(8, width - ANCHOR + 8, 8)]
     h = np.zeros(len(at), np.uint64)
-    for offset in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
-        h ^= c.words(at, offset)
+    h += np.asarray(length).astype(np.uint64)
+    for p in places:
+        h ^= c.words(p)
         h *= u64(0x9E3779B97F4A7C15)
         h ^= h >> u64(29)
-    return chunks.mix(h) >> u64(64 - FILTER_BITS)
+    return chunks.mix(h)
 
 
 def windows(at: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -131,36 +140,47 @@ def windows(at: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 # --- runs ---------------------------------------------------------------------------------------
 
-class Run:
-    """The distinct strings of a chunk in order, each with the smallest id that has it."""
+class Strings:
+    """The distinct strings of a chunk, told apart by 64-bit hashes, with the smallest id of each."""
 
-    def __init__(self, c: Chunk, at: np.ndarray, length: np.ndarray, keys: np.ndarray):
+    def __init__(self, hashes: np.ndarray, keys: np.ndarray):
+        self.hash, self.first, self.group = np.unique(hashes, return_index=True,
+                                                      return_inverse=True)
+        self.ids, self.last = chunks.first_and_last(self.group, keys, len(self.hash))
+
+    def gone(self, keys: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+        """Which occurrences a smaller id has as well, in this chunk or elsewhere."""
+        return smaller[self.group] | (keys > self.ids[self.group])
+
+    def run(self, chunk: int, c: Chunk, at: np.ndarray, length: np.ndarray, cuts: list[bytes],
+            longest: int) -> pa.Table:
+        """The strings in order, as one front-coded row per range."""
         text = c.bytes.tobytes()
-        strings = [text[a:a + n] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-        self.strings = sorted(set(strings))
-        rank = dict(zip(self.strings, range(len(self.strings)), strict=True))
-        self.group = np.fromiter(map(rank.__getitem__, strings), np.int64, len(strings))
-        self.ids = np.full(len(self.strings), chunks.LAST_ID)
-        np.minimum.at(self.ids, self.group, keys)
-
-    def parts(self, chunk: int, splitters: list[bytes], longest: int) -> pa.Table:
-        """The run as one front-coded row per range."""
-        cuts = [0, *(bisect_left(self.strings, s) for s in splitters), len(self.strings)]
+        strings = [text[a:a + n] for a, n in zip(at[self.first].tolist(),
+                                                 length[self.first].tolist(), strict=True)]
+        order = sorted(range(len(strings)), key=strings.__getitem__)
+        strings = [strings[i] for i in order]
+        order = np.array(order, np.uint32)
+        ends = [0, *(bisect_left(strings, s) for s in cuts), len(strings)]
         rows: dict[str, list] = {k.split()[0]: [] for k in RUN.split(", ")}
-        for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        for r, (i, j) in enumerate(pairwise(ends)):
             if i == j:
                 continue
-            prefixes, lengths, tails = front_coded(self.strings[i:j], longest)
-            ids = chunks.pack(self.ids[i:j])
+            prefixes, lengths, tails = front_coded(strings[i:j], longest)
             for k, v in zip(rows, (r, chunk, j - i, chunks.pack(prefixes), chunks.pack(lengths),
-                                   tails, ids), strict=True):
+                                   tails, chunks.pack(self.ids[order[i:j]]),
+                                   chunks.pack(order[i:j])), strict=True):
                 rows[k].append(v)
-        types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types, strict=True)})
 
-    def gone(self, keys: np.ndarray, smaller: np.ndarray) -> np.ndarray:
-        """Which occurrences a smaller id has as well, in this chunk or elsewhere."""
-        return smaller[self.group] | (keys > self.ids[self.group])
+
+def flagged(said: pa.Table, phase: int, n: int) -> np.ndarray:
+    """Which of a chunk's strings a smaller id has elsewhere."""
+    out = np.zeros(n, bool)
+    for _, slots in chunks.replies(said, phase):
+        out[chunks.unpack_sorted(slots).astype(np.int64)] = True
+    return out
 
 
 def front_coded(strings: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -255,7 +275,7 @@ def merged(values: list[list[int]], apart: list[list[int]]) -> Iterator[tuple[in
 
 
 def merging(phase: int, longest: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Range task: merge the runs; for each string of each, whether a smaller id has it too."""
+    """Range task: merge the runs; tell each the places of strings that a smaller id has too."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = chunks.ordered(table)
@@ -278,8 +298,11 @@ def merging(phase: int, longest: int) -> Callable[[tuple, pa.Table], pa.Table]:
         least = np.minimum.reduceat(ids, begin)[np.cumsum(first) - 1]
         found = np.zeros(len(ids), bool)
         found[order] = least < ids
-        return chunks.answer(phase, key[0].as_py(), table["chunk"].to_pylist(), counts, found,
-                             chunks.bits)
+        slots = np.concatenate([chunks.unpack(x.as_py(), "<u4") for x in table["slots"]])
+        return chunks.answer(
+            phase, key[0].as_py(), table["chunk"].to_pylist(), counts,
+            np.where(found, slots.astype(np.int64), -1),
+            lambda x: chunks.pack_sorted(np.sort(x[x >= 0]).astype(np.uint64)))
 
     return run
 
@@ -331,31 +354,33 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
         """What a chunk knows after the replies so far; each phase derives it anew."""
 
         def __init__(self, c: Chunk, said: pa.Table | None, phases: int):
-            self.spans = s = Spans(c, width)
+            s = Spans(c, width)
             self.anchors, group = np.unique(s.anchor, return_inverse=True)
             if phases < 1:
                 return
             least, most = chunks.first_and_last(group, s.key, len(self.anchors))
             shared = (chunks.reply_bits(said, 1) | (least != most))[group]
-            self.at, self.count, self.key = s.at[shared], s.count[shared], s.key[shared]
-            self.run = Run(c, self.at, self.count + width - 1, self.key)
+            self.at, key = s.at[shared], s.key[shared]
+            self.length = s.count[shared] + width - 1
+            self.strings = Strings(string_hashes(c, self.at, self.length, width), key)
             if phases < 2:
                 return
-            gone = self.run.gone(self.key, chunks.reply_bits(said, 2))
-            self.begins, self.ends = self.at[gone], (self.at + self.count + width - 1)[gone]
-            self.window = windows(self.at[~gone], self.count[~gone])
-            keys = np.repeat(self.key[~gone], self.count[~gone])
-            self.hashes, group = np.unique(window_hashes(c, self.window, width),
-                                           return_inverse=True)
+            gone = self.strings.gone(key, flagged(said, 2, len(self.strings.hash)))
+            self.begins, self.ends = self.at[gone], (self.at + self.length)[gone]
+            count = s.count[shared][~gone]
+            self.at, key = windows(self.at[~gone], count), np.repeat(key[~gone], count)
+            hashes = string_hashes(c, self.at, width, width)
+            self.filter, group = np.unique(hashes >> u64(64 - FILTER_BITS), return_inverse=True)
             if phases < 3:
                 return
-            least, most = chunks.first_and_last(group, keys, len(self.hashes))
+            least, most = chunks.first_and_last(group, key, len(self.filter))
             again = (chunks.reply_bits(said, 3) | (least != most))[group]
-            self.window, keys = self.window[again], keys[again]
-            self.run = Run(c, self.window, np.full(len(self.window), width), keys)
+            self.at, key = self.at[again], key[again]
+            self.length = np.full(len(self.at), width)
+            self.strings = Strings(hashes[again], key)
             if phases < 4:
                 return
-            at = self.window[self.run.gone(keys, chunks.reply_bits(said, 4))]
+            at = self.at[self.strings.gone(key, flagged(said, 4, len(self.strings.hash)))]
             self.begins = np.concatenate([self.begins, at])
             self.ends = np.concatenate([self.ends, at + width])
 
@@ -363,13 +388,15 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
         return chunks.ask(chunk, at_anchor, FILTER_BITS, State(c, None, 0).anchors)
 
     def span_run(chunk: int, c: Chunk, said: pa.Table) -> pa.Table:
-        return State(c, said, 1).run.parts(chunk, cuts, longest)
+        s = State(c, said, 1)
+        return s.strings.run(chunk, c, s.at, s.length, cuts, longest)
 
     def filter_windows(chunk: int, c: Chunk, said: pa.Table) -> pa.Table:
-        return chunks.ask(chunk, at_window, FILTER_BITS, State(c, said, 2).hashes)
+        return chunks.ask(chunk, at_window, FILTER_BITS, State(c, said, 2).filter)
 
     def window_run(chunk: int, c: Chunk, said: pa.Table) -> pa.Table:
-        return State(c, said, 3).run.parts(chunk, cuts, longest)
+        s = State(c, said, 3)
+        return s.strings.run(chunk, c, s.at, s.length, cuts, longest)
 
     def remove(chunk: int, c: Chunk, said: pa.Table) -> pa.Table:
         s = State(c, said, 4)
@@ -409,3 +436,13 @@ def kept(c: Chunk, gone: np.ndarray) -> pa.Table:
         "key": c.table["key"], "text": pa.array(texts, pa.binary()), "rest": c.table["rest"],
         "n_bytes": pa.array(c.lengths, pa.int64()), "n_removed": pa.array(lost, pa.int64()),
         "removed": pa.array(removed, span), "kept_sha256": pa.array(digests)})
+
+
+def whole_characters(data: Column) -> Column:
+    """Kept bytes as text, without what a cut has left of a split character."""
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return text(data)
