@@ -93,12 +93,18 @@ class Tokens:
         self.canonical = np.where(self.type > 0, SLOT[self.type], self.value)
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of the windows that lie in one text."""
+        """First tokens and hashes of the windows that lie in one text. A window with names has two:
+        with the names as slots and as plain words, so that a text in capitals is known too."""
         n = len(self.begin) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.doc[:n] == self.doc[width - 1:])
-        return at, rolling(self.canonical, width, BASES[0])[at]
+        names = self.type == NAME
+        before = np.concatenate([[0], np.cumsum(names)])
+        named = at[before[at + width] > before[at]]
+        plain = np.where(names, self.value, self.canonical)
+        return np.concatenate([at, named]), np.concatenate([
+            rolling(self.canonical, width, BASES[0])[at], rolling(plain, width, BASES[0])[named]])
 
 
 def word_values(b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -153,6 +159,9 @@ class Benchmark:
         there = self.at[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
         order = np.lexsort((here, here - there))
         here, there = here[order], there[order]
+        if len(here):
+            once = np.concatenate([[True], (here[1:] != here[:-1]) | (there[1:] != there[:-1])])
+            here, there = here[once], there[once]
         new = np.ones(len(here) + 1, bool)
         new[1:-1] = (here[1:] - there[1:] != here[:-1] - there[:-1]) | (here[1:] - here[:-1] != 1) \
             | (self.tokens.doc[there[1:]] != self.tokens.doc[there[:-1]]) \
