@@ -42,14 +42,21 @@ OTHER = re.compile("[^\x00-\u017f]|[İ\x1c-\x1f]|<\\|")
 
 
 class WordCache(dict):
-    """Number of each word piece; its ids are `ids[at[i]:at[i + 1]]`. Unknown ones are learnt in
-    bulk: the tokenizer marks the last id of a piece, so one call over many pieces can be cut."""
+    """Number of each word piece; its ids are `flat[at[i]:at[i + 1]]`. Looking up an unknown piece
+    gives it the next number; the ids of all new ones are then learnt in bulk. Pieces are already in
+    the form that the tokenizer's own first steps give, so only its byte form and merges are left to
+    do, and it marks the last id of each piece, so one call over many can be cut."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -57,35 +64,39 @@ class WordCache(dict):
 
     def forget(self) -> None:
         self.clear()
+        self.new: list[str] = []
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if not new:
-            return
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+    def learn(self) -> None:
+        lines = [" ".join(self.new[i:i + 64]) for i in range(0, len(self.new), 64)]
+        got = self.merger.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.array([i for x in got for i in x.ids], np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(new):
+        if len(ends) != len(self.new):
             raise ValueError("word pieces and their last ids differ in number")
-        n = len(self)
-        self.update(zip(new, range(n, n + len(new)), strict=True))
         self.at = np.concatenate([self.at, ends + len(self.flat)])
         self.flat = np.concatenate([self.flat, ids])
+        self.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [None if OTHER.search(t) else SIMPLE.findall(t.lower()) for t in texts]
-        unknown = set().union(*filter(None, words)).difference(self)
-        if len(self) + len(unknown) > REMEMBERED:
+        if len(self) > REMEMBERED:
             self.forget()
-            unknown = set().union(*filter(None, words))
-        self.learn(unknown)
+        pieces = [None if OTHER.search(t) else SIMPLE.findall(t.lower()) for t in texts]
+        numbers = [None if p is None else np.fromiter(map(self.__getitem__, p), np.int64, len(p))
+                   for p in pieces]
+        if self.new:
+            self.learn()
         out = []
-        for t, w in zip(texts, words, strict=True):
-            if w is None:
+        for t, i in zip(texts, numbers, strict=True):
+            if i is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids,
                                     np.uint32))
                 continue
-            i = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
             begin, n = self.at[i], self.at[i + 1] - self.at[i]
             before = np.cumsum(n) - n
             out.append(self.flat[np.arange(int(n.sum())) + np.repeat(begin - before, n)])
