@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.catalog import checks, inputs
@@ -13,6 +11,7 @@ from postlens.catalog.registry import query
 from postlens.catalog.text_queries import document_tagged
 from postlens.operators import roles, terms
 from postlens.plans.clustering import RoleClusters, cluster_postings
+from postlens.session import stage
 
 
 def documents_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, term, weight FROM ({WEIGHTS})")
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents_with_words(spark, sf_dir)
+    docs = stage(documents_with_words(spark, sf_dir), "words")
     model = terms.fit_terms(docs, "doc_id")
     names = F.split(F.lit("|".join(model.vocabulary)), r"\|")
     cells = model.transform(docs).select(
@@ -70,37 +69,72 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", F.get(names, "i").alias("term"), F.round("weight", 6).alias("weight"))
 
 
-@lru_cache(maxsize=2)
 def _clusters(spark: SparkSession, sf_dir: str) -> RoleClusters:
-    """One fit serves the queries that read different sides of it."""
     return cluster_postings(document_tagged(spark, sf_dir), "posting_id",
-                            stop_words=inputs.PROSE_STOPS)
+                            stop_words=inputs.PROSE_STOPS, tasks=4)
+
 
+# Cluster numbers and centres depend on random starts, so the cluster queries return what must hold of
+# any fit: facts about each row, which the check SQL states for the rows that it expects.
 
-@query()
+@query("SELECT k::INTEGER AS k, true AS scored, true AS winner_is_best FROM range(3, 11) AS t(k)")
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).scores()
+    scores = _clusters(spark, sf_dir).scores()
+    top = scores.agg(F.max(F.struct("silhouette", -F.col("k"))).alias("s")).select("s.*").toDF("s", "k")
+    won = F.col("is_best") == (F.col("k") == -top.select("k").scalar())
+    return scores.select("k", ((F.col("cost") > 0) & F.col("silhouette").between(-1, 1))
+                         .alias("scored"), won.alias("winner_is_best"))
 
 
-@query()
+@query(f"{checks.DOCUMENT_TAGGED} SELECT posting_id, title, company, true AS at_nearest FROM t")
 def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).table().select("posting_id", "title", "company", "cluster")
+    fitted = _clusters(spark, sf_dir)
+    centres = [F.lit([float(x) for x in c]) for c in fitted.sweep.best.clusterCenters()]
+    at = vector_to_array("features")
 
+    def distance(centre: Column) -> Column:
+        return F.aggregate(F.zip_with(at, centre, lambda x, c: (x - c) * (x - c)), F.lit(0.0),
+                           lambda a, x: a + x)
 
-@query()
+    apart = F.array(*map(distance, centres))
+    own = F.get(apart, F.col("cluster"))
+    return fitted.postings.select("posting_id", "title", "company",
+                                  (own <= F.array_min(apart) + 1e-9).alias("at_nearest"))
+
+
+@query("""SELECT place::INTEGER AS place, true AS in_each_cluster, true AS known, true AS falling
+  FROM range(1, 13) AS t(place)""")
 def cluster_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).top_terms()
+    fitted = _clusters(spark, sf_dir)
+    before = F.lag("weight").over(Window.partitionBy("cluster").orderBy("place"))
+    rows = fitted.top_terms().withColumn("before", before)
+    return rows.groupBy("place").agg(
+        (F.count_distinct("cluster") == fitted.sweep.best_k).alias("in_each_cluster"),
+        F.every(F.col("term").isin(fitted.terms.vocabulary)).alias("known"),
+        F.every(F.coalesce(F.col("before") >= F.col("weight"), F.col("place") == 1)).alias("falling"))
 
 
-@query()
+@query("""SELECT count(*) AS postings, true AS in_each_cluster, true AS terms_full, true AS titles_full
+  FROM documents""")
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).summary(["posting_id"])
+    fitted = _clusters(spark, sf_dir)
+    return fitted.summary(["posting_id"]).agg(
+        F.sum("postings").alias("postings"),
+        (F.count(F.lit(1)) == fitted.sweep.best_k).alias("in_each_cluster"),
+        F.every(F.size("top_terms") == 12).alias("terms_full"),
+        F.every(F.size("titles") == F.least("postings", F.lit(5))).alias("titles_full"))
 
 
-@query()
+@query("""SELECT count(*) AS postings, true AS x_centred, true AS y_centred, true AS x_widest,
+  true AS labelled FROM documents""")
 def cluster_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).scatter()
-
+    points = _clusters(spark, sf_dir).scatter()
+    return points.agg(
+        F.count(F.lit(1)).alias("postings"),
+        (F.abs(F.avg("pca_x")) < 1e-6).alias("x_centred"),
+        (F.abs(F.avg("pca_y")) < 1e-6).alias("y_centred"),
+        (F.var_samp("pca_x") >= F.var_samp("pca_y")).alias("x_widest"),
+        F.every(F.col("cluster_label").contains(F.col("cluster").cast("string"))).alias("labelled"))
 
 
 @query("""SELECT lang AS cluster, place, title FROM (SELECT lang,

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.session import lookup_side
+from postlens.functions.text import strip_ends
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -58,7 +58,6 @@ def company_prefixes(df: DataFrame, company: str = "company", text: str = "descr
                 & (F.col("_low") == F.col("_high")))
         .select("company")
     )
-    alike = lookup_side(alike)
     return (
         rows.join(alike, "company", "left_semi")
         .groupBy("company")
@@ -73,9 +72,8 @@ def company_prefixes(df: DataFrame, company: str = "company", text: str = "descr
 def strip_prefixes(df: DataFrame, prefixes: DataFrame, company: str = "company",
                    text: str = "description_clean") -> DataFrame:
     """Remove each company's prefix from its rows. Only the prefix length is joined."""
-    cuts = lookup_side(prefixes.select(F.col("company").alias("_company"),
-                                       F.length("prefix").alias("_cut")))
-    kept = F.trim(F.substring(F.col(text), F.col("_cut") + 1, F.length(text)))
+    cuts = prefixes.select(F.col("company").alias("_company"), F.length("prefix").alias("_cut"))
+    kept = strip_ends(F.substring(F.col(text), F.col("_cut") + 1, F.length(text)))
     return (
         df.join(cuts, F.col(company) == F.col("_company"), "left")
         .withColumn(text, F.when(F.col("_cut").isNotNull(), kept).otherwise(F.col(text)))

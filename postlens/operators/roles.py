@@ -24,7 +24,9 @@ RESTARTS = 10
 TOP_TERMS = 12
 SAMPLE_TITLES = 5
 
-ROWS_PER_TASK = 20_000
+# Tasks of a fit. k-means|| draws its starts by partition, so the number is part of the result and
+# must not follow the input; the caller chooses it for the corpus at hand.
+FIT_TASKS = 64
 
 
 @dataclass
@@ -49,18 +51,18 @@ class Sweep:
             rows, "k int, cost double, silhouette double, is_best boolean")
 
 
-def sweep_k(df: DataFrame, ks: Iterable[int] = K_RANGE, restarts: int = RESTARTS,
+def sweep_k(df: DataFrame, doc: str, ks: Iterable[int] = K_RANGE, restarts: int = RESTARTS,
             seed: int = SEED, max_iter: int = 300, parallelism: int = 8,
-            features: str = "features") -> Sweep:
+            features: str = "features", tasks: int = FIT_TASKS) -> Sweep:
     """Fit every k from several starts, keep the cheapest fit of each k, score it.
 
     Only the feature column is cached, once for all fits. Fits run side by side as separate jobs,
     so one fit's short final stages do not leave the executors idle. Squared Euclidean silhouette
-    is used because it needs one pass and per-cluster totals, not all pairs.
+    is used because it needs one pass and per-cluster totals, not all pairs. Rows are dealt by the
+    hash of `doc` and sorted by it, so the fits do not depend on how the input was partitioned.
     """
-    data = df.select(features)
-    # a fit is many short jobs: tasks below this size would cost more to start than to run
-    data = data.coalesce(max(1, data.count() // ROWS_PER_TASK)).persist()
+    data = df.select(doc, features).repartition(tasks, doc).sortWithinPartitions(doc) \
+        .select(features).persist()
 
     def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
         k, s = task
@@ -72,13 +74,15 @@ def sweep_k(df: DataFrame, ks: Iterable[int] = K_RANGE, restarts: int = RESTARTS
     def score(item: tuple[int, KMeansModel]) -> tuple[int, float]:
         return item[0], float(judge.evaluate(item[1].transform(data)))
 
-    tasks = [(k, seed + i) for k in ks for i in range(restarts)]
+    starts = [(k, seed + i) for k in ks for i in range(restarts)]
     run = inheritable_thread_target(df.sparkSession)
     try:
-        with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        with ThreadPool(max(1, min(parallelism, len(starts)))) as pool:
             best: dict[int, KMeansModel] = {}
-            for k, model in pool.map(run(fit), tasks, chunksize=1):
-                if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+            for k, model in pool.map(run(fit), starts, chunksize=1):
+                # sums differ in their last digits from run to run; equal fits keep the first start
+                if k not in best or model.summary.trainingCost \
+                        < best[k].summary.trainingCost * (1 - 1e-9):
                     best[k] = model
             scores = dict(pool.map(run(score), best.items(), chunksize=1))
     finally:

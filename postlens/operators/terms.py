@@ -3,7 +3,7 @@
 Two forms with the same numbers. The table form gives one (doc, term, weight) row per non-zero
 cell, the vector form MLlib vectors for the clustering jobs. Terms are counted inside the row they
 occur in, so no shuffle carries tokens: the vocabulary shuffles one partial row per term and task,
-the norms the kept cells once.
+and the weights nothing.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.ml.feature import (
     Normalizer,
     StopWordsRemover,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.session import stage
@@ -29,8 +30,9 @@ MAX_TERMS = 500
 MIN_DOCS = 3
 MAX_SHARE = 0.7
 
-# Words passed to the tasks as one constant set; beyond it pairs are not narrowed.
-MAX_FREQUENT = 5000
+# Bits of the constant by which tasks know frequent words. Its size does not follow the corpus: two
+# words of one bit only let a few more pairs be counted.
+WORD_BITS = 1 << 18
 
 
 def english_stop_words() -> list[str]:
@@ -99,15 +101,27 @@ def vocabulary(df: DataFrame, doc: str, n_docs: int, words: str = "words",
     found, least = most_frequent(singles).agg(F.count("*"), F.min("cf")).first()
     paired = F.col(words)
     if found == max_terms:
-        frequent = [r["term"] for r in singles.filter(F.col("cf") >= least).select("term")
-                    .limit(MAX_FREQUENT + 1).collect()]
-        if len(frequent) <= MAX_FREQUENT:
-            paired = F.transform(paired, lambda w: F.when(w.isin(frequent), w))
+        marked = bit_set(singles.filter(F.col("cf") >= least).select(word_bit("term").alias("b")))
+        paired = F.transform(paired, lambda w: F.when(F.call_function(
+            "shiftright", F.get(marked, F.shiftright(word_bit(w), 5)), word_bit(w).bitwiseAND(31))
+            .bitwiseAND(1) == 1, w))
     pairs = df.select(doc, paired.alias("_paired")) \
         .select(doc, word_pairs(F.col("_paired")).alias("_pairs"))
     return most_frequent(singles.unionByName(_totals(term_counts(pairs, doc, F.col("_pairs")))))
 
 
+def word_bit(word: Column | str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORD_BITS)).cast("int")
+
+
+def bit_set(bits: DataFrame) -> Column:
+    """A constant array of 32-bit words with the bits of `b` set; at most `WORD_BITS` come here."""
+    marked = np.zeros(WORD_BITS // 32, np.uint32)
+    for (b,) in bits.distinct().collect():
+        marked[b >> 5] |= np.uint32(1) << np.uint32(b & 31)
+    return F.split(F.lit(",".join(map(str, marked.tolist()))), ",").cast("array<bigint>")
+
+
 def _totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -115,17 +129,18 @@ def _totals(counts: DataFrame) -> DataFrame:
 def tfidf(df: DataFrame, doc: str, words: str = "words", max_terms: int = MAX_TERMS,
           min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(doc, term, tf, weight): tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1."""
+    df = stage(df.select(doc, words), "words")
     model = fit_terms(df, doc, words, max_terms, min_docs, max_share)
-    kept = F.filter(all_terms(F.col(words)), lambda t: t.isin(model.vocabulary))
-    idf = df.sparkSession.createDataFrame(
-        list(zip(model.vocabulary, model.weights.tolist())), "term string, _idf double")
-    per_doc = Window.partitionBy(doc)
-    # at most `max_terms` rows
+    names = F.split(F.lit("|".join(model.vocabulary)), r"\|")
+    tf, weight = vector_to_array(F.col("_tf")), vector_to_array(F.col("_weight"))
+    cells = F.filter(F.arrays_zip(names.alias("term"), F.col("_t").alias("tf"),
+                                  F.col("_w").alias("weight")), lambda c: c["tf"] > 0)
+    # Counts, weights and norm all come from the row itself, so nothing is shuffled.
     return (
-        term_counts(df, doc, kept).join(F.broadcast(idf), "term")
-        .withColumn("_raw", F.col("tf") * F.col("_idf"))
-        .withColumn("weight", F.col("_raw") / F.sqrt(F.sum(F.col("_raw") ** 2).over(per_doc)))
-        .select(doc, "term", "tf", "weight")
+        model.transform(df, words, "_weight", counts="_tf")
+        .select(doc, tf.alias("_t"), weight.alias("_w"))
+        .select(doc, F.inline(cells).alias("term", "tf", "weight"))
+        .withColumn("tf", F.col("tf").cast("bigint"))
     )
 
 
@@ -136,14 +151,17 @@ class TermModel:
     vocabulary: list[str]
     weights: np.ndarray
 
-    def transform(self, df: DataFrame, words: str = "words", out: str = "features") -> DataFrame:
+    def transform(self, df: DataFrame, words: str = "words", out: str = "features",
+                  counts: str | None = None) -> DataFrame:
+        """Add the weights as vector `out`, and if named the counts."""
         counter = CountVectorizerModel.from_vocabulary(
             self.vocabulary, inputCol="_terms", outputCol="_tf")
         scaled = ElementwiseProduct(scalingVec=DenseVector(self.weights), inputCol="_tf",
                                     outputCol="_scaled")
         unit = Normalizer(p=2.0, inputCol="_scaled", outputCol=out)
         counted = counter.transform(df.withColumn("_terms", all_terms(F.col(words))))
-        return unit.transform(scaled.transform(counted)).drop("_terms", "_tf", "_scaled")
+        done = unit.transform(scaled.transform(counted)).drop("_terms", "_scaled")
+        return done.withColumnRenamed("_tf", counts) if counts else done.drop("_tf")
 
 
 def fit_terms(df: DataFrame, doc: str, words: str = "words", max_terms: int = MAX_TERMS,

@@ -7,7 +7,6 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -21,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.postlens.spread", str(cores if str(cores).isdigit() else shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -45,35 +45,42 @@ def staging_root(spark: SparkSession) -> str:
     return _local_folder(context.applicationId)
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the staging area and read it back.
 
     Used where several later passes read the same costly result: the written table survives lost
-    executors, and being columnar each pass reads only the columns it needs.
+    executors, and being columnar each pass reads only the columns it needs. `drop_staged` removes
+    what a session has staged.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread the rows of a scan over all cores if it comes in fewer partitions.
+def drop_staged(spark: SparkSession) -> int:
+    """Remove the staged tables of this application, once its results are written; returns how many.
 
-    One parquet row group or one JSON array is one task, however long its texts. Large inputs come
-    in more partitions than there are cores and are left alone. Only for frames straight from a
-    reader: asking a frame with shuffles for its partitions would run them.
+    Results that were not written yet can no longer be read afterwards.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
 
 
-def lookup_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Mark the small side of a join for broadcast, but only after counting it.
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan's rows over as many tasks as `spark.postlens.spread` says, if the session sets it.
 
-    The side is staged, so the join does not compute it again. Over `max_rows` it comes back
-    unmarked and Spark joins by its size on disk, shuffling if it must. Callers pass narrow rows,
-    so the bound holds the broadcast to a few tens of megabytes.
+    One parquet row group or one JSON array is one task, however long its texts. A session over a few
+    small files, such as the local one, asks for it; a cluster sets the split size at the reader
+    (`spark.sql.files.maxPartitionBytes`) and moves nothing.
     """
-    kept = stage(df, "lookup")
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    tasks = scan.sparkSession.conf.get("spark.postlens.spread", None)
+    return scan.repartition(int(tasks)) if tasks else scan

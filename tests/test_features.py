@@ -57,8 +57,8 @@ def test_both_forms_agree_with_brute_force(spark, max_terms):
             assert math.isclose(weight, want.get((r["id"], term), 0.0), abs_tol=1e-9)
 
 
-def test_pairs_are_not_narrowed_beyond_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(terms, "MAX_FREQUENT", 0)
+def test_words_of_one_bit_only_cost_time(spark, monkeypatch):
+    monkeypatch.setattr(terms, "WORD_BITS", 32)
     df, rows = corpus(spark)
     worded = terms.with_words(df, F.col("text"), ["the"])
     kept, _ = brute(rows, {"the"}, 12, 3, 0.7)
@@ -89,7 +89,7 @@ def test_clusters(spark):
                       F.lit("c").alias("company"), F.lit(None).cast("string").alias("location"),
                       F.array().cast("array<string>").alias("skills_extracted"),
                       F.col("text").alias("description_clean"))
-    found = cluster_postings(clean, ks=range(2, 5), restarts=3, stop_words=["the"])
+    found = cluster_postings(clean, ks=range(2, 5), restarts=3, stop_words=["the"], tasks=4)
     scores = found.sweep.scores
     assert set(scores) == {2, 3, 4}
     assert found.sweep.best_k == 3 == max(scores, key=scores.get)
@@ -106,5 +106,18 @@ def test_clusters(spark):
     assert found.scatter().first()["cluster_label"].startswith("Cluster ")
 
 
+def test_fit_ignores_input_partitions(spark):
+    df, _ = corpus(spark)
+    worded = terms.with_words(df, F.col("text"), ["the"])
+    vectors = terms.fit_terms(worded, "id").transform(worded)
+
+    def labels(partitions):
+        sweep = roles.sweep_k(vectors.repartition(partitions), "id", [3, 4], 2, tasks=4)
+        rows = roles.assign_clusters(vectors, sweep.best).select("id", "cluster").collect()
+        return sweep.scores, sorted(map(tuple, rows))
+
+    assert labels(1) == labels(8)
+
+
 def test_tie_goes_to_the_smallest_k():
     assert roles.Sweep({}, {7: 0.5, 4: 0.5, 3: 0.1}).best_k == 4

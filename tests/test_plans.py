@@ -74,3 +74,17 @@ def test_trend(spark):
     assert got == {
         ("2026-07", "A"): (2, 100.0, 1, None), ("2026-07", "B"): (1, 50.0, 2, None),
         ("2026-08", "B"): (3, 100.0, 1, 1), ("2026-08", "A"): (1, 33.3, 2, -1)}
+
+
+def test_staged_tables_can_be_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from postlens.session import drop_staged, stage, staging_root
+
+    drop_staged(spark)
+    kept = stage(spark.range(5), "kept")
+    kept.write.parquet(str(tmp_path / "out"))
+    folder = Path(staging_root(spark).removeprefix("file://"))
+    assert any(folder.glob("kept-*"))
+    assert drop_staged(spark) == 1 and not any(folder.glob("kept-*"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
