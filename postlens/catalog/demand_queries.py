@@ -54,15 +54,15 @@ def experience_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.experience_histogram(role_tagged(spark, sf_dir))
 
 
-CLOUD = ROLE_PAIRS["Cloud Platform Mentions"] + [("AWS", "Cobol")]
+PAIRS = [pair for pairs in ROLE_PAIRS.values() for pair in pairs] + [("AWS", "Cobol")]
 PAIR_ROWS = ", ".join(f"({2 * i + j}, '{'ab'[j]}', '{s}')"
-                      for i, p in enumerate(CLOUD) for j, s in enumerate(p))
+                      for i, p in enumerate(PAIRS) for j, s in enumerate(p))
 
 
 @query(f"""{ROLES}, {COUNTS} SELECT pos, side, p.skill, coalesce(postings, 0) AS postings
   FROM (VALUES {PAIR_ROWS}) AS p(pos, side, skill) LEFT JOIN counts c ON p.skill = c.skill""")
 def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand.head_to_head(role_tagged(spark, sf_dir), CLOUD)
+    return demand.head_to_head(role_tagged(spark, sf_dir), PAIRS)
 
 
 COOC = f"""{DOCS}, {COUNTS},
@@ -81,12 +81,18 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.cooccurrence(document_tagged(spark, sf_dir), 15)
 
 
-@query(f"""{COOC} SELECT a, CAST(sum(postings) FILTER (b = 'the') AS BIGINT) AS "the",
-  CAST(sum(postings) FILTER (b = 'is') AS BIGINT) AS "is",
-  CAST(sum(postings) FILTER (b = 'that') AS BIGINT) AS "that" FROM cells GROUP BY a""")
+BY_PLACE = ", ".join(f"CAST(sum(postings) FILTER (rank_b = {i}) AS BIGINT) AS place_{i:02}"
+                     for i in range(15))
+
+
+@query(f"{COOC} SELECT a, {BY_PLACE} FROM cells GROUP BY a")
 def cooccurrence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skills' columns are renamed by place, so that they are the same for any input."""
     cells = demand.cooccurrence(document_tagged(spark, sf_dir), 15)
-    return demand.cooccurrence_matrix(cells, ["the", "is", "that"])
+    names = [r["b"] for r in cells.where("rank_a = 0").orderBy("rank_b").select("b").collect()]
+    matrix = demand.cooccurrence_matrix(cells, names)
+    return matrix.select("a", *((F.col(f"`{names[i]}`") if i < len(names) else F.lit(None))
+                                .cast("bigint").alias(f"place_{i:02}") for i in range(15)))
 
 
 @query(f"""{ROLES}, {COUNTS},
@@ -121,17 +127,24 @@ def truncation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.truncation_audit(role_tagged(spark, sf_dir), "Python", "SQL")
 
 
-@query(f"""WITH {checks.ROLE_CLEAN} SELECT span, count(*) AS hits FROM (
-  SELECT unnest(regexp_extract_all(description_clean, '(?i).{{0,30}}(?:scala|excel).{{0,30}}'))
-  AS span FROM cleaned) GROUP BY span""")
+#: Hits by splitting at the words in lower case, so that no hit takes text from the next one.
+SPANS = """p AS (SELECT lower(description_clean) AS d, string_split(replace(lower(description_clean),
+    'excel', 'scala'), 'scala') AS s FROM cleaned),
+  h AS (SELECT d, length(array_to_string(s[1:i], '.....')) AS b
+    FROM p, unnest(range(1, len(s))) AS t(i)),
+  l AS (SELECT d[greatest(1, b - 29):b] AS x, d[b + 1:b + 5] AS w, d[b + 6:b + 35] AS y FROM h)"""
+
+
+@query(f"""WITH {checks.ROLE_CLEAN}, {SPANS} SELECT string_split(x, chr(10))[-1] || w
+  || string_split(y, chr(10))[1] AS span, count(*) AS hits FROM l GROUP BY ALL""")
 def span_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.span_audit(role_clean(spark, sf_dir), "description_clean", ["scala", "excel"])
 
 
 @query(f"""WITH raw AS ({inputs.ROLE_SQL})
-SELECT source, count(*) AS postings FROM raw GROUP BY source
-UNION ALL SELECT 'all', count(*) FROM raw
-UNION ALL SELECT 'merged', count(*) FROM (SELECT DISTINCT company, title FROM raw)""")
+SELECT 'source' AS level, source, count(*) AS postings FROM raw GROUP BY source
+UNION ALL SELECT 'all', NULL, count(*) FROM raw
+UNION ALL SELECT 'merged', NULL, count(*) FROM (SELECT DISTINCT company, title FROM raw)""")
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.merge_counts(inputs.role_postings(spark, sf_dir))
 

@@ -128,12 +128,11 @@ def payload_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.bad_payloads(rows, "jobDetails").withColumn("keys", F.array_join("keys", "|"))
 
 
-@query(f"""WITH raw AS ({inputs.ROLE_SQL}) SELECT 'first' AS query, job_id FROM raw
-  UNION ALL SELECT 'second', job_id FROM raw""")
+@query(f"""WITH raw AS ({inputs.ROLE_SQL}) SELECT * REPLACE ('first' AS query) FROM raw
+  UNION ALL SELECT * REPLACE ('second' AS query, NULL AS experience) FROM raw""")
 def union_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.role_postings(spark, sf_dir)
-    return landing.union_runs(("first", rows), ("second", rows.drop("experience"))) \
-        .select("query", "job_id")
+    return landing.union_runs(("first", rows), ("second", rows.drop("experience")))
 
 
 def _as_raw(df: DataFrame) -> DataFrame:
@@ -162,11 +161,13 @@ def landing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*RAW_NAMES)
 
 
-@query("SELECT count(*) AS postings FROM part")
+@query(f"""WITH raw AS ({inputs.ROLE_SQL}) SELECT CASE WHEN source = 'board' THEN 'board' ELSE 'other'
+  END AS collector, count(*) AS postings FROM raw GROUP BY ALL""")
 def landing_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per file depend on how Spark split the write, so the check compares their sum."""
+    """Rows per file depend on how Spark split the write, so they are added up by collector."""
     files = landing.rows_per_file(spark, _landed(spark, sf_dir), multi_line=False)
-    return files.agg(F.sum("postings").alias("postings"))
+    collector = F.regexp_extract("path", "collector=([^/]*)", 1)
+    return files.groupBy(collector.alias("collector")).agg(F.sum("postings").alias("postings"))
 
 
 @query(f"{checks.ROLE_TAGGED} SELECT {FLAT_SQL} FROM t")
@@ -230,14 +231,16 @@ def stream_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(counts.schema).parquet(out)
 
 
-@query("""SELECT period, skill, postings FROM (SELECT time_bucket(INTERVAL 7 DAY, ts,
-    TIMESTAMP '1970-01-01')::TIMESTAMP AS period, event_type AS skill, count(*) AS postings
-  FROM events GROUP BY ALL)
-  WHERE period + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+@query("""SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS period,
+  event_type AS skill, count(*) AS postings FROM events GROUP BY ALL""")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = _folder(spark, "windows"), _folder(spark, "state")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
     counts = trend.windowed_trend(_event_stream(spark, sf_dir))
-    counts.writeStream.outputMode("append").format("parquet").option("path", out) \
+    counts.writeStream.outputMode("complete").foreachBatch(write) \
         .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(out)
 

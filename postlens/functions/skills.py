@@ -101,10 +101,27 @@ def with_tags(df: DataFrame, text: Column, taxonomy: Taxonomy = ROLE_SKILLS) ->
 
 
 def match_spans(text: Column, patterns: list[str], around: int = 30) -> Column:
-    """The text around each hit of a skill's patterns, as an array, for eyeballing false hits."""
-    alternatives = "|".join(f"(?:{_body(p)})" for p in patterns)
-    window = f"(?iUd).{{0,{around}}}(?:{alternatives}).{{0,{around}}}"
-    return F.regexp_extract_all(text, F.lit(window), F.lit(0))
+    """The folded text around each hit of a skill's patterns, within its line, as an array.
+
+    Only the hits themselves are taken out, so two hits may share their surroundings.
+    """
+    pattern = F.lit("(?Ud)" + "|".join(f"(?:{_body(p)})" for p in patterns))
+    folded = fold_case(text)
+    hits = F.regexp_extract_all(folded, pattern, F.lit(0))
+    between = F.split(folded, pattern, -1)
+
+    def length(parts: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+
+    def span(hit: Column, i: Column) -> Column:
+        begin = length(between, i + 1) + length(hits, i)
+        end = begin + F.length(hit)
+        low = F.greatest(begin - around, F.lit(0))
+        before = F.regexp_extract(F.substring(folded, low + 1, begin - low), r"[^\n]*\z", 0)
+        after = F.regexp_extract(F.substring(folded, end + 1, F.lit(around)), r"\A[^\n]*", 0)
+        return F.concat(before, hit, after)
+
+    return F.transform(hits, span)
 
 
 def _body(pattern: str) -> str:

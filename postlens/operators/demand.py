@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens import schemas
@@ -70,12 +70,11 @@ def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
 
 def experience_histogram(df: DataFrame, years: str = "exp_min_years") -> DataFrame:
     """Postings per minimum years, with how many of all postings had a band."""
-    everything = Window.partitionBy()  # one row per distinct number of years
-    return (
-        df.groupBy(F.col(years).cast("int").alias("years"))
+    counts = df.groupBy(F.col(years).cast("int").alias("years")) \
         .agg(F.count(years).alias("postings"), F.count("*").alias("_n"))
-        .withColumn("parsed", F.sum("postings").over(everything))
-        .withColumn("total", F.sum("_n").over(everything))
+    return (
+        counts.withColumn("parsed", counts.agg(F.sum("postings")).scalar())
+        .withColumn("total", counts.agg(F.sum("_n")).scalar())
         .filter(F.col("postings") > 0).drop("_n").orderBy("years")
     )
 
@@ -200,14 +199,15 @@ def span_audit(df: DataFrame, text: str, patterns: list[str], around: int = 30)
 
 def merge_counts(raw: DataFrame, keys: Sequence[str] = ("company", "title"),
                  source: str = "source") -> DataFrame:
-    """Rows per source, all rows, and rows left once copies are merged."""
+    """(level, source, postings): rows per source, all rows, and rows left once copies are merged."""
     per_key = raw.groupBy(source, *keys).agg(F.count("*").alias("n"))
     per_source = per_key.groupBy(F.col(source).alias("source")).agg(F.sum("n").alias("postings"))
     merged = per_key.groupBy(*keys).agg(F.sum("n").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("before"), F.count("*").alias("after"))
     totals = merged.select(F.explode(F.create_map(
-        F.lit("all"), F.col("before"), F.lit("merged"), F.col("after"))).alias("source", "postings"))
-    return per_source.unionByName(totals)
+        F.lit("all"), F.col("before"), F.lit("merged"), F.col("after"))).alias("level", "postings"))
+    return per_source.withColumn("level", F.lit("source")) \
+        .unionByName(totals.withColumn("source", F.lit(None).cast("string")))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.labels import NO_SKILLS, file_stem, listing_line, skills_text, text_or_none
+from postlens.session import stage
 
 # The prompt text, with the places filled per row in braces.
 PROMPT = """You are a career advisor helping a candidate assess their fit for a specific job posting. Be honest and specific, not generically encouraging.
@@ -128,5 +129,16 @@ def find_posting(df: DataFrame, title: str, company: str, order: list[Column | s
 
 
 def posting_at(df: DataFrame, index: int, order: list[Column | str]) -> DataFrame:
-    """The posting at a position of the ordered table."""
-    return df.orderBy(*order).offset(index).limit(1)
+    """The posting at a position of the ordered table.
+
+    The table is sorted into ranges; their row counts tell which range holds the position, and only
+    that one is looked through.
+    """
+    ranged = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()),
+                   "ranges")
+    for r in ranged.groupBy("_range").count().orderBy("_range").toLocalIterator():
+        if index < r["count"]:
+            return ranged.filter(F.col("_range") == r["_range"]).drop("_range") \
+                .orderBy(*order).offset(index).limit(1)
+        index -= r["count"]
+    return df.limit(0)

@@ -29,7 +29,7 @@ def read_landing(spark: SparkSession, path: str, pattern: str = "*.json",
 
 def rows_per_file(spark: SparkSession, path: str, pattern: str = "*.json",
                   multi_line: bool = True) -> DataFrame:
-    """(file, postings) for every file, including those that hold no posting."""
+    """(file, postings, path) for every file, including those that hold no posting."""
     loaded = (
         spark.read.schema(schemas.RAW).option("multiLine", multi_line)
         .option("pathGlobFilter", pattern).option("recursiveFileLookup", True).json(path)
@@ -43,17 +43,17 @@ def rows_per_file(spark: SparkSession, path: str, pattern: str = "*.json",
     )
     return listed.join(loaded, "path", "left").select(
         F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.coalesce("n", F.lit(0)).alias("postings"),
+        F.coalesce("n", F.lit(0)).alias("postings"), "path",
     )
 
 
 def write_snapshot(df: DataFrame, path: str, collector: str, taken_at: Column,
                    fmt: str = "json") -> None:
-    """Append one collector's run as its own partition."""
+    """Write one collector's run as its own partition; written again, it replaces that one only."""
     (
         df.withColumn("collector", F.lit(collector))
         .withColumn("snapshot_ts", F.date_format(taken_at, "yyyyMMdd_HHmmss"))
-        .write.mode("append").partitionBy("collector", "snapshot_ts").format(fmt).save(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collector", "snapshot_ts").format(fmt).save(path)
     )
 
 

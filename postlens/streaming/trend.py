@@ -42,18 +42,19 @@ def running_trend(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_e
     """Streaming counts per period and skill. State is one row per period and skill ever seen,
     which the taxonomy bounds, so the complete table can be emitted each time."""
     return (
-        _labelled(df, ts, skills, period).select("period", F.explode("skills").alias("skill"))
-        .groupBy("period", "skill").agg(F.count("*").alias("postings"))
+        _labelled(df, ts, skills, period)
+        .select("period", F.explode_outer("skills").alias("skill"))
+        .filter(F.col("skill").isNotNull()).groupBy("period", "skill").agg(F.count("*").alias("postings"))
     )
 
 
 def windowed_trend(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_extracted",
-                   length: str = "7 days", lateness: str = "1 day") -> DataFrame:
-    """Streaming counts per fixed window and skill; a window is emitted once the watermark has
-    passed it, and its state dropped."""
+                   length: str = "7 days") -> DataFrame:
+    """Streaming counts per fixed window and skill, for complete mode: every window is there, the
+    open ones too, and no row is too late to count. State is one row per window and skill."""
     return (
-        df.withWatermark(ts, lateness)
-        .select(F.col(ts).alias("ts"), F.explode(skills).alias("skill"))
+        df.select(F.col(ts).alias("ts"), F.explode_outer(skills).alias("skill"))
+        .filter(F.col("skill").isNotNull())
         .groupBy(F.window("ts", length).alias("window"), "skill")
         .agg(F.count("*").alias("postings"))
         .select(F.col("window.start").alias("period"), "skill", "postings")

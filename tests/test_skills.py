@@ -96,5 +96,7 @@ def test_experience(spark):
 
 
 def test_spans(column):
-    got = column(lambda c: skills.match_spans(c, ["scala"], 3), ["very scalable and Scala"])
-    assert got == [["ry scalable", "nd Scala"]] or got == [["ry scalabl", "nd Scala"]]
+    got = column(lambda c: skills.match_spans(c, ["scala", "excel"], 3), [
+        "very scalable and Scala", "excel excel", "a\nb scala\nc", "none", None])
+    assert got == [["ry scalable"[:8 + 3], "nd scala"], ["excel ex", "el excel"], ["b scala"], [],
+                   None]
