@@ -16,6 +16,10 @@ from postlens.session import spread, stage
 TOP_MATCHES = 25
 MIN_RESUME_CHARS = 100
 
+# Sets of a skill that the first pass looks at: the largest ones, which share most, and the smallest,
+# which are covered best. More give a tighter first cut, never another result.
+SCOUTS = (48, 16)
+
 
 def coverage(matched: Column, required: Column) -> Column:
     """Whole percent of the required skills that are matched; 0 when none is required."""
@@ -57,13 +61,13 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
        its members by position only, so no member after the n-th can reach any top n. Sets become
        bit words, rarest skill first, and everything below works on those.
     2. Sets meet through an inverted index on skill. A pair sharing several skills is taken at its
-       rarest one only. The posting side is salted, so one skill held by a third of all sets is
-       spread over tasks. This pass only counts: for each résumé set, how many postings reach each
-       score. The counts tell the score its n-th best posting has.
-    3. The pass is repeated for pairs that reach that score. Sharing t skills with a set of m means
-       sharing one of its m-t+1 rarest, so only those are looked up. What is left to rank is the
-       winners and their ties, and the n best sets hold the n best postings: each of n better sets
-       has a first member that beats everything in a worse set.
+       rarest one only. A first pass meets a bounded number of scouts per skill. Any n real postings
+       give a score that the n-th best reaches at least, so counting them gives a cut.
+    3. The second pass meets all sets, for pairs that reach the cut. Sharing t skills with a set of m
+       means sharing one of its m-t+1 rarest, on either side, so only those are looked up. The
+       posting side is salted, so one skill held by a third of all sets is spread over tasks. What is
+       left to rank is the winners and their ties, and the n best sets hold the n best postings: each
+       of n better sets has a first member that beats everything in a worse set.
     4. Postings sharing nothing rank last, by position. A résumé set with fewer than n matches
        takes its fillers from the first 2n postings, of which fewer than n can match.
     """
@@ -86,22 +90,32 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
     index = offered.select(
         *bits.columns("p"), "job_requires", "members", "n_members",
         F.pmod(F.xxhash64(*bits.columns("p")), F.lit(salts)).cast("int").alias("salt"),
-        F.explode_outer("ids").alias("skill"))
+        F.posexplode_outer("ids").alias("at", "skill"))
+
+    def first_of(order: Column, most: int) -> DataFrame:
+        by_size = Window.partitionBy("skill").orderBy(order, *bits.columns("p"))
+        return index.withColumn("_i", F.row_number().over(by_size)).filter(F.col("_i") <= most) \
+            .drop("_i", "salt")
+
+    # at most so many rows of a skill leave a task, however many sets hold it
+    scouts = first_of(F.desc("job_requires"), SCOUTS[0]) \
+        .unionByName(first_of(F.asc("job_requires"), SCOUTS[1])) \
+        .dropDuplicates(["skill", *bits.columns("p")])
     coded = wanted.select(resume, bits.ids("r_set").alias("ids")) \
         .select("*", *bits.encode("ids", "r"))
     r_sets = coded.select(*key, "ids").distinct()
 
-    def meet(probes: DataFrame) -> DataFrame:
-        probing = probes.withColumn("skill", F.explode_outer("ids")).drop("ids") \
-            .select("*", *bits.before("skill")) \
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return probing.join(index, ["skill", "salt"]).filter(bits.none_before()) \
-            .withColumn("matched_count", bits.shared())
+    def probing(probes: DataFrame) -> DataFrame:
+        return probes.withColumn("skill", F.explode_outer("ids")).drop("ids") \
+            .select("*", *bits.before("skill"))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(bits.none_before()).withColumn("matched_count", bits.shared())
 
     covered = coverage(F.col("matched_count"), F.col("job_requires"))
     reached = Window.partitionBy(*key).orderBy(F.desc("matched_count"), F.desc("coverage_pct"))
     cuts = (
-        meet(r_sets).groupBy(*key, "matched_count", "job_requires")
+        met(probing(r_sets).join(scouts, "skill")).groupBy(*key, "matched_count", "job_requires")
         .agg(F.sum("n_members").alias("postings"))
         .withColumn("coverage_pct", covered)
         .withColumn("reached", F.sum("postings").over(reached))
@@ -118,8 +132,11 @@ def match_many(resumes: DataFrame, postings: DataFrame, n: int = TOP_MATCHES, sa
     rarest = F.slice("ids", F.lit(1), F.greatest(F.size("ids") - needed + 1, F.lit(0)))
     rank_sets = Window.partitionBy(*key).orderBy(
         F.desc("matched_count"), F.desc("coverage_pct"), F.get("members", F.lit(0)))
+    salted = probing(bounded.withColumn("ids", rarest).withColumn("needed", needed)) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    able = (F.col("job_requires") - F.col("at") >= F.col("needed"))
     matched = (
-        meet(bounded.withColumn("ids", rarest))
+        met(salted.join(index, ["skill", "salt"]).filter(able))
         .filter(wins).withColumn("coverage_pct", covered)
         .withColumn("_i", F.row_number().over(rank_sets)).filter(F.col("_i") <= n)
         .select(*key, *bits.columns("p"), "job_requires", "matched_count", "coverage_pct",
