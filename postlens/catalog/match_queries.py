@@ -103,6 +103,20 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.select("resume_id", "place", "posting_id", F.md5("prompt").alias("prompt_md5"))
 
 
+CHOSEN = 17
+
+
+@query(f"""{DOCS}, {checks.RESUME_TAGGED}, p AS (SELECT * FROM t ORDER BY posting_id LIMIT 1 OFFSET {CHOSEN})
+SELECT x.resume_id, md5({prompt_sql()}) AS prompt_md5 FROM p, ({inputs.RESUME_SQL}) x
+WHERE length(regexp_replace(x.text, '^{checks.SPACE}+|{checks.SPACE}+$', '', 'g')) >= 100""")
+def prompt_one_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts for one posting, picked by its position."""
+    posting = reports.posting_at(document_tagged(spark, sf_dir), CHOSEN, ["posting_id"])
+    fit = resume_source.usable(inputs.resumes(spark, sf_dir))
+    prompts = reports.prompts_for(posting, fit, F.lit("2026-07-11").cast("date"))
+    return prompts.select("resume_id", F.md5("prompt").alias("prompt_md5"))
+
+
 GENERATED = "2026-07-11 09:05:07"
 
 

@@ -170,6 +170,36 @@ def landing_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy(collector.alias("collector")).agg(F.sum("postings").alias("postings"))
 
 
+#: Postings of one array file.
+ARRAY_ROWS = 500
+
+
+def _array_files(spark: SparkSession, sf_dir: str) -> str:
+    """Role postings as JSON arrays of bounded length, one per file, and a file with an empty one."""
+    folder = _folder(spark, "arrays")
+    rows = _as_raw(inputs.role_postings(spark, sf_dir)) \
+        .withColumn("batch", F.expr(f"cast(job_id as bigint) div {ARRAY_ROWS}"))
+    fields = F.struct(*(f.name for f in schemas.RAW))
+    rows.groupBy("batch").agg(F.to_json(F.collect_list(fields)).alias("value")) \
+        .unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("batch"),
+                                           F.lit("[]").alias("value"))) \
+        .write.partitionBy("batch").text(folder)
+    return folder
+
+
+@query(f"WITH raw AS ({inputs.ROLE_SQL}) SELECT {', '.join(RAW_NAMES)} FROM raw")
+def landing_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landing.read_landing(spark, _array_files(spark, sf_dir), "*.txt").select(*RAW_NAMES)
+
+
+@query(f"""SELECT count(*) AS files, sum(n)::BIGINT AS postings, count_if(n = 0)::BIGINT AS empty FROM (
+  SELECT count(*) AS n FROM part GROUP BY p_partkey // {ARRAY_ROWS} UNION ALL SELECT 0)""")
+def landing_array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = landing.rows_per_file(spark, _array_files(spark, sf_dir), "*.txt")
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("postings").alias("postings"),
+                     F.count_if(F.col("postings") == 0).alias("empty"))
+
+
 @query(f"{checks.ROLE_TAGGED} SELECT {FLAT_SQL} FROM t")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "clean-json")

@@ -122,6 +122,16 @@ def posting_list(df: DataFrame, order: list[Column | str], n: int = 30) -> DataF
         F.col("skills_extracted")).alias("line"))
 
 
+def prompts_for(posting: DataFrame, resumes: DataFrame, as_of: Column) -> DataFrame:
+    """One prompt per résumé for one chosen posting, a table of at most one row. It reaches the
+    résumés as a constant, so no text is shuffled."""
+    columns = ["title", "company", "location", "skills_extracted", "description_clean"]
+    chosen = posting.select(F.struct(*columns).alias("p")).scalar()
+    return resumes.withColumn("_p", chosen).filter(F.col("_p").isNotNull()) \
+        .select("resume_id", F.col("text").alias("_resume"), "_p.*") \
+        .select("resume_id", prompt(F.col("_resume"), as_of).alias("prompt"))
+
+
 def find_posting(df: DataFrame, title: str, company: str, order: list[Column | str]) -> DataFrame:
     """The first posting with this title and company."""
     return df.filter((F.col("title") == title) & F.col("company").eqNullSafe(company)) \
