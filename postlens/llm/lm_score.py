@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from postlens.llm import chunks
 from postlens.llm.chunks import Chunk
 from postlens.llm.substring_dedup import BASES, rolling, word_hashes
-from postlens.session import stage
 
 BACKOFF = 0.4
+WORD = "[^\\x20\\x09-\\x0D]+"
 #: N-grams of two or three words that occur less often are not in the model.
 LEAST_COUNT = 2
 FOUND = "key long, text string, rest {rest}, n_tokens long, n_trigrams long, n_bigrams long, " \
@@ -75,7 +75,7 @@ class Grams:
         order = np.where(by3, 2, np.where(by2, 1, 0))
         log += (place - order) * np.log10(BACKOFF)
         sums = [np.bincount(self.doc, w, len(self.counts)) for w in (by3, by2, by1, log)]
-        return (*(s.astype(np.int64) for s in sums[:3]), sums[3])
+        return (*(s.astype(np.int64) for s in sums[:3]), sums[3].astype(float))
 
 
 def totals(phase: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -135,8 +135,9 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     low = chunks.by_bucket(chunks.by_chunk(df, first, chunks.ASK), totals(1))
     high = chunks.by_bucket(chunks.with_replies(df, [low], second, chunks.ASK), totals(2))
-    out = stage(chunks.with_replies(df, [low, high], score, found), "scores")
-    size = out.agg(F.sum("n_tokens")).first()[0] or 1
+    out = chunks.with_replies(df, [low, high], score, found)
+    words = F.regexp_count(F.col(text), F.lit(WORD))
+    size = docs.agg(F.sum(words)).first()[0] or 1
     total = F.col("log_sum") - F.col("n_unigrams") * F.log10(F.lit(float(size)))
     out = out.withColumn("log10_score", total) \
         .withColumn("mean_log10", F.try_divide(total, F.col("n_tokens")))
