@@ -112,6 +112,7 @@ def sliced(it: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Tab
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             if j > i:
                 yield pa.Table.from_batches([batch.slice(i, j - i)])
+    chunks.give_back()
 
 
 def set_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +253,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         F.max_by("key", F.struct("meets", -F.col("key"))).alias("pivot")), "pivots")
     grouped = stage(met.join(pivots, "band").select("pivot", "key").where("key != pivot")
                     .distinct(), "grouped")
-    signs = alone.select("key", "signature")
+    signs = stage(alone.select("key", "signature"), "signatures")
     sets = stage(texts.join(rank.select("key"), "key", "left_semi")
                  .mapInArrow(set_rows, "key long, set binary").dropDuplicates(["key"]), "sets")
 

@@ -131,8 +131,9 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL) ->
 
     Rows link if their labels are equal and their cosine is at least `cosine`, in double precision. A
     null label, or a vector that is null, empty, zero, or holds null or non-finite components, links
-    with nothing. `n_links` counts other rows, copies each. Rows of equal id are one node; a null id
-    is one after all others and gets a null component if alone. An empty table gives an empty one.
+    with nothing. `n_links` counts other rows, copies each. Ids are expected to be unique: rows that
+    repeat one are placed by their own vectors. A null id comes after all others; its component is
+    null if it is alone. An empty table gives an empty one.
     """
     last = F.lit((1 << 63) - 1)
     base = vectors.select(F.coalesce(F.col("vec_id").cast("long"), last).alias("key"), "embedding",
