@@ -60,9 +60,11 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
         "lines": F.size(lines) / each,
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
     }
+    made = F.struct(*(c.cast("double").alias(k) for k, c in stats.items()))
+    # The generator is a barrier: a filter on the score is not pushed below it, where each condition
+    # of each rule would make its statistic anew.
     return df.withColumn("__t", t).withColumn("__w", words) \
-        .withColumn("stats", F.struct(*(c.cast("double").alias(k) for k, c in stats.items()))) \
-        .drop("__t", "__w")
+        .select(*(F.col(f"`{c}`") for c in df.columns), F.explode_outer(F.array(made)).alias("stats"))
 
 
 NAMES = ["words", "word_length", "distinct_words", "repeated_words", "capitals", "symbols", "shouts",
