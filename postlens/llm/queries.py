@@ -113,7 +113,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", warc.page_of("refers_to").alias("refers_to"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+    FROM d, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS t(i)),
+  n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b USING (g)
+    WHERE a.doc_id < b.doc_id GROUP BY ALL),
+  h AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+    WHERE 100 * c >= 75 * (x.k + y.k - c)),
+  l AS (SELECT u, v FROM h UNION ALL SELECT v, u FROM h),
+  r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+  c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT doc_id, coalesce(k, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)""")
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
