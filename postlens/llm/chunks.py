@@ -15,6 +15,7 @@ sees it alike.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -222,15 +223,36 @@ def reply_bits(table: pa.Table, phase: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Spark's Python workers outlive their tasks, and what they
+    hold on to would be missing to the executor's later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    def wrapped(*args) -> pa.Table:
+        try:
+            return run(*args)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def by_chunk(df: DataFrame, asked: Callable[[int, Chunk], pa.Table], schema: str) -> DataFrame:
     """First phase: each chunk on its own."""
-    return df.groupBy("chunk").applyInArrow(
-        lambda key, table: asked(key[0].as_py(), Chunk(table)), schema)
+    one = tidy(lambda key, table: asked(key[0].as_py(), Chunk(table)))
+    return df.groupBy("chunk").applyInArrow(lambda key, table: one(key, table), schema)
 
 
 def by_bucket(asked: DataFrame, answered: Callable[[tuple, pa.Table], pa.Table]) -> DataFrame:
     """The answers to what all chunks asked, dealt back by chunk."""
-    return asked.groupBy("bucket").applyInArrow(answered, REPLY).repartition("chunk")
+    one = tidy(answered)
+    return asked.groupBy("bucket").applyInArrow(lambda key, table: one(key, table), REPLY) \
+        .repartition("chunk")
 
 
 def with_replies(df: DataFrame, answers: list[DataFrame],
@@ -239,8 +261,9 @@ def with_replies(df: DataFrame, answers: list[DataFrame],
     got = answers[0]
     for a in answers[1:]:
         got = got.unionByName(a)
+    one = tidy(lambda key, table, said: run(key[0].as_py(), Chunk(table), said))
     return df.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(
-        lambda key, table, said: run(key[0].as_py(), Chunk(table), said), schema)
+        lambda key, table, said: one(key, table, said), schema)
 
 
 def runs(flags: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ END = 1
 #: Groups into which the pieces of a length are dealt to be numbered, at least, and their pieces.
 GROUPS, GROUP_PIECES = 256, 1_000_000
 #: Word pieces whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 PIECES = "key long, text_hash long, piece int, start long, length long, ids_crc32 long"
 
@@ -117,6 +117,7 @@ def encoded(it: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Table,
             table = pa.Table.from_batches([batch.slice(i, 512)])
             texts = [t or "" for t in table["text"].to_pylist()]
             yield table, [np.append(x, np.uint32(END)) for x in words.encode(texts)]
+    chunks.give_back()
 
 
 def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text",

@@ -403,8 +403,9 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
         return kept(c, chunks.covered(c.size, s.begins, s.ends))
 
     def by_range(asked: DataFrame, phase: int) -> DataFrame:
-        return asked.groupBy("range").applyInArrow(merging(phase, longest), chunks.REPLY) \
-            .repartition("chunk")
+        merge = chunks.tidy(merging(phase, longest))
+        return asked.groupBy("range").applyInArrow(
+            lambda key, table: merge(key, table), chunks.REPLY).repartition("chunk")
 
     said = [chunks.by_bucket(chunks.by_chunk(df, anchors, chunks.ASK), chunks.recurring(1))]
     said.append(by_range(chunks.with_replies(df, said, span_run, RUN), 2))
