@@ -25,6 +25,8 @@ from postlens.llm.minhash import sliced
 ORDER = 4
 #: Most texts of each language to learn from, chosen by a hash of the id; with fewer, all are taken.
 TRAIN_ROWS = 2_000
+#: Most languages that a model knows, those with the most texts.
+LANGUAGES = 1_000
 #: Most n-grams in a model, the most frequent ones: what is sent to all tasks is bounded by it.
 NODES = 1_000_000
 BLOCK = 1 << 17
@@ -173,9 +175,10 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     usable = docs.where(docs[text].isNotNull() & docs[lang].isNotNull() & ~held_out(docs[id])) \
         .select(docs[lang].alias("lang"), docs[text].alias("text"),
                 F.pmod(F.xxhash64(docs[id]), F.lit(1 << 30)).alias("dice"))
-    sizes = usable.groupBy("lang").count() \
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES) \
         .select("lang", (F.lit(float(most)) / F.col("count") * (1 << 30)).alias("limit"))
-    chosen = usable.join(sizes, "lang").where("dice < limit").select("lang", "text")
+    # One row per language, at most LANGUAGES: sent to all, so that no text is shuffled by language.
+    chosen = usable.join(F.broadcast(sizes), "lang").where("dice < limit").select("lang", "text")
     counts = chosen.mapInArrow(counted, "lang string, n int, gram long, count long") \
         .groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     rows = counts.orderBy(F.desc("count"), "n", "gram", "lang").limit(NODES).toArrow()
