@@ -3,8 +3,9 @@
 Texts become tokens: words, numbers, units after a number, and names (a capital inside a sentence).
 The last three turn into typed placeholders. Windows of `WIDTH` template tokens of the benchmark are
 hashed; a document window with the same hash is a candidate. Windows in a row that fit the same item
-at the same shift form a run, and a run counts if its slots are consistent: each value of the item
-stands for one value of the document, and the other way round.
+at the same shift form a run. Of a run each longest part counts whose slots are consistent: a value of
+the item stands for one value of the document, and a name of the document for one of the item (numbers
+and units of an item may become the same).
 """
 
 from __future__ import annotations
@@ -146,8 +147,9 @@ class Benchmark:
         self.coarse = np.zeros(1 << 20, bool)
         self.coarse[self.key >> np.uint64(44)] = True
 
-    def hits(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text the runs (item, first byte, end byte, tokens) that are consistent."""
+    def hits(self, texts: list[str], parts: bool = False) -> list[list[tuple[int, int, int, int]]]:
+        """For each text the runs (item, first byte, end byte, tokens) that are consistent from end to
+        end; with `parts` every longest consistent part of a run of at least `width` tokens."""
         out: list[list] = [[] for _ in texts]
         d = Tokens(texts)
         at, key = d.windows(self.width)
@@ -168,18 +170,36 @@ class Benchmark:
             | (d.doc[here[1:]] != d.doc[here[:-1]])
         for i, j in pairwise(np.flatnonzero(new).tolist()):
             x, y, m = here[i], there[i], j - i - 1 + self.width
-            if self.consistent(d, x, y, m):
-                doc = d.doc[x]
-                start = d.text_starts[doc]
-                out[doc].append((int(self.ids[self.tokens.doc[y]]), int(d.begin[x] - start),
-                                 int(d.end[x + m - 1] - start), m))
+            doc = d.doc[x]
+            start = d.text_starts[doc]
+            for low, high in self.consistent(d, x, y, m):
+                if parts or high - low == m:
+                    out[doc].append((int(self.ids[self.tokens.doc[y]]), int(d.begin[x + low] - start),
+                                     int(d.end[x + high - 1] - start), high - low))
         return out
 
-    def consistent(self, d: Tokens, x: int, y: int, m: int) -> bool:
-        slots = self.tokens.type[y:y + m] > 0
-        pairs = set(zip(self.tokens.value[y:y + m][slots].tolist(),
-                        d.value[x:x + m][slots].tolist(), strict=True))
-        return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+    def consistent(self, d: Tokens, x: int, y: int, m: int) -> list[tuple[int, int]]:
+        """The longest parts of a run, of at least `width` tokens, whose slots are consistent."""
+        kind = self.tokens.type[y:y + m]
+        slots = np.flatnonzero(kind)
+        out, low = [], 0
+        ours: dict[int, tuple[int, int]] = {}
+        theirs: dict[int, tuple[int, int]] = {}
+        for i, a, b, k in zip(slots.tolist(), self.tokens.value[y + slots].tolist(),
+                              d.value[x + slots].tolist(), kind[slots].tolist(), strict=True):
+            # A part that holds this slot begins after the last one that contradicts it.
+            value, last = ours.get(a, (b, -1))
+            after = last + 1 if value != b else 0
+            if k == NAME:
+                value, last = theirs.get(b, (a, -1))
+                after = max(after, last + 1 if value != a else 0)
+                theirs[b] = a, i
+            ours[a] = b, i
+            if after > low:
+                if i - low >= self.width:
+                    out.append((low, i))
+                low = after
+        return [*out, (low, m)] if m - low >= self.width else out
 
 
 def found(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item_id: str, item_text: str,
@@ -199,7 +219,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item_id: st
         def search(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Benchmark(*shared.value, width)
             for table in sliced(it):
-                hits = known.hits([t or "" for t in table["text"].to_pylist()])
+                hits = known.hits([t or "" for t in table["text"].to_pylist()], parts=True)
                 row = [i for i, h in enumerate(hits) if h]
                 names = ("item_id", "begin", "end", "tokens")
                 kind = pa.list_(pa.struct([(k, pa.int64()) for k in names]))

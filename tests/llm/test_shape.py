@@ -45,6 +45,42 @@ def test_slots_must_agree():
     assert not known.hits([QUESTION.replace("Boris", "Anna")])[0]
 
 
+def test_consistent_parts_of_a_run(spark):
+    again = QUESTION.replace("Anna", "Clara").replace("Boris", "Diego")
+    # One name differs the second time; an excerpt ends before a number, another one follows.
+    mixed = again.replace("Clara bought", "Diego bought")
+    excerpt = " ".join(QUESTION.split()[5:19]) + " 12 grey bags of flour"
+    sums = "Then 12 men with 30 carts came to the old mill and 12 of them left again"
+    assert found(spark, mixed, excerpt) == {0, 1}
+    assert found(spark, sums.replace("30", "12"), item=sums) == {0}
+    assert found(spark, sums.replace("30", "7").replace("12 of", "9 of"), item=sums) == {0}
+    known = decontaminate.Benchmark([7], [QUESTION], decontaminate.WIDTH)
+    ends = [(len(mixed.encode()[:b].split()), len(mixed.encode()[:e].split()))
+            for _, b, e, _ in known.hits([mixed], parts=True)[0]]
+    assert sorted(ends) == [(0, 17), (14, 26)]
+
+
+def test_parts_against_all_cuts():
+    r = np.random.default_rng(7)
+    words = QUESTION.lower().split()
+    for _ in range(200):
+        at = np.sort(r.choice(np.arange(1, 26), 8, replace=False))
+        ours, theirs = list(words), list(words)
+        for i in at:
+            ours[i], theirs[i] = (f"{'VWX'[v]}{'ab'[v % 2]}o" for v in r.integers(0, 3, 2))
+        known = decontaminate.Benchmark([1], [" ".join(ours)], 10)
+        x = decontaminate.Tokens([" ".join(theirs)])
+
+        def agree(b, e):
+            pairs = {(ours[i], theirs[i]) for i in at if b <= i < e}
+            return len({p for p, _ in pairs}) == len(pairs) == len({q for _, q in pairs})
+
+        good = [(b, e) for b in range(26) for e in range(b + 10, 27) if agree(b, e)]
+        want = [(b, e) for b, e in good
+                if not any(c <= b and e <= f and (b, e) != (c, f) for c, f in good)]
+        assert known.consistent(x, 0, 0, 26) == sorted(want)
+
+
 def test_plain_words_are_needed(spark):
     item = "The and 1 2 3 4 5 6 7 8 9 10 11 12 13 14"
     assert found(spark, "The and 5 6 7 8 9 10 11 12 13 14 15 16 17 18", item=item) == set()
