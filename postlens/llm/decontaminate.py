@@ -6,6 +6,9 @@ hashed; a document window with the same hash is a candidate. Windows in a row th
 at the same shift form a run. Of a run each longest part counts whose slots are consistent: a value of
 the item stands for one value of the document, and a name of the document for one of the item (numbers
 and units of an item may become the same).
+
+Items in which no window has enough plain words, such as short ones, are looked up whole, slots by
+value. Scripts without spaces between words have a token for each character.
 """
 
 from __future__ import annotations
@@ -46,6 +49,23 @@ _kind[65:91] = _kind[97:123] = 1
 _kind[128:] = 1
 _stop = np.zeros(256, bool)
 _stop[[10, 13, 33, 46, 58, 63]] = True
+#: Signs of arithmetic; they are no tokens, but items that are looked up whole must agree in them.
+_sign = np.zeros(256, np.uint64)
+_sign[list(b"%*+/<=>^")] = SLOT[1] * np.arange(1, 9, dtype=np.uint64)
+MINUS = SLOT[2]
+
+#: First and last characters of scripts without spaces between words: Thai, Lao, Tibetan and Myanmar,
+#: Khmer, Tai scripts, Balinese, Han, kana and bopomofo, Javanese and more Myanmar, Tai Viet, wide forms.
+UNSPACED = np.array([
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+    (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x303C), (0x3041, 0x30FA),
+    (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)])
+#: Their punctuation, which is no token.
+MARKS = np.array([(0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F),
+                  (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40),
+                  (0xFF5B, 0xFF65)])
+STOPS = [0x3002, 0xFF01, 0xFF0E, 0xFF1A, 0xFF1F, 0xFF61]
 
 
 class Tokens:
@@ -67,9 +87,18 @@ class Tokens:
             mid = (a[1:n - 1] == 46) | (a[1:n - 1] == 44)
             mid &= (kind[:-2] == 2) & (kind[2:] == 2)
             kind[1:-1][mid] = 2
+        stop = _stop[a[:n]]
+        lead = np.flatnonzero(a[:n] >= 0xE0)
+        code, long = code_points(a, lead)
+        mark = within(code, MARKS)
+        for i in range(3):
+            kind[lead[mark] + i] = 0
+        stop[lead[np.isin(code, STOPS)]] = True
+        alone = within(code, UNSPACED)
         change = np.zeros(n + 1, bool)
         change[0] = change[n] = True
         change[1:n] = kind[1:] != kind[:-1]
+        change[lead[alone]] = change[lead[alone] + long[alone]] = True
         change[starts[starts < n]] = True
         at = np.flatnonzero(change)
         keep = kind[at[:-1]] > 0 if n else np.zeros(0, bool)
@@ -81,7 +110,7 @@ class Tokens:
         upper = np.concatenate([[0], np.cumsum(a[:n] != b[:n])])
         capitals = upper[self.end] - upper[self.begin]
         leads = upper[np.minimum(self.begin + 2, n)] - upper[self.begin] > 0
-        stops = np.concatenate([[0], np.cumsum(_stop[a[:n]])])
+        stops = np.concatenate([[0], np.cumsum(stop)])
         opens = first.copy()
         opens[1:] |= stops[self.begin[1:]] > stops[self.end[:-1]]
         number = kind[self.begin] == 2 if n else np.zeros(0, bool)
@@ -92,6 +121,19 @@ class Tokens:
         self.type[after & np.isin(self.value, unit_values())] = UNIT
         self.type[number] = NUMBER
         self.canonical = np.where(self.type > 0, SLOT[self.type], self.value)
+        self.bytes = a
+
+    def signs(self) -> np.ndarray:
+        """For each token the signs of arithmetic between the one before it and it, as a number; a minus
+        only between numbers, as elsewhere it is a hyphen."""
+        before = np.concatenate([[np.uint64(0)], np.cumsum(_sign[self.bytes])])
+        minus = np.concatenate([[0], np.cumsum(self.bytes == 45)])
+        out = np.zeros(len(self.begin), np.uint64)
+        out[1:] = before[self.begin[1:]] - before[self.end[:-1]]
+        number = self.type == NUMBER
+        both = number[1:] & number[:-1] & (minus[self.begin[1:]] > minus[self.end[:-1]])
+        out[1:][both] += MINUS
+        return out
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First tokens and hashes of the windows that lie in one text. A window with names has two:
@@ -108,6 +150,20 @@ class Tokens:
             rolling(self.canonical, width, BASES[0])[at], rolling(plain, width, BASES[0])[named]])
 
 
+def code_points(a: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of three or four bytes that begin at the places `lead`, and how many bytes."""
+    x = [a[lead + i].astype(np.int64) & 63 for i in range(4)]
+    three = (x[0] & 15) << 12 | x[1] << 6 | x[2]
+    four = (x[0] & 7) << 18 | x[1] << 12 | x[2] << 6 | x[3]
+    long = a[lead] >= 0xF0
+    return np.where(long, four, three), np.where(long, 4, 3)
+
+
+def within(code: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """Whether each character lies in one of the ranges, which are in order."""
+    return np.searchsorted((ranges + [0, 1]).ravel(), code, side="right") % 2 == 1
+
+
 def word_values(b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each token."""
     view = np.ndarray((len(b) - 7,), "<u8", b.data, 0, (1,))
@@ -132,8 +188,28 @@ def unit_values() -> np.ndarray:
                        ends - np.array([len(u) for u in UNITS]), ends)
 
 
+class Keys:
+    """Hashes with a number each."""
+
+    def __init__(self, key: np.ndarray, number: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        self.key, self.number = key[order], number[order]
+        self.coarse = np.zeros(1 << 20, bool)
+        self.coarse[self.key >> np.uint64(44)] = True
+
+    def find(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of `at` and the numbers whose hashes are equal, in pairs."""
+        some = self.coarse[key >> np.uint64(44)]
+        at, key = at[some], key[some]
+        low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, side="right")
+        n = high - low
+        return np.repeat(at, n), \
+            self.number[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
+
+
 class Benchmark:
-    """The windows of the items, by hash. Items of fewer tokens than a window have none."""
+    """The windows of the items, by hash; items without one that has enough plain words, by their first
+    tokens, `width` at most."""
 
     def __init__(self, ids: list[int], texts: list[str], width: int):
         self.ids, self.width = np.array(ids, np.int64), width
@@ -141,11 +217,16 @@ class Benchmark:
         at, key = t.windows(width)
         rich = np.array([len(set(t.value[i:i + width][t.type[i:i + width] == WORD].tolist())) >= PLAIN
                          for i in at], bool)
-        at, key = at[rich], key[rich]
-        order = np.argsort(key, kind="stable")
-        self.at, self.key = at[order], key[order]
-        self.coarse = np.zeros(1 << 20, bool)
-        self.coarse[self.key >> np.uint64(44)] = True
+        self.keys = Keys(key[rich], at[rich])
+        self.size = np.bincount(t.doc, minlength=len(ids))
+        first = np.cumsum(self.size) - self.size
+        bare = self.size > 0
+        bare[t.doc[at[rich]]] = False
+        self.whole = {}
+        for n in np.unique(np.minimum(self.size[bare], width)).tolist():
+            item = first[bare & (np.minimum(self.size, width) == n)]
+            self.whole[n] = Keys(rolling(t.value, n, BASES[0])[item], item)
+        self.signs = t.signs() if self.whole else None
 
     def hits(self, texts: list[str], parts: bool = False) -> list[list[tuple[int, int, int, int]]]:
         """For each text the runs (item, first byte, end byte, tokens) that are consistent from end to
@@ -153,12 +234,7 @@ class Benchmark:
         out: list[list] = [[] for _ in texts]
         d = Tokens(texts)
         at, key = d.windows(self.width)
-        some = self.coarse[key >> np.uint64(44)]
-        at, key = at[some], key[some]
-        low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, side="right")
-        n = high - low
-        here = np.repeat(at, n)
-        there = self.at[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
+        here, there = self.keys.find(key, at)
         order = np.lexsort((here, here - there))
         here, there = here[order], there[order]
         if len(here):
@@ -176,8 +252,28 @@ class Benchmark:
                 if parts or high - low == m:
                     out[doc].append((int(self.ids[self.tokens.doc[y]]), int(d.begin[x + low] - start),
                                      int(d.end[x + high - 1] - start), high - low))
+        for x, y, m in self.copies(d):
+            doc = d.doc[x]
+            start = d.text_starts[doc]
+            out[doc].append((int(self.ids[self.tokens.doc[y]]), int(d.begin[x] - start),
+                             int(d.end[x + m - 1] - start), m))
         return out
 
+    def copies(self, d: Tokens) -> Iterator[tuple[int, int, int]]:
+        """First token, the item's first token and length of each copy of an item looked up whole."""
+        signs = d.signs() if self.whole else None
+        for n, keys in self.whole.items():
+            if len(d.begin) < n:
+                continue
+            at = np.flatnonzero(d.doc[:len(d.doc) - n + 1] == d.doc[n - 1:])
+            here, there = keys.find(rolling(d.value, n, BASES[0])[at], at)
+            for x, y in zip(here.tolist(), there.tolist(), strict=True):
+                m = int(self.size[self.tokens.doc[y]])
+                if x + m <= len(d.doc) and d.doc[x] == d.doc[x + m - 1] \
+                        and np.array_equal(d.value[x:x + m], self.tokens.value[y:y + m]) \
+                        and np.array_equal(signs[x + 1:x + m], self.signs[y + 1:y + m]):
+                    yield x, y, m
+
     def consistent(self, d: Tokens, x: int, y: int, m: int) -> list[tuple[int, int]]:
         """The longest parts of a run, of at least `width` tokens, whose slots are consistent."""
         kind = self.tokens.type[y:y + m]
@@ -241,8 +337,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
                   ) -> DataFrame:
     """`id`, `text_hash`, `item_id`, `begin`, `end` (bytes), `tokens` for each run found.
 
-    Null texts, items without id, and items shorter than a window give nothing; equal items are each
-    reported, rows of equal id each on their own. Empty tables give an empty one.
+    Null texts, items without id, and items without a letter or digit give nothing; items without a
+    window of `PLAIN` different plain words are found as whole copies only. Equal items are each reported, rows of equal id each on their own. Empty tables give an empty one.
     """
     return found(docs, benchmark, id, text, item_id, item_text, width) \
         .select(F.col("key").alias(id), "text_hash", F.explode("hits").alias("h")) \

@@ -86,6 +86,28 @@ def test_plain_words_are_needed(spark):
     assert found(spark, "The and 5 6 7 8 9 10 11 12 13 14 15 16 17 18", item=item) == set()
 
 
+def test_items_without_a_rich_window(spark):
+    items = ["What is the capital of France?", "2 + 3 * 4 = ?", "1 2 3 4 5 6 7 8 9 10 11 12 13", "Yes",
+             "法国的首都是哪里？请写出它的名字和人口", "東京は？", "ฝรั่งเศสมีเมืองหลวงชื่อว่าอะไร", "?!"]
+    copies = [f"Before this. {i} And after." for i in items[:4]] + \
+        [f"它说：{i}谢谢" for i in items[4:7]]
+    others = ["What is the capital of Spain?", "2 - 3 * 4 =", "1 2 3 4 5 6 7 8 9 10 11 12 14", "yesterday",
+              "法国很美", "東京", "1 2 3 4 5 6 7 8 9 10 11 12", "the capital of France", "", None]
+    docs = spark.createDataFrame(list(enumerate(copies + others)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.contamination(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i in range(7)}
+    for r in rows:
+        cut = copies[r.doc_id].encode()[r.begin:r.end].decode()
+        assert cut in items[r.item_id] and (r.item_id > 3 or cut == items[r.item_id].rstrip(" =?"))
+
+
+def test_signs_tell_items_apart():
+    known = decontaminate.Benchmark([1, 2], ["7 - 3", "a well-known 7"], 10)
+    assert [[h[0] for h in x] for x in known.hits(["7-3", "7 + 3", "7 3", "a well known 7"])] == \
+        [[1], [], [], [2]]
+
+
 def test_clean_keeps_columns(spark, corpus, nothing, prose):
     items = spark.createDataFrame([(1, prose(80, 1))], "item_id long, text string")
     kept = decontaminate.clean(corpus, items)
