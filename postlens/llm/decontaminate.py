@@ -5,7 +5,8 @@ The last three turn into typed placeholders. Windows of `WIDTH` template tokens
 hashed; a document window with the same hash is a candidate. Windows in a row that fit the same item
 at the same shift form a run. Of a run each longest part counts whose slots are consistent: a value of
 the item stands for one value of the document, and a name of the document for one of the item (numbers
-and units of an item may become the same).
+and units of an item may become the same). All this is done twice: over the tokens, and over units in
+which any capital is a name, also where it opens a sentence, and names side by side are one.
 
 Items in which no window has enough plain words, such as short ones, are looked up whole, slots by
 value. Scripts without spaces between words have a token for each character.
@@ -53,6 +54,9 @@ _stop[[10, 13, 33, 46, 58, 63]] = True
 _sign = np.zeros(256, np.uint64)
 _sign[list(b"%*+/<=>^")] = SLOT[1] * np.arange(1, 9, dtype=np.uint64)
 MINUS = SLOT[2]
+#: What keeps names apart that stand side by side, besides the ends of sentences.
+_apart = _stop.copy()
+_apart[list(b'"(),/;[]{|}')] = True
 
 #: First and last characters of scripts without spaces between words: Thai, Lao, Tibetan and Myanmar,
 #: Khmer, Tai scripts, Balinese, Han, kana and bopomofo, Javanese and more Myanmar, Tai Viet, wide forms.
@@ -117,11 +121,18 @@ class Tokens:
         after = np.zeros(len(number), bool)
         after[1:] = number[:-1] & ~first[1:]
         self.type = np.zeros(len(number), np.uint8)
-        self.type[leads & (capitals == 1) & ~opens] = NAME
+        capital = leads & (capitals == 1)
+        self.type[capital & ~opens] = NAME
         self.type[after & np.isin(self.value, unit_values())] = UNIT
         self.type[number] = NUMBER
         self.canonical = np.where(self.type > 0, SLOT[self.type], self.value)
         self.bytes = a
+        self.first, self.last = np.arange(len(number)), np.arange(1, len(number) + 1)
+        self.name = (self.type == NAME) | capital & (self.type == WORD)
+        parted = np.concatenate([[0], np.cumsum(_apart[a[:n]] | stop)])
+        self.joined = np.zeros(len(number), bool)
+        self.joined[1:] = self.name[1:] & self.name[:-1] & ~opens[1:] \
+            & (parted[self.begin[1:]] == parted[self.end[:-1]])
 
     def signs(self) -> np.ndarray:
         """For each token the signs of arithmetic between the one before it and it, as a number; a minus
@@ -150,6 +161,30 @@ class Tokens:
             rolling(self.canonical, width, BASES[0])[at], rolling(plain, width, BASES[0])[named]])
 
 
+class Units:
+    """The tokens with every capital as a name and names side by side as one."""
+
+    def __init__(self, t: Tokens):
+        self.first = np.flatnonzero(~t.joined)
+        self.last = np.append(self.first[1:], len(t.joined))[:len(self.first)]
+        size = self.last - self.first
+        self.doc, self.value = t.doc[self.first], t.value[self.first]
+        many = np.flatnonzero(size > 1)
+        for i in range(1, int(size.max(initial=1))):
+            many = many[size[many] > i]
+            self.value[many] = chunks.mix(self.value[many] * BASES[1] + t.value[self.first[many] + i])
+        self.type = np.where(t.name[self.first], NAME, t.type[self.first])
+        self.canonical = np.where(self.type > 0, SLOT[self.type], self.value)
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First units and hashes of the windows that lie in one text."""
+        n = len(self.first) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.doc[:n] == self.doc[width - 1:])
+        return at, rolling(self.canonical, width, BASES[0])[at]
+
+
 def code_points(a: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The characters of three or four bytes that begin at the places `lead`, and how many bytes."""
     x = [a[lead + i].astype(np.int64) & 63 for i in range(4)]
@@ -214,14 +249,18 @@ class Benchmark:
     def __init__(self, ids: list[int], texts: list[str], width: int):
         self.ids, self.width = np.array(ids, np.int64), width
         self.tokens = t = Tokens(texts)
-        at, key = t.windows(width)
-        rich = np.array([len(set(t.value[i:i + width][t.type[i:i + width] == WORD].tolist())) >= PLAIN
-                         for i in at], bool)
-        self.keys = Keys(key[rich], at[rich])
+        self.units = Units(t)
+        self.keys, bare = [], np.ones(len(ids), bool)
+        for x in (t, self.units):
+            at, key = x.windows(width)
+            rich = np.array([len(set(x.value[i:i + width][x.type[i:i + width] == WORD].tolist()))
+                             >= PLAIN for i in at], bool)
+            self.keys.append(Keys(key[rich], at[rich]))
+            if x is t:
+                bare[t.doc[at[rich]]] = False
         self.size = np.bincount(t.doc, minlength=len(ids))
         first = np.cumsum(self.size) - self.size
-        bare = self.size > 0
-        bare[t.doc[at[rich]]] = False
+        bare &= self.size > 0
         self.whole = {}
         for n in np.unique(np.minimum(self.size[bare], width)).tolist():
             item = first[bare & (np.minimum(self.size, width) == n)]
@@ -231,10 +270,30 @@ class Benchmark:
     def hits(self, texts: list[str], parts: bool = False) -> list[list[tuple[int, int, int, int]]]:
         """For each text the runs (item, first byte, end byte, tokens) that are consistent from end to
         end; with `parts` every longest consistent part of a run of at least `width` tokens."""
-        out: list[list] = [[] for _ in texts]
+        # By document: item, its first token and the bytes, so that what both ways find counts once.
+        out: list[dict] = [{} for _ in texts]
         d = Tokens(texts)
+
+        def add(x: int, y: int, m: int) -> None:
+            doc = d.doc[x]
+            start = d.text_starts[doc]
+            out[doc][int(self.tokens.doc[y]), int(y), int(d.begin[x] - start),
+                     int(d.end[x + m - 1] - start)] = int(m)
+
+        for t, z, keys in ((self.tokens, d, self.keys[0]), (self.units, Units(d), self.keys[1])):
+            for x, y, m in self.runs(t, z, keys):
+                for low, high in self.consistent(z, x, y, m, t):
+                    if parts or high - low == m:
+                        at = z.first[x + low]
+                        add(at, t.first[y + low], z.last[x + high - 1] - at)
+        for x, y, m in self.copies(d):
+            add(x, y, m)
+        return [[(int(self.ids[i]), b, e, m) for (i, _, b, e), m in found.items()] for found in out]
+
+    def runs(self, t: Tokens | Units, d: Tokens | Units, keys: Keys) -> Iterator[tuple[int, int, int]]:
+        """Place in the document, place in the item and length of each run of windows."""
         at, key = d.windows(self.width)
-        here, there = self.keys.find(key, at)
+        here, there = keys.find(key, at)
         order = np.lexsort((here, here - there))
         here, there = here[order], there[order]
         if len(here):
@@ -242,22 +301,9 @@ class Benchmark:
             here, there = here[once], there[once]
         new = np.ones(len(here) + 1, bool)
         new[1:-1] = (here[1:] - there[1:] != here[:-1] - there[:-1]) | (here[1:] - here[:-1] != 1) \
-            | (self.tokens.doc[there[1:]] != self.tokens.doc[there[:-1]]) \
-            | (d.doc[here[1:]] != d.doc[here[:-1]])
+            | (t.doc[there[1:]] != t.doc[there[:-1]]) | (d.doc[here[1:]] != d.doc[here[:-1]])
         for i, j in pairwise(np.flatnonzero(new).tolist()):
-            x, y, m = here[i], there[i], j - i - 1 + self.width
-            doc = d.doc[x]
-            start = d.text_starts[doc]
-            for low, high in self.consistent(d, x, y, m):
-                if parts or high - low == m:
-                    out[doc].append((int(self.ids[self.tokens.doc[y]]), int(d.begin[x + low] - start),
-                                     int(d.end[x + high - 1] - start), high - low))
-        for x, y, m in self.copies(d):
-            doc = d.doc[x]
-            start = d.text_starts[doc]
-            out[doc].append((int(self.ids[self.tokens.doc[y]]), int(d.begin[x] - start),
-                             int(d.end[x + m - 1] - start), m))
-        return out
+            yield here[i], there[i], j - i - 1 + self.width
 
     def copies(self, d: Tokens) -> Iterator[tuple[int, int, int]]:
         """First token, the item's first token and length of each copy of an item looked up whole."""
@@ -274,14 +320,16 @@ class Benchmark:
                         and np.array_equal(signs[x + 1:x + m], self.signs[y + 1:y + m]):
                     yield x, y, m
 
-    def consistent(self, d: Tokens, x: int, y: int, m: int) -> list[tuple[int, int]]:
+    def consistent(self, d: Tokens | Units, x: int, y: int, m: int, t: Tokens | Units | None = None
+                   ) -> list[tuple[int, int]]:
         """The longest parts of a run, of at least `width` tokens, whose slots are consistent."""
-        kind = self.tokens.type[y:y + m]
+        t = t or self.tokens
+        kind = t.type[y:y + m]
         slots = np.flatnonzero(kind)
         out, low = [], 0
         ours: dict[int, tuple[int, int]] = {}
         theirs: dict[int, tuple[int, int]] = {}
-        for i, a, b, k in zip(slots.tolist(), self.tokens.value[y + slots].tolist(),
+        for i, a, b, k in zip(slots.tolist(), t.value[y + slots].tolist(),
                               d.value[x + slots].tolist(), kind[slots].tolist(), strict=True):
             # A part that holds this slot begins after the last one that contradicts it.
             value, last = ours.get(a, (b, -1))

@@ -86,6 +86,21 @@ def test_plain_words_are_needed(spark):
     assert found(spark, "The and 5 6 7 8 9 10 11 12 13 14 15 16 17 18", item=item) == set()
 
 
+def test_openers_and_longer_names(spark):
+    item = "Tom has 5 apples. Sue has 7 pears. Ann has 9 plums. Who has the most?"
+    again = item.replace("Tom", "Bob").replace("Sue", "Eve").replace("Ann", "Mary Kim")
+    assert found(spark, item, again.replace("7", "12"), again.replace("Who has", "Who had"),
+                 item=item) == {0, 1}
+    item = "After the game Anna owed Boris 5 coins while Boris owed Clara 9 coins and Clara owed Anna 3"
+    again = item.replace("Boris", "Leo").replace("Clara", "Eva Lund").replace("Anna", "Mary Ann")
+    assert found(spark, again, again.replace("while Leo", "while Mary Ann"), item=item) == {0}
+    assert found(spark, item, item=again) == {0}
+    assert decontaminate.Units(decontaminate.Tokens(["So Anna Smith, Bo met Al. Tom O'Neil"])).first \
+        .tolist() == [0, 3, 4, 5, 6]
+    whole = decontaminate.Benchmark([1], [QUESTION], 10).hits([QUESTION, ""], parts=True)
+    assert whole == [[(1, 0, len(QUESTION), 26)], []]
+
+
 def test_items_without_a_rich_window(spark):
     items = ["What is the capital of France?", "2 + 3 * 4 = ?", "1 2 3 4 5 6 7 8 9 10 11 12 13", "Yes",
              "法国的首都是哪里？请写出它的名字和人口", "東京は？", "ฝรั่งเศสมีเมืองหลวงชื่อว่าอะไร", "?!"]
