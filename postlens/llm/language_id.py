@@ -25,10 +25,9 @@ from postlens.llm.minhash import sliced
 ORDER = 4
 #: Most texts of each language to learn from, chosen by a hash of the id; with fewer, all are taken.
 TRAIN_ROWS = 2_000
-#: Most languages that a model knows, those with the most texts.
-LANGUAGES = 1_000
-#: Most n-grams in a model, the most frequent ones: what is sent to all tasks is bounded by it.
-NODES = 1_000_000
+#: Languages that share tables. An n-gram takes a cost for each of them, so that a model grows with the
+#: counts learnt from, not with n-grams times languages.
+GROUP = 16
 BLOCK = 1 << 17
 UNKNOWN = "und"
 
@@ -105,22 +104,21 @@ class Lookup:
         return out
 
 
-class Model:
-    """Costs in bits: `langs`; for n = 1 .. ORDER + 1 a lookup of n-grams with their costs by
+class Trees:
+    """Costs in bits of a few languages: for n = 1 .. ORDER + 1 a lookup of n-grams with their costs by
     language; for each context length a lookup of contexts with the costs of their escapes."""
 
-    def __init__(self, langs: list[str], rows: dict[str, np.ndarray]):
-        self.langs = langs
-        lang = np.searchsorted(np.array(langs), rows["lang"])
+    def __init__(self, langs: int, rows: dict[str, np.ndarray]):
+        self.langs, lang = langs, rows["lang"]
         self.gram_lookup, self.gram_cost = [], []
         self.context_lookup, self.escape = [], []
         for n in range(1, ORDER + 2):
             here = rows["n"] == n
             keys, at = np.unique(rows["gram"][here], return_inverse=True)
-            count = np.zeros((len(keys), len(langs)))
+            count = np.zeros((len(keys), langs))
             np.add.at(count, (at, lang[here]), rows["count"][here])
             contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
-            total, kinds = (np.zeros((len(contexts), len(langs))) for _ in range(2))
+            total, kinds = (np.zeros((len(contexts), langs)) for _ in range(2))
             np.add.at(total, of, count)
             np.add.at(kinds, of, count > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -136,7 +134,7 @@ class Model:
     def costs(self, keys: np.ndarray, n: int) -> np.ndarray:
         """What n-grams cost in each language."""
         if n == 0:
-            return np.full((len(keys), len(self.langs)), 8.0, np.float32)
+            return np.full((len(keys), self.langs), 8.0, np.float32)
         at = self.gram_lookup[n - 1].find(keys)
         if not len(self.gram_cost[n - 1]):
             return self.costs(keys & np.uint64((1 << 8 * (n - 1)) - 1), n - 1)
@@ -153,7 +151,7 @@ class Model:
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code length of each text in each language, in bits."""
         data, begins, ends = joined(texts)
-        out = np.zeros((len(texts), len(self.langs)))
+        out = np.zeros((len(texts), self.langs))
         for b in range(ORDER, len(data), BLOCK):
             e = min(len(data), b + BLOCK)
             cost = self.costs(grams(data[b - ORDER:e], ORDER + 1), ORDER + 1).astype(np.float64)
@@ -165,6 +163,24 @@ class Model:
         return out
 
 
+class Model:
+    """`langs` and their trees, `GROUP` languages at a time; `rows` has languages by their number."""
+
+    def __init__(self, langs: list[str], rows: dict[str, np.ndarray]):
+        self.langs, self.groups = langs, []
+        order = np.argsort(rows["lang"], kind="stable")
+        rows = {k: v[order] for k, v in rows.items()}
+        for first in range(0, len(langs), GROUP):
+            last = min(first + GROUP, len(langs))
+            b, e = np.searchsorted(rows["lang"], [first, last])
+            mine = {k: v[b:e] for k, v in rows.items()}
+            self.groups.append(Trees(last - first, mine | {"lang": mine["lang"] - first}))
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """Code length of each text in each language, in bits."""
+        return np.concatenate([g.lengths(texts) for g in self.groups], axis=1)
+
+
 def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -175,17 +191,21 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     usable = docs.where(docs[text].isNotNull() & docs[lang].isNotNull() & ~held_out(docs[id])) \
         .select(docs[lang].alias("lang"), docs[text].alias("text"),
                 F.pmod(F.xxhash64(docs[id]), F.lit(1 << 30)).alias("dice"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES) \
+    sizes = usable.groupBy("lang").count() \
         .select("lang", (F.lit(float(most)) / F.col("count") * (1 << 30)).alias("limit"))
-    # One row per language, at most LANGUAGES: sent to all, so that no text is shuffled by language.
+    # One row per language: sent to all, so that no text is shuffled by language.
     chosen = usable.join(F.broadcast(sizes), "lang").where("dice < limit").select("lang", "text")
-    counts = chosen.mapInArrow(counted, "lang string, n int, gram long, count long") \
-        .groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    rows = counts.orderBy(F.desc("count"), "n", "gram", "lang").limit(NODES).toArrow()
-    columns = {"lang": np.array(rows["lang"].to_pylist(), dtype=str), "n": rows["n"].to_numpy(),
+    rows = chosen.mapInArrow(counted, "lang string, n int, gram long, count long") \
+        .groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).toArrow()
+    named = rows["lang"].combine_chunks().dictionary_encode()
+    names = named.dictionary.to_pylist()
+    langs = sorted(names)
+    place = {x: i for i, x in enumerate(langs)}
+    number = np.array([place[x] for x in names], np.int64)
+    columns = {"lang": number[named.indices.to_numpy()], "n": rows["n"].to_numpy(),
                "gram": rows["gram"].to_numpy().astype(np.int64).view(np.uint64),
                "count": rows["count"].to_numpy()}
-    return Model(sorted(set(columns["lang"].tolist())), columns)
+    return Model(langs, columns)
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -46,6 +46,25 @@ def test_code_lengths(spark, prose):
         assert np.allclose(got[i], [code_length(learnt[k], t) for k in model.langs], rtol=1e-5)
 
 
+def test_no_count_is_cut(spark, prose, monkeypatch):
+    # Names that once limited a model; nothing may heed them.
+    monkeypatch.setattr(language_id, "NODES", 400, raising=False)
+    monkeypatch.setattr(language_id, "LANGUAGES", 3, raising=False)
+    monkeypatch.setattr(language_id, "GROUP", 2, raising=False)
+    train = {"aa": [prose(300, i) for i in range(9)], "small": ["the cat sat on the mat"] * 4,
+             "tiny": ["été à la mer"] * 4, "zz": ["漢字かな交じり文"] * 4, "more": ["zwölf Boxkämpfer"] * 4}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, v in train.items() for t in v)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.langs == sorted(train)
+    used = {r.doc_id for r in docs.where(~language_id.held_out(docs.doc_id)).collect()}
+    learnt = {k: [t for i, t, x in rows if x == k and i in used] for k in model.langs}
+    texts = ["the mat", "", "zz été 漢", prose(8, 1), "la mer zwölf"]
+    got = model.lengths(texts)
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], [code_length(learnt[k], t) for k in model.langs], rtol=1e-5)
+
+
 def test_languages_of_odd_rows(corpus, nothing):
     model = language_id.train(corpus)
     got = {r.text: r for r in language_id.predicted(corpus, model).collect()}
