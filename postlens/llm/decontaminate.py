@@ -14,6 +14,7 @@ value. Scripts without spaces between words have a token for each character.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -72,13 +73,24 @@ MARKS = np.array([(0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D,
 STOPS = [0x3002, 0xFF01, 0xFF0E, 0xFF1A, 0xFF1F, 0xFF61]
 
 
+#: Characters whose small letter has another number of bytes; they stay as they are. All are below 0x10000.
+UNEVEN = re.compile("([" + "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000)))
+                                   if len(c.lower().encode()) != len(c.encode())) + "]+)")
+
+
+def lower(text: str) -> str:
+    """Small letters, each at the bytes of its capital."""
+    if text.isascii() or not UNEVEN.search(text):
+        return text.lower()
+    return "".join(x if i % 2 else x.lower() for i, x in enumerate(UNEVEN.split(text)))
+
+
 class Tokens:
     """Template tokens of several texts: place, document, canonical hash, value hash, type."""
 
     def __init__(self, texts: list[str]):
         raw = [t.encode() for t in texts]
-        low = [t.lower().encode() for t in texts]
-        low = [x if len(x) == len(r) else r.lower() for r, x in zip(raw, low, strict=True)]
+        low = [lower(t).encode() for t in texts]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(size)
         self.text_starts = starts = ends - size

@@ -117,6 +117,15 @@ def test_items_without_a_rich_window(spark):
         assert cut in items[r.item_id] and (r.item_id > 3 or cut == items[r.item_id].rstrip(" =?"))
 
 
+def test_letters_of_other_length(spark):
+    item = "the élan of école and été was seen in óbidos near the ñandú over ülm by ásta"
+    # A dotted I grows and a Kelvin sign shrinks; two and one cancel out.
+    assert found(spark, f"İ {item.upper()}", f"İİ K {item.upper()} ẞ Ω", f"K {item}", item=item) == {0, 1, 2}
+    for text in ("ÉİÉ", "İİKÉ", "ẞΩÑ", "", "abC"):
+        assert len(decontaminate.lower(text).encode()) == len(text.encode())
+    assert decontaminate.lower("ÉİÉ") == "éİé"
+
+
 def test_signs_tell_items_apart():
     known = decontaminate.Benchmark([1, 2], ["7 - 3", "a well-known 7"], 10)
     assert [[h[0] for h in x] for x in known.hits(["7-3", "7 + 3", "7 3", "a well known 7"])] == \
