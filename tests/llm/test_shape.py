@@ -261,3 +261,84 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 0 < len(kept) < docs.count()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def leaks(items, text):
+    """Whether a window of an item, with enough plain words and consistent slots, is in the text."""
+    for kind in (lambda t: decontaminate.Tokens([t]), lambda t: decontaminate.Units(decontaminate.Tokens([t]))):
+        d, n = kind(text), decontaminate.WIDTH
+        names = d.type == decontaminate.NAME
+        views = [d.canonical.tolist(), np.where(names, d.value, d.canonical).tolist()]
+        places = {}
+        for view in views:
+            for x in range(len(view) - n + 1):
+                places.setdefault(tuple(view[x:x + n]), set()).add(x)
+        for item in items:
+            b = kind(item)
+            plain = np.where(b.type == decontaminate.NAME, b.value, b.canonical)
+            for view in (b.canonical.tolist(), plain.tolist()):
+                for y in range(len(view) - n + 1):
+                    words = {v for v, k in zip(b.value[y:y + n].tolist(), b.type[y:y + n], strict=True) if not k}
+                    for x in places.get(tuple(view[y:y + n]), ()) if len(words) >= decontaminate.PLAIN else ():
+                        pairs = {(int(k), p, q) for k, p, q in zip(
+                            b.type[y:y + n], b.value[y:y + n].tolist(), d.value[x:x + n].tolist(), strict=True) if k}
+                        named = {(p, q) for k, p, q in pairs if k == decontaminate.NAME}
+                        if len({p for _, p, _ in pairs}) == len({(p, q) for _, p, q in pairs}) \
+                                and len({q for _, q in named}) == len(named):
+                            return True
+    return False
+
+
+def test_pipeline_stages(spark):
+    from postlens.llm import quality
+    from test_near import roots, shingles
+    from test_repeats import gone_of
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").cache()
+    stages = dict(corpus_pipeline.STAGES)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def step(name, df):
+        out = stages[name](spark, df, folder).collect()
+        got = {r.doc_id: r.text for r in out}
+        # A stage that did nothing would be seen.
+        assert got != texts
+        return out, got
+
+    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    want = {r.doc_id: r.text for r in quality.scored(docs, model).collect() if r.predicted == 1}
+    rows, got = step("quality_classifier", docs)
+    assert got == want and len(rows) == len(want)
+
+    # Each stage takes all documents, so that it has work to do.
+    sets = {k: shingles(t) for k, t in texts.items()}
+    links = [(a, b) for a, x in sets.items() for b, y in sets.items()
+             if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    root = roots(texts, links)
+    rows, got = step("minhash_near_dedup", docs)
+    assert got == {k: t for k, t in texts.items() if root[k] == k} and len(rows) == len(got)
+
+    units = [(k, (t or "").encode()) for k, t in texts.items()]
+    want = {}
+    for (k, x), gone in zip(units, gone_of(units, 50), strict=True):
+        if not gone.any():
+            want[k] = texts[k]
+        elif not gone.all():
+            want[k] = bytes(np.frombuffer(x, np.uint8)[~gone]).decode("utf-8", "ignore")
+    rows, got = step("suffix_array_dedup", docs)
+    assert got == want and len(rows) == len(want)
+
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r.text]
+    want = {k: t for k, t in texts.items() if not leaks(items, t or "")}
+    rows, got = step("benchmark_decontamination", docs)
+    assert got == want and 0 < len(want) < len(texts) and len(rows) == len(want)
+
+    t = Tokenizer.from_file(tokenizer())
+    rows = stages["best_fit_packing"](spark, docs, folder).collect()
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == ends.get(r.doc_id, 0)
+        ends[r.doc_id] = r.start + r.length
+    assert ends == {k: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for k, x in texts.items()}
