@@ -15,6 +15,7 @@ from postlens.llm import (
     minhash,
     packing,
     quality,
+    source_audit,
     substring_dedup,
     suffix_dedup,
     vector_join,
@@ -162,3 +163,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.dedup(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+  k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+  v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+  c AS (SELECT t.lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+  s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+  p AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n,
+      1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * v)::HUGEINT AS p,
+      1 + (1000000000::HUGEINT * (k.n + 2)) // (v.total + 2 * v)::HUGEINT AS q
+    FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source)
+    LEFT JOIN c USING (lang, source, term)),
+  a AS (SELECT x.lang, x.source, y.source AS item,
+      sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+  r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+    FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 10""")
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
