@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postlens.catalog.registry import query
 from postlens.llm import (
     decontaminate,
+    exact_dedup,
     language_id,
     lm_score,
     minhash,
@@ -191,3 +192,10 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 WHERE part = 'pair' OR rank <= 10""")
 def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@query("""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
