@@ -17,6 +17,7 @@ from postlens.llm import (
     packing,
     quality,
     source_audit,
+    spelling,
     substring_dedup,
     suffix_dedup,
     vector_join,
@@ -194,6 +195,35 @@ def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+@query("""WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\\x{00C0}-\\x{00FF}]{7,}')) AS run FROM documents),
+  e AS (SELECT id, run, count(*) AS k, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]
+      ELSE [192 + (ord(c) >> 6), -1, -1, -1, -1, -1, -1, -1, -1,
+        128 + (ord(c) & 63), -1, -1, -1, -1, -1, -1, -1, -1] END)) AS bits FROM d GROUP BY ALL),
+  h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, bits::BIGINT[]), lambda c, x:
+    CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h FROM e),
+  r AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END
+    AS word, k FROM h),
+  w AS (SELECT word, sum(k)::BIGINT AS n FROM r WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+  x AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+  l AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i
+      AND length(a.word) = length(b.word) AND a.word <> b.word
+    UNION SELECT w.word, w.n, x.word, x.n FROM w JOIN x ON x.rest = w.word
+    UNION SELECT x.word, x.n, w.word, w.n FROM w JOIN x ON x.rest = w.word),
+  p AS (SELECT word, n, count(*) AS n_near,
+    first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM l GROUP BY ALL),
+  f AS (SELECT word, near AS form, near_n AS form_n FROM p WHERE near_n >= 10 * n),
+  c(word, root, step) AS (SELECT word, word, 0 FROM w UNION ALL
+    SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.root)
+SELECT w.word, form, root, w.n, coalesce(n_near, 0) AS n_near, form_n
+FROM w LEFT JOIN p USING (word) LEFT JOIN f USING (word)
+JOIN (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word) USING (word)""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query("""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
