@@ -193,7 +193,7 @@ class Cell:
     def __init__(self, words: list[bytes], home: np.ndarray):
         v = vectors(words)
         own = np.flatnonzero(home)
-        self.words, self.vectors = words, v
+        self.words, self.vectors, self.home = words, v, home
         self.own = own[np.lexsort(v[own].T[::-1])]
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
         self.matrix = np.array([w[:SHORT + 1] for w in words], f"S{SHORT + 1}").view(np.uint8) \
@@ -217,13 +217,14 @@ class Cell:
         trie = Trie(self.vectors[self.own], np.ones(len(self.own), np.int64), LEAF_WORDS)
         for lo, hi, who, state in trie.search(self.vectors):
             leaf = self.own[lo:hi]
+            # own words that nothing told apart so far are both in the leaf and meet both ways
+            inside = (state == SAME) & self.home[who]
             if len(leaf) * len(who) > LEAF_PAIRS:
-                yield self.by_rest(leaf, who, state)
+                yield self.by_rest(leaf, who, inside)
                 continue
             apart = np.bitwise_count(self.marks[who][:, None] ^ self.marks[leaf][None, :]) <= 2
             longer = self.lengths[leaf][None, :] - self.lengths[who][:, None]
-            # words that nothing told apart so far are both in the leaf and meet both ways
-            apart &= (np.abs(longer) <= 1) & ((state != SAME)[:, None] | (who[:, None] < leaf[None, :]))
+            apart &= (np.abs(longer) <= 1) & (~inside[:, None] | (who[:, None] < leaf[None, :]))
             i, j = np.nonzero(apart)
             if len(i):
                 yield self.verified(who[i], leaf[j])
@@ -244,7 +245,7 @@ class Cell:
         right[rest] = np.where(equal, differs.sum(axis=1) == 1, ~shifted.any(axis=1))
         return u[right], v[right]
 
-    def by_rest(self, leaf: np.ndarray, who: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def by_rest(self, leaf: np.ndarray, who: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same links by the rest of each word after a letter is taken out."""
         rests, wholes = defaultdict(list), defaultdict(list)
         for j in leaf.tolist():
@@ -254,14 +255,11 @@ class Cell:
                 if not i or w[i] != w[i - 1]:
                     wholes[w[:i] + w[i + 1:]].append(j)
         found = []
-        for k, s in zip(who.tolist(), state.tolist(), strict=True):
+        for k, one_way in zip(who.tolist(), inside.tolist(), strict=True):
             w = self.words[k]
             same = {j for i in range(len(w)) for j in rests.get((i, w[:i] + w[i + 1:]), ())}
-            if s == SAME:
-                # a longer partner in the same leaf has a saturated length; it does not find `w` itself
-                found += [(k, j) for j in same if k < j] + [(k, j) for j in wholes.get(w, ())]
-            else:
-                found += [(k, j) for j in same] + [(k, j) for j in wholes.get(w, ())]
+            found += [(k, j) for j in same if not one_way or k < j]
+            found += [(k, j) for j in wholes.get(w, ())]
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1]
 
