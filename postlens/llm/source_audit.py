@@ -35,7 +35,7 @@ SCALE = 1_000_000_000
 #: Bytes of text of a shard.
 SHARD_BYTES = 8 << 20
 #: Cells (terms x sources) of a slice of the vocabulary.
-SLICE_CELLS = 1 << 20
+SLICE_CELLS = 1 << 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
