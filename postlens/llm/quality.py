@@ -37,8 +37,10 @@ def without(text: Column, chars: str) -> Column:
 
 
 def statistics(df: DataFrame, text: str) -> DataFrame:
-    """`df` with a struct `stats` of the text's statistics; all are 0 for a text without words."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """The columns of `df` by number (c0, c1, ..., so that none clashes) with a struct `stats` of the
+    text's statistics; all are 0 for a text without words."""
+    numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    t = F.coalesce(F.col(f"c{df.columns.index(text)}"), F.lit(""))
     words = F.expr(f"filter(split(__t, '{SPACE.replace(chr(92), chr(92) * 2)}'), x -> x <> '')")
     chars = F.greatest(F.length("__t"), F.lit(1)).cast("double")
     n = F.size("__w").cast("double")
@@ -63,8 +65,8 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
     made = F.struct(*(c.cast("double").alias(k) for k, c in stats.items()))
     # The generator is a barrier: a filter on the score is not pushed below it, where each condition
     # of each rule would make its statistic anew.
-    return df.withColumn("__t", t).withColumn("__w", words) \
-        .select(*(F.col(f"`{c}`") for c in df.columns), F.explode_outer(F.array(made)).alias("stats"))
+    return numbered.withColumn("__t", t).withColumn("__w", words) \
+        .select(*numbered.columns, F.explode_outer(F.array(made)).alias("stats"))
 
 
 NAMES = ["words", "word_length", "distinct_words", "repeated_words", "capitals", "symbols", "shouts",
@@ -137,13 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
           label: str = "quality", most: int = TRAIN_ROWS) -> RuleModel:
     """Learn from labelled documents that are not held out, at most about `most` of them."""
     usable = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id))) \
-        .select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__label"))
+        .select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"))
     share = min(1.0, most / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # Bounded by `most`, give or take the chance of the hash.
-    found = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")) \
-        .join(F.broadcast(chosen), "__id")
-    return fit(statistics(found, "__text").withColumnRenamed("__label", "label"))
+    found = docs.select(docs[id].alias("id"), docs[text].alias("text")) \
+        .join(F.broadcast(chosen), "id").select("label", "text")
+    return fit(statistics(found, "text").withColumnRenamed("c0", "label"))
 
 
 def held_out(id: Column) -> Column:
@@ -153,7 +155,6 @@ def held_out(id: Column) -> Column:
 def scored(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
     """`docs` with `score` (0 to 1) and `predicted`; columns so named are replaced. Null and empty
     texts are scored like any other, by statistics of 0."""
-    names = [c for c in docs.columns if c not in ("score", "predicted", "stats")]
-    return statistics(docs, text).select(*(F.col(f"`{c}`") for c in names),
-                                         model.score().alias("score")) \
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("score", "predicted")]
+    return statistics(docs, text).select(*own, model.score().alias("score")) \
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
