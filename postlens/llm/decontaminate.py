@@ -409,7 +409,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
           width: int = WIDTH) -> DataFrame:
     """The rows of `docs` that hold no benchmark passage."""
     hits = stage(contamination(docs, benchmark, id, text, width=width)
-                 .select(F.col(id).alias("__id"), "text_hash").distinct(), "leaks")
-    mine = F.col(f"`{id}`").cast("long").eqNullSafe(F.col("__id")) \
-        & (F.xxhash64(F.col(f"`{text}`")) == F.col("text_hash"))
-    return docs.join(hits, mine, "left_anti")
+                 .select(F.col(id).alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(),
+                 "leaks")
+    # by number, so that no column of `docs` clashes with those of the hits
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    key, t = (F.col(f"c{docs.columns.index(c)}") for c in (id, text))
+    mine = key.cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64(t) == F.col("hit_hash"))
+    return numbered.join(hits, mine, "left_anti").toDF(*docs.columns)
