@@ -300,6 +300,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 def without_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` but those of which a near copy with a smaller id is kept. Of several rows
     of equal id all stay or go."""
-    gone = near_copies(docs, id, text).where("NOT kept").select(F.col(id).alias("__id")).distinct()
-    return docs.join(stage(gone, "near-copies"),
-                     F.col(f"`{id}`").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    gone = stage(near_copies(docs, id, text).where("NOT kept").select(F.col(id).alias("gone")).distinct(),
+                 "near-copies")
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    key = F.col(f"c{docs.columns.index(id)}").cast("long")
+    return numbered.join(gone, key.eqNullSafe(F.col("gone")), "left_anti").toDF(*docs.columns)
