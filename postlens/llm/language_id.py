@@ -12,7 +12,6 @@ per order for the few n-grams that no language has seen.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,11 @@ GROUP = 16
 BLOCK = 1 << 17
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; numerals such as a half are not."""
+    return any(map(str.isalpha, text))
+
 
 
 def grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -228,7 +231,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 bits = model.lengths(texts)
                 best = bits.argmin(axis=1)
                 score = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
-            known = np.array([bool(model.langs) and LETTER.search(t) is not None for t in texts])
+            known = np.array([bool(model.langs) and has_letter(t) for t in texts])
             name = [model.langs[best[i]] if k else UNKNOWN for i, k in enumerate(known)]
             size = np.array([max(1, len(t.encode())) for t in texts])
             yield pa.RecordBatch.from_arrays(
