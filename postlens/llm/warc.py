@@ -6,6 +6,11 @@ header fields are pushed down. A record's header is parsed first; if it does not
 on to the next record without reading or decoding the payload. With option `payload` set to `false`
 no payload is decoded at all. Files are reached through pyarrow's file systems, so a folder may be in
 any store that they know.
+
+Archives written elsewhere, which have no such notes, are read by file: all `.warc` and `.warc.gz`
+under the folder, or the one file named. A folder without any is an error. The payload is the body of
+a response and the whole block of other types; a revisit has none. `payload_length` is null where only
+decoding would tell it and the payload is not asked for.
 """
 
 from __future__ import annotations
@@ -99,6 +104,24 @@ def bare(name: str, value: str | None) -> str | None:
     return value.removeprefix("sha256:") if name == "payload_digest" else value
 
 
+class Unpacked(Window):
+    """A compressed file, seen from front to back."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.start, self.data = pa.CompressedInputStream(file, "gzip"), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        while self.start + len(self.data) < at + n:
+            if at > self.start:
+                gone = min(at - self.start, len(self.data))
+                self.start, self.data = self.start + gone, self.data[gone:]
+            more = self.file.read(READ_BYTES)
+            if not more:
+                break
+            self.data += more
+        return self.data[max(0, at - self.start):at - self.start + n]
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -128,8 +151,13 @@ class WarcReader(DataSourceReader):
         if store.get_file_info(manifest).type == fs.FileType.File:
             files = json.loads(store.open_input_stream(manifest).read())
         else:
-            files = [{"name": i.base_name, "marks": [0, i.size]}
-                     for i in store.get_file_info(fs.FileSelector(path)) if i.path.endswith(".warc")]
+            info = store.get_file_info(path)
+            found = [info] if info.type == fs.FileType.File else store.get_file_info(
+                fs.FileSelector(path, recursive=True))
+            files = [{"name": i.path[len(path):].lstrip("/"), "marks": [0, i.size]}
+                     for i in found if i.path.endswith((".warc", ".warc.gz"))]
+            if not files:
+                raise FileNotFoundError(f"no .warc or .warc.gz file under {self.path}")
         return [Range(f["name"], b, e) for f in files
                 for b, e in zip(f["marks"][:-1], f["marks"][1:], strict=True)] or [Range("", 0, 0)]
 
@@ -143,9 +171,11 @@ class WarcReader(DataSourceReader):
         store, path = located(self.path)
         schema = to_arrow_schema(self.schema)
         rows, size = [], 0
-        with store.open_input_file(f"{path}/{part.path}") as file:
-            window, at = Window(file), part.begin
-            while at < part.end:
+        name = f"{path}/{part.path}" if part.path else path
+        packed = name.endswith(".gz")
+        with store.open_input_file(name) as file:
+            window, at = Unpacked(file) if packed else Window(file), part.begin
+            while window.get(at, 1) if packed else at < part.end:
                 head, body = window.head(at)
                 if not head.startswith(b"WARC/"):
                     raise ValueError(f"no WARC record at byte {at} of {part.path}")
@@ -155,10 +185,9 @@ class WarcReader(DataSourceReader):
                 row = {k: bare(k, headers.get(v)) for k, v in FIELDS.items()}
                 if not self.passes(row):
                     continue
-                row["payload_length"] = int(headers.get("x-payload-length", -1))
                 row["headers"] = list(headers.items())
-                row["payload"] = payload(window.get(body, length)) \
-                    if self.payload and row["record_type"] == "response" else None
+                row["payload"] = payload(window.get(body, length), headers) if self.payload else None
+                row["payload_length"] = payload_length(headers, window, body, length, row["payload"])
                 rows.append(row)
                 size += length
                 if size >= 4 * READ_BYTES or len(rows) >= 10_000:
@@ -168,12 +197,36 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def payload(block: bytes) -> bytes:
-    """The body of a stored HTTP response."""
+def is_http(headers: dict[str, str]) -> bool:
+    """Whether the block of a response is an HTTP message."""
+    return headers.get("warc-type") == "response" and \
+        headers.get("content-type", "application/http").startswith("application/http")
+
+
+def payload(block: bytes, headers: dict[str, str]) -> bytes | None:
+    """The body of a stored HTTP response, else the whole block; a revisit has no payload."""
+    if headers.get("warc-type") == "revisit":
+        return None
+    if not is_http(headers):
+        return block
     head, _, body = block.partition(b"\r\n\r\n")
     return gzip.decompress(body) if fields(head).get("content-encoding") == "gzip" else body
 
 
+def payload_length(headers: dict[str, str], window: Window, body: int, length: int,
+                   data: bytes | None) -> int | None:
+    if "x-payload-length" in headers:
+        return int(headers["x-payload-length"])
+    if data is not None:
+        return len(data)
+    if headers.get("warc-type") == "revisit":
+        return None
+    if not is_http(headers):
+        return length
+    head, begin = window.head(body)
+    return None if "content-encoding" in fields(head) else body + length - begin
+
+
 def record(row: dict) -> bytes:
     """One record; what refers to another one has no body."""
     body, digest, refers = row["payload"] or b"", row["payload_digest"], row["refers_to"]
