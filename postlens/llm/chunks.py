@@ -72,13 +72,28 @@ def returned(df: DataFrame, docs: DataFrame, text: str, added: list[str]) -> Dat
     return df.select(*own, *added)
 
 
+def loosened(kind: pa.DataType) -> pa.DataType:
+    """The type with all fields of its structs nullable, as Spark declares results."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, loosened(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, loosened(kind.value_type)))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, loosened(kind.item_type))
+    return kind
+
+
 class Chunk:
     """The documents of a chunk as one run of bytes, ordered by id, then text."""
 
     def __init__(self, table: pa.Table):
         order = pc.sort_indices(table.select(["key", "text"]),
                                 [("key", "ascending"), ("text", "ascending")])
-        self.table = table = table.take(order)
+        table = table.take(order)
+        if "rest" in table.column_names:
+            at = table.column_names.index("rest")
+            table = table.set_column(at, "rest", table["rest"].cast(loosened(table["rest"].type)))
+        self.table = table
         self.keys = table["key"].to_numpy()
         self.texts = [x or b"" for x in table["text"].cast(pa.binary()).to_pylist()]
         self.lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
