@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,14 +67,17 @@ BOARD_ITEM = """named_struct(
   'jdURL', case when p_size % 5 > 0 then concat('a/', p_partkey) end)"""
 
 
-@query(_raw_sql(
+BOARD_RAW = _raw_sql(
     source="'naukri'", job_id="p_partkey", title="p_name", company="p_brand",
     experience="CASE WHEN p_size % 3 = 1 THEN p_size || ' Yrs' ELSE 'about ' || p_size END",
     location=f"CASE WHEN p_size % 2 = 0 THEN {PLACES} ELSE p_type END",
     description_snippet="'<b>' || p_name || '</b>'", skills="p_type",
     posted_date="CASE WHEN p_size % 4 = 1 THEN 'Today' ELSE '2026-07-01' END",
     url="'https://www.naukri.com/job-listings-' || CASE WHEN p_size % 5 > 0 THEN 'a/' || p_partkey "
-        "ELSE p_partkey::VARCHAR END"))
+        "ELSE p_partkey::VARCHAR END")
+
+
+@query(BOARD_RAW)
 def payload_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.normalise_board(
         _responses(spark, sf_dir, BOARD_ITEM, "named_struct('jobDetails', items)"))
@@ -88,12 +92,15 @@ LISTING_ITEM = """named_struct('id', cast(p_partkey as string), 'title', p_name,
   'created', '2026-07-01T00:00:00Z', 'redirect_url', concat('https://x.example/', p_partkey))"""
 
 
-@query(_raw_sql(
+LISTING_RAW = _raw_sql(
     source="'adzuna'", job_id="p_partkey", title="p_name",
     company="CASE WHEN p_size % 3 > 0 THEN p_brand END", location="p_type",
     description_snippet="p_name || ' …'", category="CASE WHEN p_size % 4 > 0 THEN p_type END",
     salary_min="p_retailprice", salary_max="CASE WHEN p_size % 2 = 0 THEN p_retailprice + 0.5 END",
-    posted_date="'2026-07-01T00:00:00Z'", url="'https://x.example/' || p_partkey"))
+    posted_date="'2026-07-01T00:00:00Z'", url="'https://x.example/' || p_partkey")
+
+
+@query(LISTING_RAW)
 def payload_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.normalise_listing(
         _responses(spark, sf_dir, LISTING_ITEM, "named_struct('results', items)"))
@@ -109,13 +116,16 @@ SEARCH_ITEM = """named_struct(
   'job_posted_at_datetime_utc', '2026-07-01T00:00:00Z', 'job_apply_link', 'https://y.example/')"""
 
 
-@query(_raw_sql(
+SEARCH_RAW = _raw_sql(
     source="CASE WHEN p_size % 3 > 0 THEN p_type ELSE 'jsearch' END", job_id="p_partkey",
     title="p_name", company="p_brand",
     experience="CASE WHEN p_size % 4 > 0 THEN p_size * 12 END",
     location="CASE WHEN p_size % 3 = 1 THEN p_type ELSE 'IN' END", description_snippet="p_name",
     skills="""'["' || p_type || '","' || p_brand || '"]'""",
-    posted_date="'2026-07-01T00:00:00Z'", url="'https://y.example/'"))
+    posted_date="'2026-07-01T00:00:00Z'", url="'https://y.example/'")
+
+
+@query(SEARCH_RAW)
 def payload_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrap = "named_struct('data', named_struct('jobs', items))"
     return payloads.normalise_search(_responses(spark, sf_dir, SEARCH_ITEM, wrap))
@@ -232,46 +242,123 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
   job_id, url, source) AS rn FROM t) WHERE rn = 1)""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over landed snapshots ends at the table the batch stages give."""
-    log, state = _folder(spark, "log"), _folder(spark, "state")
+    path, state = _folder(spark, "ingest"), _folder(spark, "state")
     raw = ingest.read_landing_stream(spark, _landed(spark, sf_dir), files_per_batch=8,
                                      multi_line=False)
-    ingest.ingest(raw, log, state).awaitTermination()
-    return flat(ingest.current_postings(spark, log))
+    ingest.ingest(raw, path, state, buckets=4).awaitTermination()
+    return flat(ingest.current_postings(spark, path))
+
+
+#: Every part comes from one of three services; a tenth of the pages is an error message, and two
+#: further responses belong to no service or are cut off.
+MIXED = {"naukri": (BOARD_ITEM, "named_struct('jobDetails', items)"),
+         "adzuna": (LISTING_ITEM, "named_struct('results', items)"),
+         "jsearch": (SEARCH_ITEM, "named_struct('data', named_struct('jobs', items))")}
+ERROR = '{"error": "limit", "code": 7}'
+
+
+def _mixed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for i, (name, (item, wrap)) in enumerate(MIXED.items()):
+        rows = _responses(spark, sf_dir, item, wrap) \
+            .filter(F.expr(f"cast(substring(query, 6) as bigint) % 3 = {i}")) \
+            .withColumn("service", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    page = F.expr("cast(substring(query, 6) as bigint)")
+    odd = out.filter(page % 7 == 0)
+    out = out.unionByName(odd.withColumn("service", F.lit("other"))) \
+        .unionByName(odd.withColumn("payload", F.expr("left(payload, length(payload) - 1)")))
+    return out.select(*schemas.ENVELOPE.names)
+
+
+def _landed_responses(spark: SparkSession, sf_dir: str) -> str:
+    folder = _folder(spark, "responses")
+    _mixed_responses(spark, sf_dir).repartition(6, "service", "query").write.json(folder)
+    return folder
+
+
+PAGE = f"(p_partkey // {PAGE_SIZE})"
+SERVICE_RAW = " UNION ALL ".join(
+    f"SELECT * FROM ({sql}) WHERE CAST(substr(query, 6) AS BIGINT) % 3 = {i}" for i, sql in enumerate(
+        (BOARD_RAW, LISTING_RAW, SEARCH_RAW)))
+COLLECTED = f"""WITH raw AS ({SERVICE_RAW}), cleaned AS (
+  SELECT source, query AS search_query, job_id, coalesce(title, '') AS title, company, location,
+    {checks.clean_sql("description_snippet")} AS description_clean,
+    {checks.truncated_sql("description_snippet")} AS description_is_truncated, posted_date, url FROM raw),
+t AS ({checks.tagged_sql("cleaned")})
+SELECT {FLAT_SQL} FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY company,
+  title ORDER BY length(description_clean) DESC, job_id, url, source) AS rn FROM t) WHERE rn = 1)"""
+
+
+@query(COLLECTED)
+def collect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of three services to the clean table, as a stream."""
+    path, state = _folder(spark, "collected"), _folder(spark, "state")
+    responses = ingest.read_response_stream(spark, _landed_responses(spark, sf_dir), files_per_batch=3)
+    ingest.collect(responses, path, state, buckets=4).awaitTermination()
+    return flat(ingest.current_postings(spark, path))
+
+
+@query(COLLECTED)
+def collect_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of responses."""
+    return flat(ingest.postings_of(_mixed_responses(spark, sf_dir)))
+
+
+BAD = f"""WITH pages AS (SELECT DISTINCT {PAGE} AS page FROM part),
+  given AS (SELECT page, ['naukri', 'adzuna', 'jsearch'][page % 3 + 1] AS service,
+    page % 10 = 3 AS failed FROM pages),
+  rows_ AS (SELECT *, CASE WHEN failed AND service <> 'jsearch' THEN 'no list of postings' END AS reason FROM given
+    UNION ALL SELECT page, 'other', failed, 'unknown service' FROM given WHERE page % 7 = 0
+    UNION ALL SELECT page, service, failed, 'not a JSON object' FROM given WHERE page % 7 = 0)
+SELECT service, 'page ' || page AS query, {SEEN_SQL}, reason, CASE WHEN reason = 'not a JSON object' THEN ''
+  WHEN failed THEN 'error|code' WHEN service <> 'other' THEN '?' ELSE ['jobDetails', 'results', 'data'][page % 3 + 1]
+  END AS keys, CASE WHEN failed AND reason = 'not a JSON object' THEN '{ERROR[:-1]}' WHEN failed THEN '{ERROR}' END
+  AS error FROM rows_ WHERE reason IS NOT NULL"""
+
+
+def _set_aside(df: DataFrame) -> DataFrame:
+    """Quarantine in comparable form; whole payloads are compared where they are error messages."""
+    return df.select("service", "query", "scraped_at", "reason", F.array_join("keys", "|").alias("keys"),
+                     F.when(F.col("payload").startswith('{"error"'), F.col("payload")).alias("error"))
+
+
+@query(BAD)
+def collect_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream sets aside."""
+    path, state = _folder(spark, "collected"), _folder(spark, "state")
+    responses = ingest.read_response_stream(spark, _landed_responses(spark, sf_dir), files_per_batch=3)
+    ingest.collect(responses, path, state, buckets=4).awaitTermination()
+    return _set_aside(ingest.quarantined(spark, path))
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in three landed parts, the first months last, one part a batch."""
+    folder = _folder(spark, "events")
+    part = F.pmod(F.dayofyear("scraped_at"), F.lit(3)).alias("part")
+    events = inputs.table(spark, sf_dir, "events").select(
+        F.col("ts").alias("scraped_at"), F.array("event_type").alias("skills_extracted"))
+    events.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(folder)
     return (
-        spark.readStream.schema("ts timestamp, event_type string")
-        .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        .select(F.col("ts").alias("scraped_at"), F.array("event_type").alias("skills_extracted"))
+        spark.readStream.schema("scraped_at timestamp, skills_extracted array<string>")
+        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
     )
 
 
+def _running(spark: SparkSession, sf_dir: str, counts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    table = trend.trend_table(spark, _folder(spark, "trend"), 4)
+    trend.running_trend(_event_stream(spark, sf_dir), table, _folder(spark, "state"), counts) \
+        .awaitTermination()
+    return table.read()
+
+
 @query("""SELECT date_trunc('month', ts)::TIMESTAMP AS period, event_type AS skill,
   count(*) AS postings FROM events GROUP BY ALL""")
 def stream_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, state = _folder(spark, "trend"), _folder(spark, "state")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    counts = trend.running_trend(_event_stream(spark, sf_dir))
-    counts.writeStream.outputMode("complete").foreachBatch(write) \
-        .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out)
+    return _running(spark, sf_dir, trend.period_counts)
 
 
 @query("""SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS period,
   event_type AS skill, count(*) AS postings FROM events GROUP BY ALL""")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, state = _folder(spark, "windows"), _folder(spark, "state")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    counts = trend.windowed_trend(_event_stream(spark, sf_dir))
-    counts.writeStream.outputMode("complete").foreachBatch(write) \
-        .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out)
-
-
+    return _running(spark, sf_dir, trend.window_counts)

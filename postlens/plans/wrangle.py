@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,15 @@ from postlens.session import stage
 from postlens.taxonomy import ROLE_SKILLS, Taxonomy
 
 
-def to_clean(raw: DataFrame) -> DataFrame:
-    """Row-local part: rename, clean the description, flag cut-off text. Titles stay as they are."""
+def to_clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Row-local part: rename, clean the description, flag cut-off text. Titles stay as they are.
+    Columns named in `keep` pass through."""
     cut = looks_truncated(F.col("description_snippet"))
     cleaned = with_clean_text(raw, "description_snippet", "description_clean")
     return cleaned.select(
         "source", F.col("query").alias("search_query"), "job_id",
         or_empty(F.col("title")).alias("title"), "company", "location", "description_clean",
-        cut.alias("description_is_truncated"), "posted_date", "url")
+        cut.alias("description_is_truncated"), "posted_date", "url", *keep)
 
 
 def tag(df: DataFrame, taxonomy: Taxonomy = ROLE_SKILLS) -> DataFrame:

@@ -17,6 +17,15 @@ RAW = T.StructType(
     + [T.StructField("scraped_at", T.TimestampType())]
 )
 
+# One response of a service, as landed.
+ENVELOPE = T.StructType(
+    _strings("service", "query", "payload") + [T.StructField("scraped_at", T.TimestampType())])
+
+# A response that could not be read, and why.
+QUARANTINE = T.StructType(
+    _strings("service", "query") + [T.StructField("scraped_at", T.TimestampType())]
+    + _strings("reason") + [T.StructField("keys", T.ArrayType(T.StringType()))] + _strings("payload"))
+
 CLEAN = T.StructType(
     _strings("source", "search_query", "job_id", "title", "company", "location",
              "description_clean")
@@ -30,6 +39,10 @@ CLEAN = T.StructType(
     ]
 )
 
+TREND = T.StructType([
+    T.StructField("period", T.TimestampType()), T.StructField("skill", T.StringType()),
+    T.StructField("postings", T.LongType())])
+
 CLUSTERED = T.StructType(CLEAN.fields + [T.StructField("cluster", T.IntegerType())])
 
 RESUME = T.StructType(_strings("resume_id", "text"))

@@ -62,16 +62,51 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all, in any store that Spark reaches; it replaces an older one."""
+    store, at = _located(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = store.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.delete(at, False)
+    if not store.rename(part, at):
+        raise OSError(f"could not write {path}")
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    store, at = _located(spark, path)
+    file = store.open(at)
+    try:
+        return bytes(file.readAllBytes()).decode()
+    finally:
+        file.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is not there."""
+    store, at = _located(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, at = _located(spark, path)
+    store.delete(at, True)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Remove the staged tables of this application, once its results are written; returns how many.
 
     Results that were not written yet can no longer be read afterwards.
     """
     paths = _STAGED.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).delete(folder, True)
+        remove(spark, path)
     return len(paths)
 
 

@@ -7,6 +7,9 @@ typed struct cannot tell a missing key from a null one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,64 +42,141 @@ def _has(key: str) -> Column:
     return F.array_contains(F.json_object_keys("item"), key)
 
 
-def _items(df: DataFrame, shape: str, field: str, item: str) -> DataFrame:
-    parsed = F.from_json("payload", shape).getField(field.split(".")[0])
-    for name in field.split(".")[1:]:
+def _listed(shape: str, field: str) -> Column:
+    """The items of a payload as raw JSON texts; null where it has no such list."""
+    parsed = F.from_json("payload", shape)
+    for name in field.split("."):
         parsed = parsed.getField(name)
+    return parsed
+
+
+def _items(df: DataFrame, service: Service) -> DataFrame:
     return (
-        df.select("query", "scraped_at", F.explode(parsed).alias("item"))
-        .withColumn("j", F.from_json("item", item))
+        df.select("query", "scraped_at", F.explode(_listed(service.shape, service.field)).alias("item"))
+        .withColumn("j", F.from_json("item", service.item))
     )
 
 
-def _raw(df: DataFrame, **columns: Column) -> DataFrame:
+def _raw(df: DataFrame, service: Service) -> DataFrame:
     """Select the raw schema, null where a service has no such field."""
-    given = dict(columns, query=F.col("query"), scraped_at=F.col("scraped_at"))
+    given = dict(service.columns("j"), query=F.col("query"), scraped_at=F.col("scraped_at"))
     return df.select(*[
         given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.RAW])
 
 
-def normalise_board(df: DataFrame) -> DataFrame:
-    """{jobDetails: [...]}"""
-    rows = _items(df, "jobDetails array<string>", "jobDetails", BOARD_ITEM)
+def _board(j: str) -> dict[str, Column]:
     link_id = (
-        F.when(_has("jdURL"), F.coalesce("j.jdURL", F.lit("None")))
-        .when(_has("jobId"), F.coalesce("j.jobId", F.lit("None"))).otherwise(F.lit(""))
+        F.when(_has("jdURL"), F.coalesce(f"{j}.jdURL", F.lit("None")))
+        .when(_has("jobId"), F.coalesce(f"{j}.jobId", F.lit("None"))).otherwise(F.lit(""))
     )
-    return _raw(
-        rows, source=F.lit(BOARD_SOURCE), job_id=F.col("j.jobId"), title=F.col("j.title"),
-        company=F.col("j.companyName"),
-        experience=_filled(F.col("j.footerPlaceholderLabel"), F.col("j.experienceText")),
-        location=F.when(_has("placeholders"), F.col("j.placeholders"))
-        .otherwise(F.col("j.location")),
-        description_snippet=F.col("j.jobDescription"), skills=F.col("j.tagsAndSkills"),
-        posted_date=_filled(F.col("j.footerLabel"), F.col("j.createdDate")),
+    return dict(
+        source=F.lit(BOARD_SOURCE), job_id=F.col(f"{j}.jobId"), title=F.col(f"{j}.title"),
+        company=F.col(f"{j}.companyName"),
+        experience=_filled(F.col(f"{j}.footerPlaceholderLabel"), F.col(f"{j}.experienceText")),
+        location=F.when(_has("placeholders"), F.col(f"{j}.placeholders"))
+        .otherwise(F.col(f"{j}.location")),
+        description_snippet=F.col(f"{j}.jobDescription"), skills=F.col(f"{j}.tagsAndSkills"),
+        posted_date=_filled(F.col(f"{j}.footerLabel"), F.col(f"{j}.createdDate")),
         url=F.concat(F.lit(BOARD_LINK), link_id))
 
 
+def _listing(j: str) -> dict[str, Column]:
+    return dict(
+        source=F.lit(LISTING_SOURCE), job_id=F.col(f"{j}.id"), title=F.col(f"{j}.title"),
+        company=F.col(f"{j}.company.display_name"), location=F.col(f"{j}.location.display_name"),
+        description_snippet=F.col(f"{j}.description"), category=F.col(f"{j}.category.label"),
+        salary_min=F.col(f"{j}.salary_min"), salary_max=F.col(f"{j}.salary_max"),
+        posted_date=F.col(f"{j}.created"), url=F.col(f"{j}.redirect_url"))
+
+
+def _search(j: str) -> dict[str, Column]:
+    return dict(
+        source=F.when(_has("job_publisher"), F.col(f"{j}.job_publisher"))
+        .otherwise(F.lit(SEARCH_SOURCE)),
+        job_id=F.col(f"{j}.job_id"), title=F.col(f"{j}.job_title"), company=F.col(f"{j}.employer_name"),
+        experience=F.col(f"{j}.job_required_experience.required_experience_in_months"),
+        location=_filled(F.col(f"{j}.job_city"), F.col(f"{j}.job_country")),
+        description_snippet=F.col(f"{j}.job_description"), skills=F.col(f"{j}.job_required_skills"),
+        posted_date=F.col(f"{j}.job_posted_at_datetime_utc"), url=F.col(f"{j}.job_apply_link"))
+
+
+@dataclass(frozen=True)
+class Service:
+    """Where a service's payload has its items, and how an item maps to the raw schema."""
+
+    shape: str
+    field: str
+    item: str
+    columns: Callable[[str], dict[str, Column]]
+    #: Whether a payload without the list is an error rather than an answer without items.
+    list_required: bool = True
+
+
+SERVICES = {
+    BOARD_SOURCE: Service("jobDetails array<string>", "jobDetails", BOARD_ITEM, _board),
+    LISTING_SOURCE: Service("results array<string>", "results", LISTING_ITEM, _listing),
+    SEARCH_SOURCE: Service("data struct<jobs: array<string>>", "data.jobs", SEARCH_ITEM, _search,
+                           list_required=False),
+}
+
+
+def normalise_board(df: DataFrame) -> DataFrame:
+    """{jobDetails: [...]}"""
+    return _raw(_items(df, SERVICES[BOARD_SOURCE]), SERVICES[BOARD_SOURCE])
+
+
 def normalise_listing(df: DataFrame) -> DataFrame:
     """{results: [...]} with nested company, location and category."""
-    rows = _items(df, "results array<string>", "results", LISTING_ITEM)
-    return _raw(
-        rows, source=F.lit(LISTING_SOURCE), job_id=F.col("j.id"), title=F.col("j.title"),
-        company=F.col("j.company.display_name"), location=F.col("j.location.display_name"),
-        description_snippet=F.col("j.description"), category=F.col("j.category.label"),
-        salary_min=F.col("j.salary_min"), salary_max=F.col("j.salary_max"),
-        posted_date=F.col("j.created"), url=F.col("j.redirect_url"))
+    return _raw(_items(df, SERVICES[LISTING_SOURCE]), SERVICES[LISTING_SOURCE])
 
 
 def normalise_search(df: DataFrame) -> DataFrame:
     """{data: {jobs: [...]}}; a missing level gives no rows."""
-    rows = _items(df, "data struct<jobs: array<string>>", "data.jobs", SEARCH_ITEM)
-    return _raw(
-        rows,
-        source=F.when(_has("job_publisher"), F.col("j.job_publisher"))
-        .otherwise(F.lit(SEARCH_SOURCE)),
-        job_id=F.col("j.job_id"), title=F.col("j.job_title"), company=F.col("j.employer_name"),
-        experience=F.col("j.job_required_experience.required_experience_in_months"),
-        location=_filled(F.col("j.job_city"), F.col("j.job_country")),
-        description_snippet=F.col("j.job_description"), skills=F.col("j.job_required_skills"),
-        posted_date=F.col("j.job_posted_at_datetime_utc"), url=F.col("j.job_apply_link"))
+    return _raw(_items(df, SERVICES[SEARCH_SOURCE]), SERVICES[SEARCH_SOURCE])
+
+
+def normalise(envelopes: DataFrame) -> DataFrame:
+    """Responses of all services (`ENVELOPE`) to raw postings, in one narrow pass.
+
+    A row either has the raw columns and a null `bad`, or is a response that could not be read:
+    `bad` then holds it whole with the reason (a service that is not known, text that is no JSON
+    object, an answer without its list) and the top-level keys it does have. Null items and answers
+    with an empty list give no row.
+    """
+    service = F.col("service")
+
+    def by_service(value: Callable[[str], Column]) -> Column:
+        names = iter(SERVICES)
+        out = F.when(service == (first := next(names)), value(first))
+        for name in names:
+            out = out.when(service == name, value(name))
+        return out
+
+    keys = F.json_object_keys("payload")
+    required = [name for name, s in SERVICES.items() if s.list_required]
+    reason = (
+        F.when(~F.coalesce(service.isin(*SERVICES), F.lit(False)), "unknown service")
+        .when(F.col("keys").isNull(), "not a JSON object")
+        .when(service.isin(*required) & F.col("items").isNull(), "no list of postings")
+    )
+    listed = by_service(lambda name: _listed(SERVICES[name].shape, SERVICES[name].field))
+    rows = (
+        envelopes.withColumn("items", listed).withColumn("keys", keys).withColumn("reason", reason)
+        .select("service", "query", "payload", "scraped_at", "reason", "keys",
+                F.explode_outer("items").alias("item"))
+        .filter("item IS NOT NULL OR reason IS NOT NULL")
+    )
+    for i, (name, s) in enumerate(SERVICES.items()):
+        rows = rows.withColumn(f"j{i}", F.when(service == name, F.from_json("item", s.item)))
+    mapped = {name: dict(s.columns(f"j{i}"), query=F.col("query"), scraped_at=F.col("scraped_at"))
+              for i, (name, s) in enumerate(SERVICES.items())}
+    good = F.col("reason").isNull()
+    columns = [
+        F.when(good, by_service(lambda name, f=f: mapped[name].get(f.name, F.lit(None)).cast(f.dataType)))
+        .cast(f.dataType).alias(f.name) for f in schemas.RAW]
+    bad = F.struct("service", "query", "scraped_at", "reason",
+                   F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), "payload")
+    return rows.select(*columns, F.when(~good, bad).alias("bad"))
 
 
 def bad_payloads(df: DataFrame, field: str) -> DataFrame:

@@ -1,11 +1,16 @@
-"""Skill demand per period, as a batch table and as a running aggregate."""
+"""Skill demand per period, as a batch table and as a table that a stream keeps up to date."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from postlens import schemas
 from postlens.functions.labels import percent
+from postlens.streaming.table import KeyedTable
 
 
 def _labelled(df: DataFrame, ts: str, skills: str, period: str) -> DataFrame:
@@ -37,10 +42,9 @@ def skill_trend(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_ext
     )
 
 
-def running_trend(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_extracted",
+def period_counts(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_extracted",
                   period: str = "month") -> DataFrame:
-    """Streaming counts per period and skill. State is one row per period and skill ever seen,
-    which the taxonomy bounds, so the complete table can be emitted each time."""
+    """(period, skill, postings) per calendar period."""
     return (
         _labelled(df, ts, skills, period)
         .select("period", F.explode_outer("skills").alias("skill"))
@@ -48,10 +52,9 @@ def running_trend(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_e
     )
 
 
-def windowed_trend(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_extracted",
-                   length: str = "7 days") -> DataFrame:
-    """Streaming counts per fixed window and skill, for complete mode: every window is there, the
-    open ones too, and no row is too late to count. State is one row per window and skill."""
+def window_counts(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_extracted",
+                  length: str = "7 days") -> DataFrame:
+    """(period, skill, postings) per fixed window, which is named by its start."""
     return (
         df.select(F.col(ts).alias("ts"), F.explode_outer(skills).alias("skill"))
         .filter(F.col("skill").isNotNull())
@@ -59,3 +62,26 @@ def windowed_trend(df: DataFrame, ts: str = "scraped_at", skills: str = "skills_
         .agg(F.count("*").alias("postings"))
         .select(F.col("window.start").alias("period"), "skill", "postings")
     )
+
+
+def trend_table(spark: SparkSession, path: str, buckets: int = 16) -> KeyedTable:
+    """Running counts, in buckets by period: a batch rewrites those of the periods it has rows of."""
+    return KeyedTable(
+        spark, path, schemas.TREND, ["period"],
+        lambda rows: rows.groupBy("bucket", "period", "skill").agg(F.sum("postings").alias("postings")),
+        buckets)
+
+
+def running_trend(df: DataFrame, table: KeyedTable, checkpoint: str,
+                  counts: Callable[[DataFrame], DataFrame] = period_counts) -> StreamingQuery:
+    """Keep `table` up with a stream: each batch is counted and its counts are added to the periods
+    they belong to.
+
+    The table itself is the state, so nothing has to be held open or forgotten: no row is too late to
+    count, a period that a batch does not touch is not written again, and a batch that is run again
+    after a failure is not added twice, as the table knows it by its id.
+    """
+    return (
+        df.writeStream.foreachBatch(lambda batch, batch_id: table.merge(counts(batch), batch_id))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )

@@ -59,9 +59,8 @@ def test_stream_over_two_arrivals_equals_batch(spark, tmp_path):
     assert [r["job_id"] for r in got] == ["2", "3"]
     batch = tag(to_clean(read_landing(spark, land))).orderBy("job_id").collect()
     assert [r for r in batch if r["job_id"] in ("2", "3")] == got
-    folded = str(tmp_path / "folded")
-    ingest.compact(spark, log, folded)
-    assert ingest.current_postings(spark, folded).orderBy("job_id").collect() == got
+    assert ingest.posting_table(spark, log).vacuum() > 0
+    assert ingest.current_postings(spark, log).orderBy("job_id").collect() == got
 
 
 def test_trend(spark):
