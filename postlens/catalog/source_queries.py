@@ -19,6 +19,7 @@ from postlens.streaming import ingest, trend
 SEEN = "2026-07-11 09:05:07"
 SEEN_SQL = f"TIMESTAMP '{SEEN}' AS scraped_at"
 PAGE_SIZE = 20
+SQL_TYPES = {"double": "DOUBLE", "timestamp": "TIMESTAMP"}
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -50,7 +51,7 @@ PLACES = "'[{\"type\":\"location\",\"label\":\"' || p_type || '\"}]'"
 def _raw_sql(**given: str) -> str:
     columns = []
     for f in schemas.RAW:
-        kind = {"double": "DOUBLE", "timestamp": "TIMESTAMP"}.get(f.dataType.simpleString(), "VARCHAR")
+        kind = SQL_TYPES.get(f.dataType.simpleString(), "VARCHAR")
         value = given.get(f.name, f.name if f.name in ("query", "scraped_at") else "NULL")
         columns.append(f"CAST({value} AS {kind}) AS {f.name}")
     return f"SELECT {', '.join(columns)} FROM {GOOD}"
@@ -145,10 +146,20 @@ def union_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.union_runs(("first", rows), ("second", rows.drop("experience")))
 
 
+#: What role postings lack of the raw schema, so that each column holds something.
+MORE_RAW = {
+    "experience": "case when length(title) % 3 = 0 then concat(length(title), ' Yrs') end",
+    "skills": "concat('[\"', source, '\"]')", "category": "query",
+    "salary_min": "length(title) + 0.5", "salary_max": "case when length(title) % 2 = 0 then 1e6 end",
+    "scraped_at": f"cast('{SEEN}' as timestamp)",
+}
+RAW_SQL = ", ".join(f"CAST({MORE_RAW.get(f.name, f.name)} AS {SQL_TYPES.get(f.dataType.simpleString(), 'VARCHAR')})"
+                    f" AS {f.name}" for f in schemas.RAW)
+
+
 def _as_raw(df: DataFrame) -> DataFrame:
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schemas.RAW])
+    return df.select(*[F.expr(MORE_RAW.get(f.name, f.name)).cast(f.dataType).alias(f.name)
+                       for f in schemas.RAW])
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> str:
@@ -161,14 +172,9 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-RAW_NAMES = ["source", "query", "job_id", "title", "company", "location", "description_snippet",
-             "url"]
-
-
-@query(f"WITH raw AS ({inputs.ROLE_SQL}) SELECT {', '.join(RAW_NAMES)} FROM raw")
+@query(f"WITH raw AS ({inputs.ROLE_SQL}) SELECT {RAW_SQL} FROM raw")
 def landing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = landing.read_landing(spark, _landed(spark, sf_dir), multi_line=False)
-    return rows.select(*RAW_NAMES)
+    return landing.read_landing(spark, _landed(spark, sf_dir), multi_line=False).select(*schemas.RAW.names)
 
 
 @query(f"""WITH raw AS ({inputs.ROLE_SQL}) SELECT CASE WHEN source = 'board' THEN 'board' ELSE 'other'
@@ -197,9 +203,27 @@ def _array_files(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-@query(f"WITH raw AS ({inputs.ROLE_SQL}) SELECT {', '.join(RAW_NAMES)} FROM raw")
+@query(f"WITH raw AS ({inputs.ROLE_SQL}) SELECT {RAW_SQL} FROM raw")
 def landing_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landing.read_landing(spark, _array_files(spark, sf_dir), "*.txt").select(*RAW_NAMES)
+    return landing.read_landing(spark, _array_files(spark, sf_dir), "*.txt").select(*schemas.RAW.names)
+
+
+def _one_array(spark: SparkSession, sf_dir: str) -> str:
+    """All role postings as one JSON array in one file, whose last element is null."""
+    folder = _folder(spark, "one-array")
+    rows = _as_raw(inputs.role_postings(spark, sf_dir))
+    lines = rows.select(F.col("job_id").cast("long").alias("at"), F.concat(
+        F.to_json(F.struct(*(f.name for f in schemas.RAW))), F.lit(",")).alias("value"))
+    ends = spark.createDataFrame([(-1, "["), (1 << 62, "null ]")], "at long, value string")
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("at").select("value").write.text(folder)
+    return folder
+
+
+@query(f"WITH raw AS ({inputs.ROLE_SQL}) SELECT {RAW_SQL} FROM raw")
+def landing_large_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One array file cut into its elements by several tasks."""
+    rows = landing.read_landing(spark, _one_array(spark, sf_dir), "*.txt", whole_bytes=0)
+    return rows.select(*schemas.RAW.names)
 
 
 @query(f"""SELECT count(*) AS files, sum(n)::BIGINT AS postings, count_if(n = 0)::BIGINT AS empty FROM (
@@ -224,16 +248,17 @@ def clustered_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(tables.read_clustered(spark, folder))
 
 
-@query(f"""{checks.ROLE_TAGGED} SELECT job_id, title, description_clean,
-  array_to_string(skills_extracted, ', ') AS skills_extracted FROM t""")
+@query(f"""{checks.ROLE_TAGGED} SELECT * REPLACE (array_to_string(skills_extracted, ', ') AS skills_extracted,
+  CAST(skill_count AS BIGINT) AS skill_count) FROM t""")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "clean-csv")
-    tables.write_csv(role_tagged(spark, sf_dir).select(
-        "job_id", "title", "description_clean", "skills_extracted"), folder)
+    tables.write_csv(role_tagged(spark, sf_dir), folder)
+    kinds = {"skills_extracted": "string"}
+    schema = ", ".join(f"{f.name} {kinds.get(f.name, f.dataType.simpleString())}" for f in schemas.CLEAN)
     return (
-        spark.read.option("header", True).option("quote", '"').option("escape", '"')
-        .schema("job_id string, title string, description_clean string, skills_extracted string")
-        .csv(folder).fillna("", ["skills_extracted"])
+        spark.read.option("header", True).option("quote", '"').option("escape", '"').schema(schema)
+        .csv(folder).fillna("", ["skills_extracted", "description_clean"])
+        .withColumn("skill_count", F.col("skill_count").cast("bigint"))
     )
 
 

@@ -94,6 +94,22 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else []
 
 
+def files_under(spark: SparkSession, path: str) -> dict[str, int]:
+    """Paths and bytes of all files under a folder (or of the one file); files and folders whose names
+    start with `_` or `.` are left out, as Spark's readers do."""
+    store, at = _located(spark, path)
+    if not store.exists(at):
+        return {}
+    found, base = {}, at.toUri().getPath().rstrip("/")
+    each = store.listFiles(at, True)
+    while each.hasNext():
+        file = each.next()
+        inner = file.getPath().toUri().getPath()[len(base):]
+        if not any(part.startswith(("_", ".")) for part in inner.split("/")):
+            found[file.getPath().toString()] = file.getLen()
+    return found
+
+
 def remove(spark: SparkSession, path: str) -> None:
     store, at = _located(spark, path)
     store.delete(at, True)

@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens import schemas
-from postlens.session import spread
+from postlens.session import files_under, spread
+from postlens.sources.arrays import read_elements
+
+
+#: Array files from this size on are read by several tasks, at the price of reading them twice.
+WHOLE_BYTES = 64 << 20
 
 
 def read_landing(spark: SparkSession, path: str, pattern: str = "*.json",
-                 multi_line: bool = True) -> DataFrame:
+                 multi_line: bool = True, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """All raw postings under `path`, each file a JSON array. A folder without files gives no rows.
 
-    A JSON array cannot be split, so a file is one task; snapshots kept as JSON lines
+    Spark reads an array as one task. Those of `whole_bytes` and more are cut into their elements by
+    `arrays`, block by block (values kept as JSON text lose their white space there); smaller ones are
+    read whole. Snapshots kept as JSON lines
     (`multi_line=False`) split freely.
     """
+    if multi_line:
+        sizes = {f: n for f, n in files_under(spark, path).items() if fnmatch(f.rsplit("/", 1)[-1], pattern)}
+        large = sorted(f for f, n in sizes.items() if n >= whole_bytes)
+        if large:
+            small = [f for f, n in sizes.items() if n < whole_bytes]
+            parsed = F.from_json("text", schemas.RAW)
+            rows = read_elements(spark, large).select(parsed.alias("r")).select("r.*")
+            if small:
+                rows = rows.unionByName(spread(
+                    spark.read.schema(schemas.RAW).option("multiLine", True).json(small)))
+            return rows
     try:
         return spread(
             spark.read.schema(schemas.RAW).option("multiLine", multi_line)
