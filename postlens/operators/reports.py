@@ -78,6 +78,10 @@ def fill(template: str, **places: Column) -> Column:
     return F.concat(*parts)
 
 
+#: What a prompt takes from a posting.
+PROMPT_COLUMNS = ["title", "company", "location", "skills_extracted", "description_clean"]
+
+
 def prompt(resume_text: Column, as_of: Column) -> Column:
     """Gap-analysis prompt for a row that holds a posting; `as_of` is the date it is written on."""
     return fill(
@@ -88,17 +92,6 @@ def prompt(resume_text: Column, as_of: Column) -> Column:
         description=text_or_none(F.col("description_clean")))
 
 
-def prompt_table(matches: DataFrame, resumes: DataFrame, postings: DataFrame, as_of: Column,
-                 resume: str = "resume_id", posting: str = "posting_id") -> DataFrame:
-    """One prompt per match. Texts join last, onto rows that are already the final ones."""
-    return (
-        matches.select(resume, "place", posting)
-        .join(resumes.select(resume, F.col("text").alias("_resume")), resume)
-        .join(postings, posting)
-        .select(resume, "place", posting, prompt(F.col("_resume"), as_of).alias("prompt"))
-    )
-
-
 def report_documents(df: DataFrame) -> DataFrame:
     """(path, content) for rows holding a posting, `analysis`, `resume_name` and `generated_at`."""
     when = F.col("generated_at")
@@ -125,8 +118,7 @@ def posting_list(df: DataFrame, order: list[Column | str], n: int = 30) -> DataF
 def prompts_for(posting: DataFrame, resumes: DataFrame, as_of: Column) -> DataFrame:
     """One prompt per résumé for one chosen posting, a table of at most one row. It reaches the
     résumés as a constant, so no text is shuffled."""
-    columns = ["title", "company", "location", "skills_extracted", "description_clean"]
-    chosen = posting.select(F.struct(*columns).alias("p")).scalar()
+    chosen = posting.select(F.struct(*PROMPT_COLUMNS).alias("p")).scalar()
     return resumes.withColumn("_p", chosen).filter(F.col("_p").isNotNull()) \
         .select("resume_id", F.col("text").alias("_resume"), "_p.*") \
         .select("resume_id", prompt(F.col("_resume"), as_of).alias("prompt"))

@@ -108,3 +108,67 @@ def test_listing_and_lookup(spark):
     lines = [r["line"] for r in reports.posting_list(df, ["id"]).orderBy("index").collect()]
     assert lines == ["[0] a @ acme (cluster 3) -- ", "[1] b @ None (cluster 4) -- v, w, x, y"]
     assert reports.find_posting(df, "a", "acme", ["id"]).collect()[0]["id"] == 1
+
+
+def postings_frame(spark, rows):
+    return spark.createDataFrame(rows, "posting_id long, skills_extracted array<string>")
+
+
+def test_blocks_and_hot_sets(spark, monkeypatch):
+    """A skill in a third of all sets is dealt over blocks, a résumé set of a third of all over parts."""
+    monkeypatch.setattr(match, "BLOCK", 7)
+    monkeypatch.setattr(match, "SCOUTS", 5)
+    monkeypatch.setattr(match, "HOT", 4)
+    monkeypatch.setattr(match, "PARTS", 3)
+    rng = random.Random(6)
+    pool = [f"s{i}" for i in range(40)]
+    postings = [(i, sorted({"s0"} & set(pool[:i % 3])) + rng.sample(pool[1:], rng.randint(1, 9)))
+                for i in range(150)]
+    resumes = [(i, pool[:4] if i % 3 == 0 else rng.sample(pool, rng.randint(0, 8))) for i in range(60)]
+    assert run(spark, resumes, postings, 6) == brute(resumes, postings, 6)
+
+
+def test_pairs_looked_at(spark):
+    """Every match is among the pairs looked at, and these are far fewer than all pairs."""
+    rng = random.Random(8)
+    pool = [f"s{i:02d}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    some = [sorted(set(rng.choices(pool, weights, k=rng.randint(1, 9)))) for _ in range(800)]
+    r = spark.createDataFrame(list(enumerate(some[:200])), "resume_id long, skills_extracted array<string>")
+    m = match.Matching(r, postings_frame(spark, list(enumerate(some[200:]))), 5)
+    pairs = m.meetings().agg(F.sum("pairs")).first()[0]
+    sets = m.bounded.count() * m.sets.count()
+    assert m._met().count() <= pairs < sets / 4
+
+
+def test_text_moves_once(spark):
+    """Résumé texts are in one exchange of the prompt plan, and the postings are tagged in none."""
+    text = "I know LLM work. " * 10
+    resumes = spark.createDataFrame([(f"r{i}", text + str(i)) for i in range(9)], "resume_id string, text string")
+    tagged = F.udf(lambda t: [t], "array<string>")(F.col("title"))
+    postings = spark.range(30).select(
+        F.col("id").alias("posting_id"), F.lit("LLM").alias("title"), F.lit("c").alias("company"),
+        F.lit(None).cast("string").alias("location"), F.repeat(F.lit("d"), 50).alias("description_clean")) \
+        .withColumn("skills_extracted", tagged)
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        df = gap_prompts(resumes, postings, F.lit("2026-07-11").cast("date"))
+        moved, tagging = [], []
+
+        def walk(node):
+            if node.nodeName() == "Exchange":
+                moved.append(node.output().mkString(" "))
+            tagging.append("Python" in node.nodeName())
+            children = node.children()
+            for i in range(children.size()):
+                walk(children.apply(i))
+
+        walk(df._jdf.queryExecution().executedPlan())
+        assert sum("text#" in m for m in moved) == 1 and not any(tagging)
+        assert df.count() == 9 * 25
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
