@@ -192,7 +192,7 @@ class Matching:
 
         def dealt(df: DataFrame, own: str, other: str, by: list[str]) -> DataFrame:
             return df.join(F.broadcast(blocks), "skill") \
-                .withColumn(own[0], F.pmod(F.xxhash64(*by), F.col(own))) \
+                .withColumn(own[0], F.pmod(F.xxhash64(*by), F.col(own)).cast("int")) \
                 .withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))) \
                 .drop("p_blocks", "r_blocks").groupBy("skill", "p", "r")
 

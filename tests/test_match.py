@@ -32,8 +32,17 @@ def run(spark, resumes, postings, n, **kw):
     return got
 
 
+@pytest.fixture(params=["true", "false"])
+def adaptive(spark, request):
+    """With adaptive execution, and without it, so that small inputs use all shuffle partitions."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
 @pytest.mark.parametrize("seed, names, size", [(1, 8, 5), (2, 30, 12), (3, 150, 20)])
-def test_match_many_equals_scoring_all_pairs(spark, seed, names, size):
+def test_match_many_equals_scoring_all_pairs(spark, adaptive, seed, names, size):
     rng = random.Random(seed)
     pool = [f"skill {i}" for i in range(names)]
     # every third set holds the hot skill, some sets repeat, some are empty
@@ -114,7 +123,7 @@ def postings_frame(spark, rows):
     return spark.createDataFrame(rows, "posting_id long, skills_extracted array<string>")
 
 
-def test_blocks_and_hot_sets(spark, monkeypatch):
+def test_blocks_and_hot_sets(spark, adaptive, monkeypatch):
     """A skill in a third of all sets is dealt over blocks, a résumé set of a third of all over parts."""
     monkeypatch.setattr(match, "BLOCK", 7)
     monkeypatch.setattr(match, "SCOUTS", 5)
