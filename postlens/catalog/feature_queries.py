@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clusters(spark: SparkSession, sf_dir: str) -> RoleClusters:
     return cluster_postings(document_tagged(spark, sf_dir), "posting_id",
-                            stop_words=inputs.PROSE_STOPS, tasks=4)
+                            stop_words=inputs.PROSE_STOPS)
 
 
 # Cluster numbers and centres depend on random starts, so the cluster queries return what must hold of
@@ -86,6 +87,26 @@ def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
                          .alias("scored"), won.alias("winner_is_best"))
 
 
+@query("""SELECT count(*) AS postings, true AS converged, true AS centres_are_means, true AS cost_is_sum
+  FROM documents""")
+def cluster_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winning fit against its members, by MLlib's means and by distances in plain expressions."""
+    fitted = _clusters(spark, sf_dir)
+    best = fitted.sweep.best
+    rows = fitted.postings.select("cluster", "features", vector_to_array("features").alias("at"))
+    centres = F.array(*(F.lit([float(x) for x in c]) for c in best.clusterCenters()))
+    apart = F.aggregate(F.zip_with("at", F.get(centres, F.col("cluster")), lambda x, c: (x - c) * (x - c)),
+                        F.lit(0.0), lambda a, x: a + x)
+    means = rows.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(apart).alias("cost"),
+        vector_to_array(Summarizer.mean(F.col("features"))).alias("mean"))
+    furthest = F.array_max(F.zip_with("mean", F.get(centres, F.col("cluster")), lambda x, c: F.abs(x - c)))
+    return means.agg(
+        F.sum("n").alias("postings"), F.lit(best.converged).alias("converged"),
+        (F.max(furthest) < 1e-6).alias("centres_are_means"),
+        (F.abs(F.sum("cost") / F.lit(best.cost) - 1) < 1e-6).alias("cost_is_sum"))
+
+
 @query(f"{checks.DOCUMENT_TAGGED} SELECT posting_id, title, company, true AS at_nearest FROM t")
 def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = _clusters(spark, sf_dir)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.labels import cluster_label
@@ -24,16 +24,44 @@ RESTARTS = 10
 TOP_TERMS = 12
 SAMPLE_TITLES = 5
 
-# Tasks of a fit. k-means|| draws its starts by partition, so the number is part of the result and
-# must not follow the input; the caller chooses it for the corpus at hand.
-FIT_TASKS = 64
+# Rows that starts are drawn from, chosen by a hash of the document id; every step covers all rows.
+START_ROWS = 4096
+# A start stops when its cost falls by less than this share; the best of each k goes on until nothing
+# changes any more.
+TOLERANCE = 1e-4
+# Values are rounded to multiples of this, so that sums are exact whatever the order of the rows, and a
+# fit does not depend on how they are partitioned. 8 billion rows fit in 64 bits.
+GRID = 2.0 ** -30
+# Rows worked on at once.
+ROWS = 2048
+# Tasks whose results are added up in one go.
+WIDTH = 64
+
+
+@dataclass
+class Fit:
+    """Centres of one k from one start. `sums` and `counts` are those of the members that the last
+    step found, in multiples of the grid; `cost` is the sum of squared distances to the centres."""
+
+    k: int
+    centres: np.ndarray
+    sums: np.ndarray | None = None
+    counts: np.ndarray | None = None
+    squares: np.ndarray | None = None
+    cost: float = float("inf")
+    before: float = float("inf")
+    steps: int = 0
+    converged: bool = False
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802, as in MLlib
+        return list(self.centres)
 
 
 @dataclass
 class Sweep:
-    """Best model per k with its silhouette, and the winner (smallest k on a tie)."""
+    """Best fit per k with its silhouette, and the winner (smallest k on a tie)."""
 
-    models: dict[int, KMeansModel]
+    models: dict[int, Fit]
     scores: dict[int, float]
 
     @property
@@ -41,60 +69,200 @@ class Sweep:
         return max(sorted(self.scores), key=self.scores.__getitem__)
 
     @property
-    def best(self) -> KMeansModel:
+    def best(self) -> Fit:
         return self.models[self.best_k]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(k, float(self.models[k].summary.trainingCost), self.scores[k], k == self.best_k)
-                for k in sorted(self.scores)]
+        rows = [(k, self.models[k].cost, self.scores[k], k == self.best_k) for k in sorted(self.scores)]
         return spark.createDataFrame(
             rows, "k int, cost double, silhouette double, is_best boolean")
 
 
+def _cells(features: str) -> list[Column]:
+    """Places and values of a vector, sparse or dense."""
+    v = F.unwrap_udt(features)
+    dense = F.sequence(F.lit(0), F.size(v["values"]) - 1)
+    return [F.when(F.size(v["values"]) == 0, F.array().cast("array<int>"))
+            .otherwise(F.coalesce(v["indices"], dense)).alias("places"), v["values"].alias("values")]
+
+
+def _matrix(places: pa.Array, values: pa.Array, width: int) -> np.ndarray:
+    """Rows as a matrix, on the grid."""
+    out = np.zeros((len(places), width))
+    rows = np.repeat(np.arange(len(places)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+    out[rows, places.flatten().to_numpy()] = np.rint(values.flatten().to_numpy() / GRID) * GRID
+    return out
+
+
+def _batches(it: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    for batch in it:
+        for at in range(0, len(batch), ROWS):
+            b = batch.slice(at, ROWS)
+            yield _matrix(b["places"], b["values"], width)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre and squared distance of each row; the first of those equally near."""
+    apart = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+    apart = np.maximum(np.round(apart, 9), 0)
+    own = apart.argmin(axis=1)
+    return own, apart[np.arange(len(x)), own]
+
+
+FOUND = "fit int, part int, sums binary, counts binary, squares binary, cost long"
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One row for several of the same fit."""
+    each = {c: sum(np.frombuffer(x, np.int64) for x in table[c].to_pylist()).tobytes()
+            for c in ("sums", "counts", "squares")}
+    return pa.table({"fit": [table["fit"][0].as_py()], "part": [0], **{c: [v] for c, v in each.items()},
+                     "cost": [pc.sum(table["cost"]).as_py()]},
+                    schema=pa.schema([("fit", pa.int32()), ("part", pa.int32()), ("sums", pa.binary()),
+                                      ("counts", pa.binary()), ("squares", pa.binary()), ("cost", pa.int64())]))
+
+
+def _step(data: DataFrame, fits: list[Fit], width: int, wide: bool) -> None:
+    """Move all centres of all fits to the means of their members, by one pass over the rows."""
+    centres = [f.centres for f in fits]
+
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(c.shape, np.int64) for c in centres]
+        counts = [np.zeros(len(c), np.int64) for c in centres]
+        squares = [np.zeros(len(c), np.int64) for c in centres]
+        cost, any_rows = np.zeros(len(centres), np.int64), False
+        for x in _batches(it, width):
+            any_rows = True
+            whole = x / GRID
+            square = np.rint((x * x).sum(axis=1) / GRID).astype(np.int64)
+            for i, c in enumerate(centres):
+                own, apart = _nearest(x, c)
+                members = np.zeros((len(c), len(x)))
+                members[own, np.arange(len(x))] = 1
+                # whole numbers far below 2^53, so the product is exact
+                sums[i] += (members @ whole).astype(np.int64)
+                counts[i] += np.bincount(own, minlength=len(c))
+                np.add.at(squares[i], own, square)
+                cost[i] += int(np.rint(apart / GRID).astype(np.int64).sum())
+        if any_rows:
+            n = len(centres)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId() % WIDTH] * n, pa.int32()),
+                 *(pa.array([a.tobytes() for a in v], pa.binary()) for v in (sums, counts, squares)),
+                 pa.array(cost, pa.int64())], names=["fit", "part", "sums", "counts", "squares", "cost"])
+
+    rows = data.mapInArrow(found, FOUND)
+    for by in (["fit", "part"], ["fit"]) if wide else (["fit"],):
+        rows = rows.groupBy(*by).applyInArrow(lambda table: _added(table), FOUND)
+    for r in rows.collect():
+        fit = fits[r["fit"]]
+        fit.sums, before = np.frombuffer(r["sums"], np.int64).reshape(fit.centres.shape), fit.sums
+        fit.counts, fit.squares = (np.frombuffer(r[c], np.int64) for c in ("counts", "squares"))
+        fit.before, fit.cost, fit.steps = fit.cost, r["cost"] * GRID, fit.steps + 1
+        fit.converged = before is not None and np.array_equal(before, fit.sums)
+        if not fit.converged:
+            means = fit.sums * GRID / np.maximum(fit.counts, 1)[:, None]
+            # a centre without members stays where it is
+            fit.centres = np.where(fit.counts[:, None] > 0, means, fit.centres)
+
+
+def _starts(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows far from each other; fewer if there are not so many different ones."""
+    random = np.random.default_rng(seed)
+    chosen = [int(random.integers(len(rows)))]
+    apart = np.full(len(rows), np.inf)
+    while len(chosen) < k:
+        apart = np.minimum(apart, np.round(((rows - rows[chosen[-1]]) ** 2).sum(axis=1), 9))
+        if not apart.any():
+            break
+        chosen.append(int(random.choice(len(rows), p=apart / apart.sum())))
+    return rows[chosen]
+
+
 def sweep_k(df: DataFrame, doc: str, ks: Iterable[int] = K_RANGE, restarts: int = RESTARTS,
-            seed: int = SEED, max_iter: int = 300, parallelism: int = 8,
-            features: str = "features", tasks: int = FIT_TASKS) -> Sweep:
+            seed: int = SEED, max_iter: int = 300, features: str = "features") -> Sweep:
     """Fit every k from several starts, keep the cheapest fit of each k, score it.
 
-    Only the feature column is cached, once for all fits. Fits run side by side as separate jobs,
-    so one fit's short final stages do not leave the executors idle. Squared Euclidean silhouette
-    is used because it needs one pass and per-cluster totals, not all pairs. Rows are dealt by the
-    hash of `doc` and sorted by it, so the fits do not depend on how the input was partitioned.
+    All fits move together: one pass over the rows moves the centres of all of them, and what a task
+    sends back grows with the centres and not with its rows. Fits that are done drop out. The best of
+    each k goes on until no row changes its cluster, so that each centre is the mean of its members.
+    Without rows there is nothing to fit: a ValueError.
     """
-    data = df.select(doc, features).repartition(tasks, doc).sortWithinPartitions(doc) \
-        .select(features).persist()
-
-    def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, s = task
-        return k, KMeans(k=k, seed=s, maxIter=max_iter, featuresCol=features,
-                         predictionCol="cluster").fit(data)
-
-    judge = ClusteringEvaluator(featuresCol=features, predictionCol="cluster")
-
-    def score(item: tuple[int, KMeansModel]) -> tuple[int, float]:
-        return item[0], float(judge.evaluate(item[1].transform(data)))
-
-    starts = [(k, seed + i) for k in ks for i in range(restarts)]
-    run = inheritable_thread_target(df.sparkSession)
+    cells = df.select(doc, *_cells(features), F.unwrap_udt(features)["size"].alias("size"))
+    data = cells.select("places", "values").persist()
     try:
-        with ThreadPool(max(1, min(parallelism, len(starts)))) as pool:
-            best: dict[int, KMeansModel] = {}
-            for k, model in pool.map(run(fit), starts, chunksize=1):
-                # sums differ in their last digits from run to run; equal fits keep the first start
-                if k not in best or model.summary.trainingCost \
-                        < best[k].summary.trainingCost * (1 - 1e-9):
-                    best[k] = model
-            scores = dict(pool.map(run(score), best.items(), chunksize=1))
+        some = cells.orderBy(F.xxhash64(doc), doc).limit(START_ROWS).toArrow()
+        if not len(some):
+            raise ValueError("no rows to cluster")
+        size = some["size"][0].as_py()
+        width = size if size is not None else len(some["values"][0])
+        rows = _matrix(some["places"].combine_chunks(), some["values"].combine_chunks(), width)
+        fits = [Fit(k, _starts(rows, k, seed + i)) for k in ks for i in range(restarts)]
+        wide = data.rdd.getNumPartitions() > WIDTH
+        left = fits
+        while left:
+            _step(data, left, width, wide)
+            left = [f for f in left if not f.converged and f.steps < max_iter
+                    and not f.before - f.cost < TOLERANCE * f.cost]
+        best = {}
+        for f in fits:
+            if f.k not in best or f.cost < best[f.k].cost:
+                best[f.k] = f
+        left = [f for f in best.values() if not f.converged]
+        while left:
+            _step(data, left, width, wide)
+            left = [f for f in left if not f.converged and f.steps < max_iter]
+        scores = _silhouettes(data, best, width)
     finally:
         data.unpersist()
     return Sweep(best, scores)
 
 
-def assign_clusters(df: DataFrame, model: KMeansModel) -> DataFrame:
-    return model.transform(df)
-
-
-def cluster_terms(spark: SparkSession, model: KMeansModel, vocabulary: Sequence[str],
+def _silhouettes(data: DataFrame, fits: dict[int, Fit], width: int) -> dict[int, float]:
+    """Mean squared Euclidean silhouette of each fit, by one pass. The mean squared distance to all
+    members of a cluster follows from their number, their sum and the sum of their squares."""
+
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = dict.fromkeys(fits, 0.0), 0
+        for x in _batches(it, width):
+            n += len(x)
+            for k, f in fits.items():
+                held = np.flatnonzero(f.counts)
+                own, _ = _nearest(x, f.centres[held])
+                size, at = f.counts[held].astype(float), np.arange(len(x))
+                square = (x * x).sum(axis=1)
+                apart = square[:, None] * size + f.squares[held] * GRID - 2 * x @ (f.sums[held] * GRID).T
+                inside = apart[at, own] / np.maximum(size[own] - 1, 1)
+                apart /= size
+                apart[at, own] = np.inf
+                outside = apart.min(axis=1)
+                more = np.maximum(inside, outside)
+                good = (size[own] > 1) & np.isfinite(outside) & (more > 0)
+                total[k] += float(((outside - inside)[good] / more[good]).sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array(list(total.values())), pa.array([n] * len(total), pa.int64())],
+            names=["k", "total", "n"])
+
+    rows = data.mapInArrow(found, "k int, total double, n long").groupBy("k") \
+        .agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
+    return {r["k"]: round(r["total"] / r["n"], 12) for r in rows}
+
+
+def assign_clusters(df: DataFrame, model: Fit, features: str = "features") -> DataFrame:
+    """Add `cluster`, the number of the nearest centre."""
+    centres, width = model.centres, model.centres.shape[1]
+
+    @F.arrow_udf("int")
+    def nearest(places: pa.Array, values: pa.Array) -> pa.Array:
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(places), ROWS):
+            found.append(_nearest(_matrix(places.slice(at, ROWS), values.slice(at, ROWS), width), centres)[0])
+        return pa.array(np.concatenate(found), pa.int32())
+
+    return df.withColumn("cluster", nearest(*_cells(features)))
+
+
+def cluster_terms(spark: SparkSession, model: Fit, vocabulary: Sequence[str],
                   n: int = TOP_TERMS) -> DataFrame:
     """(cluster, place, term, weight): the n heaviest terms of each centre. k x vocabulary cells."""
     centres = spark.createDataFrame(

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.operators.roles import (
-    FIT_TASKS,
     K_RANGE,
     RESTARTS,
     Sweep,
@@ -50,15 +49,15 @@ class RoleClusters:
 
 def cluster_postings(clean: DataFrame, doc: str = "job_id", ks: Iterable[int] = K_RANGE,
                      restarts: int = RESTARTS, stop_words: Sequence[str] | None = None,
-                     tasks: int = FIT_TASKS, **features: float) -> RoleClusters:
+                     **features: float) -> RoleClusters:
     """Features, sweep over k, and the cluster of every posting under the best k.
 
-    Words and vectors are staged, so that nothing is tagged or tokenised twice. The winning model of the
-    sweep is used as it is; fitting it again would give the same labels.
+    Words and vectors are staged, so that nothing is tagged or tokenised twice. The winning fit of the
+    sweep is used as it is: it has converged, so fitting it again would change nothing.
     """
     text = corpus_text(F.col("title"), F.col("skills_extracted"), F.col("description_clean"))
     worded = stage(with_words(clean, text, stop_words), "words")
     model = fit_terms(worded, doc, **features)
     vectors = stage(model.transform(worded).drop("words"), "vectors")
-    sweep = sweep_k(vectors, doc, ks, restarts, tasks=tasks)
+    sweep = sweep_k(vectors, doc, ks, restarts)
     return RoleClusters(assign_clusters(vectors, sweep.best), model, sweep)

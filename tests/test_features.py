@@ -89,7 +89,7 @@ def test_clusters(spark):
                       F.lit("c").alias("company"), F.lit(None).cast("string").alias("location"),
                       F.array().cast("array<string>").alias("skills_extracted"),
                       F.col("text").alias("description_clean"))
-    found = cluster_postings(clean, ks=range(2, 5), restarts=3, stop_words=["the"], tasks=4)
+    found = cluster_postings(clean, ks=range(2, 5), restarts=3, stop_words=["the"])
     scores = found.sweep.scores
     assert set(scores) == {2, 3, 4}
     assert found.sweep.best_k == 3 == max(scores, key=scores.get)
@@ -112,7 +112,7 @@ def test_fit_ignores_input_partitions(spark):
     vectors = terms.fit_terms(worded, "id").transform(worded)
 
     def labels(partitions):
-        sweep = roles.sweep_k(vectors.repartition(partitions), "id", [3, 4], 2, tasks=4)
+        sweep = roles.sweep_k(vectors.repartition(partitions), "id", [3, 4], 2)
         rows = roles.assign_clusters(vectors, sweep.best).select("id", "cluster").collect()
         return sweep.scores, sorted(map(tuple, rows))
 
@@ -121,3 +121,36 @@ def test_fit_ignores_input_partitions(spark):
 
 def test_tie_goes_to_the_smallest_k():
     assert roles.Sweep({}, {7: 0.5, 4: 0.5, 3: 0.1}).best_k == 4
+
+
+def test_sweep_against_plain_fits(spark):
+    """Converged centres are means of their members, costs and silhouettes are those of MLlib's judge,
+    and vectors may be dense, repeated, empty or fewer than clusters."""
+    import random
+
+    import numpy as np
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.linalg import Vectors
+
+    r = random.Random(1)
+    points = [[r.gauss(3 * (i % 4), 1), r.gauss(-2 * (i % 4), 1), 0.0] for i in range(200)] + [[0.0] * 3] * 5
+    rows = [(i, Vectors.dense(p) if i % 2 else Vectors.sparse(3, [(j, x) for j, x in enumerate(p) if x]))
+            for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, ["id", "features"]).repartition(7)
+    sweep = roles.sweep_k(df, "id", [2, 4, 6], 4)
+    for k, fit in sweep.models.items():
+        labelled = roles.assign_clusters(df, fit)
+        own = {x["id"]: x["cluster"] for x in labelled.collect()}
+        x = np.array(points)
+        apart = ((x[:, None] - fit.centres[None]) ** 2).sum(-1)
+        assert fit.converged and all(apart[i, c] <= apart[i].min() + 1e-8 for i, c in own.items())
+        for c in range(k):
+            assert np.allclose(x[[i for i in own if own[i] == c]].mean(axis=0), fit.centres[c], atol=1e-7)
+        assert math.isclose(fit.cost, apart.min(axis=1).sum(), rel_tol=1e-6)
+        judge = ClusteringEvaluator(predictionCol="cluster").evaluate(labelled)
+        assert math.isclose(sweep.scores[k], judge, rel_tol=1e-6)
+    few = spark.createDataFrame([(i, Vectors.dense([float(i % 2), 0.0])) for i in range(6)], ["id", "features"])
+    sweep = roles.sweep_k(few, "id", [2, 5], 2)
+    assert len(sweep.models[5].centres) == 2 and sweep.best_k == 2
+    with pytest.raises(ValueError):
+        roles.sweep_k(few.where("id < 0"), "id", [2], 1)
