@@ -101,12 +101,17 @@ def _batches(it: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
             yield _matrix(b["places"], b["values"], width)
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centre and squared distance of each row; the first of those equally near."""
-    apart = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
-    apart = np.maximum(np.round(apart, 9), 0)
-    own = apart.argmin(axis=1)
-    return own, apart[np.arange(len(x)), own]
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, rounded so that ties are ties whatever else is computed along with them."""
+    apart = x @ (-2 * centres.T)
+    apart += (x * x).sum(axis=1)[:, None]
+    apart += (centres * centres).sum(axis=1)
+    return np.maximum(np.round(apart, 9, out=apart), 0, out=apart)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest centre of each row; the first of those equally near."""
+    return _apart(x, centres).argmin(axis=1)
 
 
 FOUND = "fit int, part int, sums binary, counts binary, squares binary, cost long"
@@ -124,31 +129,31 @@ def _added(table: pa.Table) -> pa.Table:
 
 def _step(data: DataFrame, fits: list[Fit], width: int, wide: bool) -> None:
     """Move all centres of all fits to the means of their members, by one pass over the rows."""
-    centres = [f.centres for f in fits]
+    centres = np.vstack([f.centres for f in fits])
+    ends = np.cumsum([len(f.centres) for f in fits])
+    parts = list(zip((ends - [len(f.centres) for f in fits]).tolist(), ends.tolist(), strict=True))
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(c.shape, np.int64) for c in centres]
-        counts = [np.zeros(len(c), np.int64) for c in centres]
-        squares = [np.zeros(len(c), np.int64) for c in centres]
-        cost, any_rows = np.zeros(len(centres), np.int64), False
+        sums = np.zeros(centres.shape, np.int64)
+        counts, squares = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+        cost, any_rows = np.zeros(len(parts), np.int64), False
         for x in _batches(it, width):
-            any_rows = True
-            whole = x / GRID
-            square = np.rint((x * x).sum(axis=1) / GRID).astype(np.int64)
-            for i, c in enumerate(centres):
-                own, apart = _nearest(x, c)
-                members = np.zeros((len(c), len(x)))
-                members[own, np.arange(len(x))] = 1
-                # whole numbers far below 2^53, so the product is exact
-                sums[i] += (members @ whole).astype(np.int64)
-                counts[i] += np.bincount(own, minlength=len(c))
-                np.add.at(squares[i], own, square)
-                cost[i] += int(np.rint(apart / GRID).astype(np.int64).sum())
+            any_rows, at = True, np.arange(len(x))
+            apart = _apart(x, centres)
+            # row by row the nearest centre of every fit
+            own = np.column_stack([apart[:, b:e].argmin(axis=1) + b for b, e in parts])
+            cost += np.rint(apart[at[:, None], own] / GRID).astype(np.int64).sum(axis=0)
+            members = np.zeros((len(centres), len(x)))
+            members[own.T, at] = 1
+            # whole numbers far below 2^53, so these sums are exact
+            sums += (members @ (x / GRID)).astype(np.int64)
+            counts += members.sum(axis=1).astype(np.int64)
+            squares += (members @ np.rint((x * x).sum(axis=1) / GRID)).astype(np.int64)
         if any_rows:
-            n = len(centres)
+            n = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId() % WIDTH] * n, pa.int32()),
-                 *(pa.array([a.tobytes() for a in v], pa.binary()) for v in (sums, counts, squares)),
+                 *(pa.array([a[b:e].tobytes() for b, e in parts], pa.binary()) for a in (sums, counts, squares)),
                  pa.array(cost, pa.int64())], names=["fit", "part", "sums", "counts", "squares", "cost"])
 
     rows = data.mapInArrow(found, FOUND)
@@ -228,7 +233,7 @@ def _silhouettes(data: DataFrame, fits: dict[int, Fit], width: int) -> dict[int,
             n += len(x)
             for k, f in fits.items():
                 held = np.flatnonzero(f.counts)
-                own, _ = _nearest(x, f.centres[held])
+                own = _nearest(x, f.centres[held])
                 size, at = f.counts[held].astype(float), np.arange(len(x))
                 square = (x * x).sum(axis=1)
                 apart = square[:, None] * size + f.squares[held] * GRID - 2 * x @ (f.sums[held] * GRID).T
@@ -256,7 +261,7 @@ def assign_clusters(df: DataFrame, model: Fit, features: str = "features") -> Da
     def nearest(places: pa.Array, values: pa.Array) -> pa.Array:
         found = [np.zeros(0, np.int64)]
         for at in range(0, len(places), ROWS):
-            found.append(_nearest(_matrix(places.slice(at, ROWS), values.slice(at, ROWS), width), centres)[0])
+            found.append(_nearest(_matrix(places.slice(at, ROWS), values.slice(at, ROWS), width), centres))
         return pa.array(np.concatenate(found), pa.int32())
 
     return df.withColumn("cluster", nearest(*_cells(features)))
