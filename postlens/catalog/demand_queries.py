@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.catalog import checks, inputs
 from postlens.catalog.registry import query
 from postlens.catalog.text_queries import document_tagged, role_clean, role_tagged
 from postlens.operators import demand
+from postlens.plans.dashboard import overview
 from postlens.streaming.trend import skill_trend
 from postlens.taxonomy import ROLE_PAIRS, ROLE_SKILLS, category_table
 
@@ -149,6 +152,55 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.merge_counts(inputs.role_postings(spark, sf_dir))
 
 
+LISTED = ", ".join(f"('{title}', {2 * i + j}, '{skill}')" for title, listed in ROLE_PAIRS.items()
+                   for i, pair in enumerate(listed) for j, skill in enumerate(pair))
+
+
+@query(f"""{ROLES}, {COUNTS},
+best AS (SELECT skill, postings, row_number() OVER (ORDER BY postings DESC, skill) AS place FROM counts),
+cats AS (SELECT coalesce(category, 'Other') AS category, skill, postings FROM counts
+  LEFT JOIN {checks.categories_sql(ROLE_SKILLS)} USING (skill)),
+have AS (SELECT job_id, unnest(skills_extracted) AS skill FROM t)
+SELECT 'headline' AS part, 'postings' AS item, count(*)::DOUBLE AS value FROM t
+UNION ALL SELECT 'headline', 'companies', count(DISTINCT company) FROM t
+UNION ALL SELECT 'headline', 'mean_skills', round_even(avg(skill_count), 1) FROM t
+UNION ALL SELECT 'run_summary', 'zero_skill', count_if(skill_count = 0) FROM t
+UNION ALL SELECT 'run_summary', 'with_band', count_if(exp_min_years IS NOT NULL) FROM t
+UNION ALL SELECT 'top_skills', skill, postings FROM best WHERE place <= 20
+UNION ALL SELECT 'categories', category, sum(postings) FROM cats GROUP BY category
+UNION ALL SELECT 'sources', source, count(*) FROM t WHERE source IS NOT NULL GROUP BY source
+UNION ALL SELECT 'experience', exp_min_years::VARCHAR, count(*) FROM t WHERE exp_min_years IS NOT NULL
+  GROUP BY exp_min_years
+UNION ALL SELECT 'cooccurrence', x.skill || ' + ' || y.skill, coalesce(n, 0) FROM best x JOIN best y
+  ON x.place <= 15 AND y.place <= 15 LEFT JOIN (SELECT p.skill AS a, q.skill AS b, count(*) AS n
+  FROM have p JOIN have q USING (job_id) GROUP BY ALL) ON a = x.skill AND b = y.skill
+UNION ALL SELECT 'hierarchy', category || '/' || skill, postings FROM cats
+UNION ALL SELECT 'hierarchy', category, sum(postings) FROM cats GROUP BY category
+UNION ALL SELECT title, pos || ' ' || p.skill, coalesce(postings, 0) FROM (VALUES {LISTED})
+  AS p(title, pos, skill) LEFT JOIN counts USING (skill)""")
+def market_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of the overview as one, a number per row."""
+    tables = overview(role_tagged(spark, sf_dir))
+
+    def rows(part: str, item: Column, value: str, df: DataFrame | None = None) -> DataFrame:
+        return (tables[part] if df is None else df).select(
+            F.lit(part).alias("part"), item.alias("item"), F.col(value).cast("double").alias("value"))
+
+    skill, place = F.col("skill"), F.col("pos").cast("string")
+    parts = [rows(part, F.lit(c), c) for part, columns in {
+        "headline": ["postings", "companies", "mean_skills"], "run_summary": ["zero_skill", "with_band"],
+    }.items() for c in columns]
+    parts += [
+        rows("top_skills", skill, "postings"), rows("categories", F.col("category"), "mentions"),
+        rows("sources", F.col("source"), "postings"),
+        rows("experience", F.col("years").cast("string"), "postings"),
+        rows("cooccurrence", F.concat("a", F.lit(" + "), "b"), "postings"),
+        rows("hierarchy", F.concat_ws("/", "category", "skill"), "postings"),
+    ]
+    parts += [rows(title, F.concat(place, F.lit(" "), skill), "postings") for title in ROLE_PAIRS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 TREND = """WITH t AS (SELECT date_trunc('{period}', {ts})::TIMESTAMP AS period, {labels} AS skills
   FROM {table}),
 totals AS (SELECT period, count(*) AS total FROM t GROUP BY period),

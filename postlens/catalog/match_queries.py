@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,7 @@ from postlens.catalog.text_queries import document_tagged, flat, role_tagged
 from postlens.functions.labels import match_label
 from postlens.operators import match, reports, roles
 from postlens.plans.matching import gap_prompts, resume_skills
+from postlens.session import staging_root
 from postlens.sources import resumes as resume_source
 
 DOCS, ROLES = checks.DOCUMENT_TAGGED, checks.ROLE_TAGGED
@@ -48,6 +54,37 @@ def rejected_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume_source.too_short(inputs.resumes(spark, sf_dir))
 
 
+def _write_files(it: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """A file for each résumé, many with bytes that are no UTF-8."""
+    store, path = fs.FileSystem.from_uri(folder if "://" in folder or ":/" in folder else f"file://{folder}")
+    store.create_dir(path, recursive=True)
+    for batch in it:
+        for key, text in zip(batch["resume_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            data = text.encode()
+            if key % 3 == 0:
+                data = b"\xff" + data + "é".encode()[:1]
+            elif key % 3 == 1:
+                data = data.replace(b" ", b" \xe2\x82", 2).replace(b"e", b"\xfee", 1)
+            with store.open_output_stream(f"{path}/{key}.txt") as out:
+                out.write(data)
+        yield batch.select(["resume_id"])
+
+
+@query(f"""SELECT resume_id::VARCHAR AS resume_id, md5(text) AS text_md5,
+  length(regexp_replace(text, '^{checks.SPACE}+|{checks.SPACE}+$', '', 'g')) >= 100 AS usable
+  FROM ({inputs.RESUME_SQL})""")
+def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Résumés as files with broken bytes, read back."""
+    folder = f"{staging_root(spark)}/resume-files-{uuid.uuid4().hex}"
+    inputs.resumes(spark, sf_dir).filter(F.col("text").isNotNull()) \
+        .mapInArrow(lambda it: _write_files(it, folder), "resume_id long").count()
+    found = resume_source.read_resumes(spark, folder)
+    fit = resume_source.usable(found).select("resume_id", F.lit(True).alias("usable"))
+    short = resume_source.too_short(found).select("resume_id", F.lit(False).alias("usable"))
+    return found.select("resume_id", F.md5("text").alias("text_md5")) \
+        .join(fit.unionByName(short), "resume_id")
+
+
 SCORE_COLUMNS = ["matched_count", "job_requires", "coverage_pct", "matched_skills"]
 
 

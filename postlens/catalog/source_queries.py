@@ -234,6 +234,23 @@ def landing_array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.count_if(F.col("postings") == 0).alias("empty"))
 
 
+@query(f"""WITH raw AS ({inputs.ROLE_SQL}) SELECT 'full' AS folder, count(*) AS postings FROM raw
+  UNION ALL SELECT 'no such file', 0 UNION ALL SELECT 'no such folder', 0""")
+def landing_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder without files, and one that is not there, give no rows and no error."""
+    folder = _landed(spark, sf_dir)
+    read = {
+        "full": landing.read_landing(spark, folder, multi_line=False),
+        "no such file": landing.read_landing(spark, folder, "*.none"),
+        "no such folder": landing.read_landing(spark, f"{folder}/none"),
+    }
+    out = None
+    for name, rows in read.items():
+        count = rows.agg(F.count("*").alias("postings")).select(F.lit(name).alias("folder"), "postings")
+        out = count if out is None else out.unionByName(count)
+    return out
+
+
 @query(f"{checks.ROLE_TAGGED} SELECT {FLAT_SQL} FROM t")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "clean-json")
