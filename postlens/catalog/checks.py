@@ -140,3 +140,53 @@ DOCUMENT_TAGGED = f"""WITH t AS (
 RESUME_TAGGED = f"""r AS (
   SELECT * EXCLUDE (lt) FROM (SELECT *, {tags_sql(PROSE_TERMS)} AS skills_extracted
     FROM (SELECT *, lower(text) AS lt FROM ({RESUME_SQL}))))"""
+
+
+# What a pattern with more than a word and its edges asks for: words, edges, one of these later in the
+# line, not this next.
+SHAPES = {
+    r"\br\b(?=.*(stat|programming|language))": (["r"], True, True, "stat|programming|language", None),
+    "java(?!script)": (["java"], False, False, None, "script"),
+    r"\bcv\b(?=.*(image|vision))": (["cv"], True, True, "image|vision", None),
+    r"\bagents?\b(?=.*(ai|llm|autonomous))": (["agents", "agent"], True, True, "ai|llm|autonomous", None),
+    r"\bllama\b(?!index)": (["llama"], True, True, None, None),
+    r"\bexcel\b(?!lent|s\b)": (["excel"], True, True, None, None),
+}
+
+
+def shapes_sql(taxonomy: Taxonomy) -> str:
+    """(skill, place, w, opens, closes, later, never): every pattern as a word to look for, in order."""
+    rows = []
+    for patterns in (ps for skills in taxonomy.values() for ps in skills.items()):
+        place = 0
+        for pattern in patterns[1]:
+            core = pattern.removeprefix(r"\b").removesuffix(r"\b").replace("\\", "")
+            plain = ([core], pattern.startswith(r"\b"), pattern.endswith(r"\b"), None, None)
+            words, opens, closes, later, never = SHAPES.get(pattern, plain)
+            for w in words:
+                values = [f"'{patterns[0]}'", str(place), f"'{w}'", str(opens), str(closes),
+                          f"'{later}'" if later else "NULL", f"'{never}'" if never else "NULL"]
+                rows.append("(" + ", ".join(values) + ")")
+                place += 1
+    return f"(VALUES {', '.join(rows)}) AS v(skill, place, w, opens, closes, later, never)"
+
+
+def spans_sql(rows: str, text: str, taxonomy: Taxonomy, around: int = 30) -> str:
+    """(skill, span, hits): words are found by splitting, their surroundings by position, and of hits
+    that overlap the first stays."""
+    return f"""p AS (SELECT * FROM {shapes_sql(taxonomy)}),
+  d AS (SELECT row_number() OVER () AS id, lower({text}) AS d FROM {rows}),
+  s AS (SELECT id, d, p.*, string_split(d, w) AS parts FROM d JOIN p ON contains(d, w)),
+  h AS (SELECT * EXCLUDE (parts), CAST(list_sum(list_transform(parts[1:i], lambda x: length(x)))
+      + (i - 1) * length(w) AS BIGINT) AS b, b + length(w) AS e FROM s, unnest(range(1, len(parts))) AS t(i)),
+  k AS (SELECT id, d, skill, list([{{'b': b, 'e': e}}] ORDER BY b, place) AS hits FROM h
+    WHERE (NOT opens OR b = 0 OR NOT regexp_matches(d[b], '[\\pL\\pN_]'))
+      AND (NOT closes OR e = length(d) OR NOT regexp_matches(d[e + 1], '[\\pL\\pN_]'))
+      AND (later IS NULL OR len(list_filter(string_split(later, '|'),
+        lambda x: contains(string_split(d[e + 1:], chr(10))[1], x))) > 0)
+      AND (never IS NULL OR NOT starts_with(d[e + 1:], never))
+    GROUP BY id, d, skill),
+  c AS (SELECT d, skill, unnest(list_reduce(hits, lambda a, x: CASE WHEN x[1].b >= a[-1].e
+    THEN list_concat(a, x) ELSE a END)) AS hit FROM k),
+  x AS (SELECT skill, string_split(d[greatest(hit.b - {around}, 0) + 1:hit.b], chr(10))[-1]
+    || d[hit.b + 1:hit.e] || string_split(d[hit.e + 1:hit.e + {around}], chr(10))[1] AS span FROM c)"""

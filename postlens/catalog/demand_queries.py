@@ -144,6 +144,13 @@ def span_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.span_audit(role_clean(spark, sf_dir), "description_clean", ["scala", "excel"])
 
 
+@query(f"""WITH {checks.ROLE_CLEAN}, {checks.spans_sql("cleaned", "description_clean", ROLE_SKILLS)}
+SELECT skill, span, count(*) AS hits FROM x GROUP BY ALL""")
+def skill_span_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts of all skills of the taxonomy."""
+    return demand.skill_span_audit(role_clean(spark, sf_dir), "description_clean")
+
+
 @query(f"""WITH raw AS ({inputs.ROLE_SQL})
 SELECT 'source' AS level, source, count(*) AS postings FROM raw GROUP BY source
 UNION ALL SELECT 'all', NULL, count(*) FROM raw

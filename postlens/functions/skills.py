@@ -10,9 +10,13 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.functions import automaton
 from postlens.functions.text import fold_case
 from postlens.taxonomy import ROLE_SKILLS, Taxonomy, Term, compile_taxonomy, jvm_regex
 
+# Patterns that are compiled into the plan.
+GENERATED = 400
+
 # Experience patterns, the first one found anywhere in the text winning.
 EXPERIENCE = [
     r"(\d+)\s*-\s*(\d+)\s*\+?\s*years?",
@@ -34,7 +38,13 @@ def _found(folded: Column, terms: list[Term]) -> Column:
 
 def skill_names(folded: Column, taxonomy: Taxonomy = ROLE_SKILLS) -> Column:
     """Sorted names of the skills found. The names enter the array already in order, and taking
-    away the null array drops those not found."""
+    away the null array drops those not found.
+
+    More than `GENERATED` patterns are no longer one expression each: an automaton finds the same
+    skills.
+    """
+    if sum(len(patterns) for skills in taxonomy.values() for patterns in skills.values()) > GENERATED:
+        return automaton.skill_names(folded, taxonomy)
     hits = [F.when(_found(folded, terms), F.lit(skill))
             for skill, terms in compile_taxonomy(taxonomy).items()]
     return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))

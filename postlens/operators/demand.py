@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens import schemas
+from postlens.functions.automaton import skill_spans
 from postlens.functions.labels import count_label, percent
 from postlens.functions.skills import match_spans
+from postlens.taxonomy import ROLE_SKILLS, Taxonomy
 
 SKILLS = "skills_extracted"
 
@@ -197,6 +199,13 @@ def span_audit(df: DataFrame, text: str, patterns: list[str], around: int = 30)
     )
 
 
+def skill_span_audit(df: DataFrame, text: str, taxonomy: Taxonomy = ROLE_SKILLS,
+                     around: int = 30) -> DataFrame:
+    """(skill, span, hits): the distinct contexts in which each skill of a taxonomy hits."""
+    return skill_spans(df, F.col(text), taxonomy, around).groupBy("skill", "span") \
+        .agg(F.count("*").alias("hits")).orderBy("skill", F.desc("hits"), "span")
+
+
 def merge_counts(raw: DataFrame, keys: Sequence[str] = ("company", "title"),
                  source: str = "source") -> DataFrame:
     """(level, source, postings): rows per source, all rows, and rows left once copies are merged."""
