@@ -1,14 +1,19 @@
 """Strip the intro that all postings of one company share.
 
-The longest common prefix of a set of strings is that of its smallest and largest member, so a
-min/max aggregate finds it. Aggregating whole descriptions would sort them, hence two steps: a
-hash aggregate of fixed-width digests first discards every company whose postings do not all open
-with the same `min_chars` characters, and only the rows of the few companies left are compared in
-full. Both steps combine map-side, so a company holding a third of all rows costs one row per task.
+A hash aggregate of fixed-width digests first drops every company whose postings do not all open with
+the same `min_chars` characters. Only rows of the few companies left are looked at in full, where they
+are: each task keeps the prefix that its rows of a company share, and sends that one string. The prefix
+of all rows is the prefix of those, so no text is sorted or sent, and a company with a third of all
+rows costs one row per task in either step.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from os.path import commonprefix
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,10 @@ def with_heads(df: DataFrame, text: str = "description_clean", min_chars: int =
                            "_chars": F.length(text)})
 
 
+# Companies whose names are sent to all tasks; with more, rows and names are joined as Spark sees fit.
+SENT = 500_000
+
+
 def company_prefixes(df: DataFrame, company: str = "company", text: str = "description_clean",
                      min_rows: int = 2, min_chars: int = 60) -> DataFrame:
     """(company, rows, prefix) for companies whose postings share at least `min_chars` characters.
@@ -58,17 +67,37 @@ def company_prefixes(df: DataFrame, company: str = "company", text: str = "descr
                 & (F.col("_low") == F.col("_high")))
         .select("company")
     )
+    first = alike.limit(SENT + 1).toArrow()
+    if len(first) <= SENT:
+        alike = F.broadcast(df.sparkSession.createDataFrame(first))
+    found = rows.select("company", "_text").join(alike, "company", "left_semi") \
+        .mapInArrow(_shared, "company string, rows long, prefix string")
     return (
-        rows.join(alike, "company", "left_semi")
-        .groupBy("company")
-        .agg(F.count("*").alias("rows"), F.min("_text").alias("_low"),
-             F.max("_text").alias("_high"))
+        found.groupBy("company")
+        .agg(F.sum("rows").alias("rows"), F.min("prefix").alias("_low"), F.max("prefix").alias("_high"))
         .withColumn("prefix", common_prefix(F.col("_low"), F.col("_high")))
         .filter(F.length("prefix") >= min_chars)
         .select("company", "rows", cut_back(F.col("prefix")).alias("prefix"))
     )
 
 
+def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the rows of each company in a task share, and how many there are."""
+    prefix: dict[str, str] = {}
+    rows: Counter[str] = Counter()
+    for batch in it:
+        for company, text in zip(batch["company"].to_pylist(), batch["_text"].to_pylist(), strict=True):
+            rows[company] += 1
+            known = prefix.get(company)
+            if known is None:
+                prefix[company] = text
+            elif not text.startswith(known):
+                prefix[company] = commonprefix([known, text])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(prefix), pa.string()), pa.array([rows[c] for c in prefix], pa.int64()),
+         pa.array(list(prefix.values()), pa.string())], names=["company", "rows", "prefix"])
+
+
 def strip_prefixes(df: DataFrame, prefixes: DataFrame, company: str = "company",
                    text: str = "description_clean") -> DataFrame:
     """Remove each company's prefix from its rows. Only the prefix length is joined."""

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postlens.session import stage
 from postlens.operators import dedupe, prefix
 
 INTRO = "We are a company that has been building things for everyone since the start of it all. "
@@ -65,6 +66,7 @@ def test_prefix_agrees_with_brute_force(spark):
 
 
 def test_broadcast_bound_has_another_way(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "SENT", 0)
     got, _ = stripped(spark, [("a", INTRO + "Role one"), ("a", INTRO + "Rower two")])
     assert got == ["Role one", "Rower two"]
 
@@ -89,3 +91,27 @@ def test_hot_key_is_limited_before_the_shuffle(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
     assert kept.count() == 667
+
+
+def test_prefix_moves_no_text(spark):
+    """Between the tasks go digests, and one string per task and company."""
+    rows = [("a", INTRO + f"Role {i} " + "x" * 3000) for i in range(40)] + [("b", "y" * 500)] * 3
+    df = spark.createDataFrame(rows, "company string, description_clean string").repartition(6)
+    df = stage(df, "rows")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = prefix.company_prefixes(df)
+        moved = []
+
+        def walk(node):
+            if node.nodeName() in ("Exchange", "Sort"):
+                moved.append(node.output().mkString(" "))
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(found._jdf.queryExecution().executedPlan())
+        assert moved and not any("_text" in m or "description" in m for m in moved)
+        assert {r["company"]: r["rows"] for r in found.collect()} == {"a": 40, "b": 3}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
