@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +15,7 @@ from postlens.catalog.text_queries import document_tagged, flat, role_tagged
 from postlens.functions.labels import match_label
 from postlens.operators import match, reports, roles
 from postlens.plans.matching import gap_prompts, resume_skills
-from postlens.session import staging_root
+from postlens.session import new_folder
 from postlens.sources import resumes as resume_source
 
 DOCS, ROLES = checks.DOCUMENT_TAGGED, checks.ROLE_TAGGED
@@ -75,7 +74,7 @@ def _write_files(it: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
   FROM ({inputs.RESUME_SQL})""")
 def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Résumés as files with broken bytes, read back."""
-    folder = f"{staging_root(spark)}/resume-files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "resume-files")
     inputs.resumes(spark, sf_dir).filter(F.col("text").isNotNull()) \
         .mapInArrow(lambda it: _write_files(it, folder), "resume_id long").count()
     found = resume_source.read_resumes(spark, folder)

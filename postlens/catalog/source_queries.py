@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from postlens import schemas
 from postlens.catalog import checks, inputs
 from postlens.catalog.registry import query
 from postlens.catalog.text_queries import FLAT_SQL, flat, role_tagged
-from postlens.session import staging_root
+from postlens.session import new_folder
 from postlens.sources import landing, payloads, tables
 from postlens.streaming import ingest, trend
 
@@ -22,10 +21,6 @@ PAGE_SIZE = 20
 SQL_TYPES = {"double": "DOUBLE", "timestamp": "TIMESTAMP"}
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _responses(spark: SparkSession, sf_dir: str, item: str, wrap: str) -> DataFrame:
     """Responses of up to 20 items each over all parts, shaped as the service would send them.
 
@@ -164,7 +159,7 @@ def _as_raw(df: DataFrame) -> DataFrame:
 
 def _landed(spark: SparkSession, sf_dir: str) -> str:
     """Role postings written as snapshots of two collectors."""
-    folder = _folder(spark, "landing")
+    folder = new_folder(spark, "landing")
     rows = _as_raw(inputs.role_postings(spark, sf_dir))
     at = F.lit(SEEN).cast("timestamp")
     landing.write_snapshot(rows.filter(F.col("source") == "board"), folder, "board", at)
@@ -192,7 +187,7 @@ ARRAY_ROWS = 500
 
 def _array_files(spark: SparkSession, sf_dir: str) -> str:
     """Role postings as JSON arrays of bounded length, one per file, and a file with an empty one."""
-    folder = _folder(spark, "arrays")
+    folder = new_folder(spark, "arrays")
     rows = _as_raw(inputs.role_postings(spark, sf_dir)) \
         .withColumn("batch", F.expr(f"cast(job_id as bigint) div {ARRAY_ROWS}"))
     fields = F.struct(*(f.name for f in schemas.RAW))
@@ -210,7 +205,7 @@ def landing_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _one_array(spark: SparkSession, sf_dir: str) -> str:
     """All role postings as one JSON array in one file, whose last element is null."""
-    folder = _folder(spark, "one-array")
+    folder = new_folder(spark, "one-array")
     rows = _as_raw(inputs.role_postings(spark, sf_dir))
     lines = rows.select(F.col("job_id").cast("long").alias("at"), F.concat(
         F.to_json(F.struct(*(f.name for f in schemas.RAW))), F.lit(",")).alias("value"))
@@ -253,14 +248,14 @@ def landing_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{checks.ROLE_TAGGED} SELECT {FLAT_SQL} FROM t")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, "clean-json")
+    folder = new_folder(spark, "clean-json")
     tables.write_json(role_tagged(spark, sf_dir), folder)
     return flat(tables.read_clean(spark, folder))
 
 
 @query(f"{checks.ROLE_TAGGED} SELECT {FLAT_SQL}, length(title)::INTEGER AS cluster FROM t")
 def clustered_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, "clustered")
+    folder = new_folder(spark, "clustered")
     tables.write_json(role_tagged(spark, sf_dir).withColumn("cluster", F.length("title")), folder)
     return flat(tables.read_clustered(spark, folder))
 
@@ -268,7 +263,7 @@ def clustered_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{checks.ROLE_TAGGED} SELECT * REPLACE (array_to_string(skills_extracted, ', ') AS skills_extracted,
   CAST(skill_count AS BIGINT) AS skill_count) FROM t""")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, "clean-csv")
+    folder = new_folder(spark, "clean-csv")
     tables.write_csv(role_tagged(spark, sf_dir), folder)
     kinds = {"skills_extracted": "string"}
     schema = ", ".join(f"{f.name} {kinds.get(f.name, f.dataType.simpleString())}" for f in schemas.CLEAN)
@@ -284,7 +279,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
   job_id, url, source) AS rn FROM t) WHERE rn = 1)""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over landed snapshots ends at the table the batch stages give."""
-    path, state = _folder(spark, "ingest"), _folder(spark, "state")
+    path, state = new_folder(spark, "ingest"), new_folder(spark, "state")
     raw = ingest.read_landing_stream(spark, _landed(spark, sf_dir), files_per_batch=8,
                                      multi_line=False)
     ingest.ingest(raw, path, state, buckets=4).awaitTermination()
@@ -314,7 +309,7 @@ def _mixed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed_responses(spark: SparkSession, sf_dir: str) -> str:
-    folder = _folder(spark, "responses")
+    folder = new_folder(spark, "responses")
     _mixed_responses(spark, sf_dir).repartition(6, "service", "query").write.json(folder)
     return folder
 
@@ -335,7 +330,7 @@ SELECT {FLAT_SQL} FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER
 @query(COLLECTED)
 def collect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses of three services to the clean table, as a stream."""
-    path, state = _folder(spark, "collected"), _folder(spark, "state")
+    path, state = new_folder(spark, "collected"), new_folder(spark, "state")
     responses = ingest.read_response_stream(spark, _landed_responses(spark, sf_dir), files_per_batch=3)
     ingest.collect(responses, path, state, buckets=4).awaitTermination()
     return flat(ingest.current_postings(spark, path))
@@ -368,7 +363,7 @@ def _set_aside(df: DataFrame) -> DataFrame:
 @query(BAD)
 def collect_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream sets aside."""
-    path, state = _folder(spark, "collected"), _folder(spark, "state")
+    path, state = new_folder(spark, "collected"), new_folder(spark, "state")
     responses = ingest.read_response_stream(spark, _landed_responses(spark, sf_dir), files_per_batch=3)
     ingest.collect(responses, path, state, buckets=4).awaitTermination()
     return _set_aside(ingest.quarantined(spark, path))
@@ -376,7 +371,7 @@ def collect_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events in three landed parts, the first months last, one part a batch."""
-    folder = _folder(spark, "events")
+    folder = new_folder(spark, "events")
     part = F.pmod(F.dayofyear("scraped_at"), F.lit(3)).alias("part")
     events = inputs.table(spark, sf_dir, "events").select(
         F.col("ts").alias("scraped_at"), F.array("event_type").alias("skills_extracted"))
@@ -388,8 +383,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _running(spark: SparkSession, sf_dir: str, counts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    table = trend.trend_table(spark, _folder(spark, "trend"), 4)
-    trend.running_trend(_event_stream(spark, sf_dir), table, _folder(spark, "state"), counts) \
+    table = trend.trend_table(spark, new_folder(spark, "trend"), 4)
+    trend.running_trend(_event_stream(spark, sf_dir), table, new_folder(spark, "state"), counts) \
         .awaitTermination()
     return table.read()
 

@@ -48,6 +48,13 @@ def staging_root(spark: SparkSession) -> str:
 _STAGED: dict[str, list[str]] = {}
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the staging area, which `drop_staged` removes; made by who writes to it."""
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the staging area and read it back.
 
@@ -56,9 +63,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     what a session has staged.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -116,7 +122,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Remove the staged tables of this application, once its results are written; returns how many.
+    """Remove the staged tables and folders of this application, once its results are written; returns
+    how many.
 
     Results that were not written yet can no longer be read afterwards.
     """

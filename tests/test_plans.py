@@ -87,3 +87,24 @@ def test_staged_tables_can_be_removed(spark, tmp_path):
     assert any(folder.glob("kept-*"))
     assert drop_staged(spark) == 1 and not any(folder.glob("kept-*"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_queries_leave_no_folder(spark):
+    """What queries stage, land and stream through is gone once it is dropped."""
+    from pathlib import Path
+
+    import pytest
+
+    import __spark_entry__
+    from postlens.session import drop_staged, staging_root
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("test tables not present")
+    drop_staged(spark)
+    root = Path(staging_root(spark).removeprefix("file://"))
+    before = set(root.iterdir()) if root.exists() else set()
+    for name in ("clean_postings", "collect_quarantine", "stream_trend", "landing_large_array", "resume_files",
+                 "prompt_table"):
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert set(root.iterdir()) - before
+    assert drop_staged(spark) > 5 and set(root.iterdir()) == before
