@@ -33,6 +33,9 @@ WIDTH = 10
 PLAIN = 5
 #: Bytes of benchmark text that go to all tasks at once; a larger benchmark takes several passes.
 PART_BYTES = 8 << 20
+#: Text that a task searches at once. What it holds of that text's tokens is about a hundred times the text,
+#: and Spark's Python workers keep beside them what earlier stages have left.
+SLICE_BYTES = 1 << 20
 
 UNITS = """mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg gram grams kilogram
 kilograms oz ounce ounces lb lbs pound pounds ton tons ml l liter liters litre litres gallon gallons
@@ -374,7 +377,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item_id: st
 
         def search(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Benchmark(*shared.value, width)
-            for table in sliced(it):
+            for table in sliced(it, SLICE_BYTES):
                 hits = known.hits([t or "" for t in table["text"].to_pylist()], parts=True)
                 row = [i for i, h in enumerate(hits) if h]
                 names = ("item_id", "begin", "end", "tokens")

@@ -22,6 +22,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ LIKELY = 0.6
 BLOCK = 384
 #: Rows of groups that one task compares.
 SLOT_ROWS = 8_000
+#: Text whose words a task hashes at once; what it holds for that is many times the text.
+SLICE_BYTES = 1 << 20
 
 _random = np.random.default_rng(7)
 FACTORS = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -85,7 +88,7 @@ def band_hashes(low: np.ndarray) -> np.ndarray:
 
 
 def featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(it):
+    for batch in sliced(it, SLICE_BYTES):
         c = chunks.Chunk(batch)
         rows = {"n": [], "d1": [], "d2": [], "bands": [], "signature": []}
         for s in shingle_sets(c):
@@ -105,8 +108,7 @@ def featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sliced(it: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Table]:
     """Batches cut so that none but a single row has much more text than `most` bytes."""
     for batch in it:
-        sizes = np.fromiter((len(x) if x is not None else 0 for x in
-                             batch["text"].cast(pa.binary()).to_pylist()), np.int64, len(batch))
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -116,7 +118,7 @@ def sliced(it: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Tab
 
 
 def set_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(it):
+    for batch in sliced(it, SLICE_BYTES):
         c = chunks.Chunk(batch)
         yield pa.RecordBatch.from_arrays(
             [c.table["key"].combine_chunks(),

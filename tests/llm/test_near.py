@@ -127,3 +127,16 @@ def test_vectors(spark):
     check_vectors(df, cell=10)
     check_vectors(df.where("vec_id < 0"))
     assert vector_join.near_copies(df.selectExpr("*", "1 AS rep", "2 AS cell")).count() == len(rows)
+
+
+def test_slices_by_bytes():
+    """Slices follow the bytes of the texts and need no copy of them; nulls have none."""
+    import pyarrow as pa
+    from postlens.llm import decontaminate
+
+    texts = ["é" * 300, None, "", "x" * 5000, "y" * 500, "z" * 10] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(18)), pa.array(texts)], names=["key", "text"])
+    parts = list(minhash.sliced(iter([batch]), 1000))
+    assert [t for p in parts for t in p["text"].to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) < 6000 for p in parts)
+    assert max(minhash.SLICE_BYTES, decontaminate.SLICE_BYTES) <= 1 << 20
