@@ -186,7 +186,8 @@ class WarcReader(DataSourceReader):
                 if not self.passes(row):
                     continue
                 row["headers"] = list(headers.items())
-                row["payload"] = payload(window.get(body, length), headers) if self.payload else None
+                stored = self.payload and headers.get("warc-type") != "revisit"
+                row["payload"] = payload(window.get(body, length), headers) if stored else None
                 row["payload_length"] = payload_length(headers, window, body, length, row["payload"])
                 rows.append(row)
                 size += length
@@ -204,9 +205,7 @@ def is_http(headers: dict[str, str]) -> bool:
 
 
 def payload(block: bytes, headers: dict[str, str]) -> bytes | None:
-    """The body of a stored HTTP response, else the whole block; a revisit has no payload."""
-    if headers.get("warc-type") == "revisit":
-        return None
+    """The body of a stored HTTP response, else the whole block. A revisit has none and is not asked for."""
     if not is_http(headers):
         return block
     head, _, body = block.partition(b"\r\n\r\n")
