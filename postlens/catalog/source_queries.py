@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,14 +205,32 @@ def landing_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.read_landing(spark, _array_files(spark, sf_dir), "*.txt").select(*schemas.RAW.names)
 
 
+def _join_files(it: Iterator[pa.RecordBatch], parts: str, folder: str) -> Iterator[pa.RecordBatch]:
+    """The files that Spark wrote to `parts`, in order, as one file in `folder`."""
+    for batch in it:
+        if len(batch):
+            (store, source), (_, target) = map(fs.FileSystem.from_uri, (parts, folder))
+            store.create_dir(target, recursive=True)
+            names = sorted(f.path for f in store.get_file_info(fs.FileSelector(source))
+                           if f.base_name.startswith("part-"))
+            with store.open_output_stream(f"{target}/all.txt") as out:
+                for name in names:
+                    with store.open_input_stream(name) as file:
+                        while data := file.read(1 << 20):
+                            out.write(data)
+        yield batch
+
+
 def _one_array(spark: SparkSession, sf_dir: str) -> str:
-    """All role postings as one JSON array in one file, whose last element is null."""
-    folder = new_folder(spark, "one-array")
+    """All role postings as one JSON array in one file, whose last element is null. Ranges of them are
+    sorted and written by a task each; the one that puts these files together holds a piece at a time."""
+    parts, folder = new_folder(spark, "array-parts"), new_folder(spark, "one-array")
     rows = _as_raw(inputs.role_postings(spark, sf_dir))
     lines = rows.select(F.col("job_id").cast("long").alias("at"), F.concat(
         F.to_json(F.struct(*(f.name for f in schemas.RAW))), F.lit(",")).alias("value"))
     ends = spark.createDataFrame([(-1, "["), (1 << 62, "null ]")], "at long, value string")
-    lines.unionByName(ends).coalesce(1).sortWithinPartitions("at").select("value").write.text(folder)
+    lines.unionByName(ends).repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(parts)
+    spark.range(1).mapInArrow(lambda it: _join_files(it, parts, folder), "id long").count()
     return folder
 
 

@@ -126,3 +126,18 @@ def test_union_of_runs(spark):
     got = landing.union_runs(("k1", a), ("k2", b)).collect()
     assert sorted((r["query"], r["extra"]) for r in got if r["extra"]) == [("k2", "x")]
     assert len(got) == 2
+
+
+def test_one_array_file_from_parts(tmp_path):
+    """Part files become one file in their order; only pieces are held."""
+    import pyarrow as pa
+    from postlens.catalog import source_queries
+
+    parts, folder = tmp_path / "parts", tmp_path / "one"
+    parts.mkdir()
+    for i, text in enumerate(["[\n", "1,\n" * 900_000, "null ]\n"]):
+        (parts / f"part-{i:05d}-x.txt").write_text(text)
+    (parts / "_SUCCESS").write_text("")
+    batch = pa.RecordBatch.from_arrays([pa.array([0])], names=["id"])
+    assert [b.num_rows for b in source_queries._join_files(iter([batch]), str(parts), str(folder))] == [1]
+    assert (folder / "all.txt").read_text() == "[\n" + "1,\n" * 900_000 + "null ]\n"
