@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.session import spread
+from postlens.session import spread, spread_small
 from postlens.taxonomy import Taxonomy
 
 # Terms for the invented prose of `documents` and `conversations`.
@@ -134,7 +134,7 @@ def _derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def role_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw postings derived from `part`."""
-    return _derive(texts(spark, sf_dir, "part"), ROLE_COLUMNS)
+    return _derive(spread_small(table(spark, sf_dir, "part")), ROLE_COLUMNS)
 
 
 ROLE_SQL = select_sql(ROLE_COLUMNS, "part")

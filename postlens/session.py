@@ -133,6 +133,10 @@ def drop_staged(spark: SparkSession) -> int:
     return len(paths)
 
 
+#: Tasks for each core where a few small files make much work.
+TASKS_A_CORE = 4
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal a scan's rows over as many tasks as `spark.postlens.spread` says, if the session sets it.
 
@@ -142,3 +146,16 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     tasks = scan.sparkSession.conf.get("spark.postlens.spread", None)
     return scan.repartition(int(tasks)) if tasks else scan
+
+
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Deal rows that are short themselves but make long work over all cores.
+
+    A row group of a million short rows is a few MB, so no split size at the reader parts it, and all
+    that is derived from them would be one task's. Unlike `spread` it needs no setting: what moves is
+    small. `spark.postlens.spread` holds here too.
+    """
+    spark = scan.sparkSession
+    if spark.conf.get("spark.postlens.spread", None):
+        return spread(scan)
+    return scan.repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism)

@@ -141,3 +141,22 @@ def test_one_array_file_from_parts(tmp_path):
     batch = pa.RecordBatch.from_arrays([pa.array([0])], names=["id"])
     assert [b.num_rows for b in source_queries._join_files(iter([batch]), str(parts), str(folder))] == [1]
     assert (folder / "all.txt").read_text() == "[\n" + "1,\n" * 900_000 + "null ]\n"
+
+
+def test_short_rows_are_dealt_over_all_cores(spark, tmp_path):
+    """One row group of parts, whose postings are long, is no single task's work."""
+    from postlens.catalog import inputs
+
+    spark.range(2000).selectExpr(
+        "id AS p_partkey", "concat('name ', id) AS p_name", "'Brand#1' AS p_brand", "'T' AS p_type",
+        "cast(id % 50 AS int) AS p_size", "1.5D AS p_retailprice") \
+        .coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    set_to = spark.conf.get("spark.postlens.spread")
+    spark.conf.unset("spark.postlens.spread")
+    try:
+        rows = inputs.role_postings(spark, str(tmp_path))
+        tasks = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(tasks) >= spark.sparkContext.defaultParallelism and sum(tasks) == 2000
+        assert max(tasks) < 500
+    finally:
+        spark.conf.set("spark.postlens.spread", set_to)
