@@ -78,6 +78,9 @@ def fill(template: str, **places: Column) -> Column:
     return F.concat(*parts)
 
 
+#: Positions that are found without sorting the table.
+FIRST = 10_000
+
 #: What a prompt takes from a posting.
 PROMPT_COLUMNS = ["title", "company", "location", "skills_extracted", "description_clean"]
 
@@ -133,10 +136,13 @@ def find_posting(df: DataFrame, title: str, company: str, order: list[Column | s
 def posting_at(df: DataFrame, index: int, order: list[Column | str]) -> DataFrame:
     """The posting at a position of the ordered table.
 
-    The table is sorted into ranges; their row counts tell which range holds the position, and only
-    that one is looked through.
+    Up to `FIRST` each task keeps its first rows only. For a later one the table is sorted into ranges;
+    their row counts tell which range holds the position, and only that one is looked through. The
+    ranges' limits come from a pass of their own, so the table is staged before.
     """
-    ranged = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()),
+    if index < FIRST:
+        return df.orderBy(*order).offset(index).limit(1)
+    ranged = stage(stage(df, "ordered").repartitionByRange(*order).withColumn("_range", F.spark_partition_id()),
                    "ranges")
     for r in ranged.groupBy("_range").count().orderBy("_range").toLocalIterator():
         if index < r["count"]:

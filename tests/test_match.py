@@ -181,3 +181,14 @@ def test_text_moves_once(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_position_without_sorting_all(spark, monkeypatch):
+    """A position near the top is found by each task's first rows, a later one by ranges; both alike."""
+    rows = spark.createDataFrame([(f"j{i % 97}", i) for i in range(300)], "title string, n long")
+    order = [F.col("title").asc_nulls_last(), "n"]
+    near = reports.posting_at(rows, 250, order)
+    assert "TakeOrderedAndProject" in near._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(reports, "FIRST", 0)
+    assert near.collect() == reports.posting_at(rows, 250, order).collect()
+    assert reports.posting_at(rows, 300, order).collect() == []
