@@ -15,7 +15,7 @@ from postlens.catalog.text_queries import document_tagged, flat, role_tagged
 from postlens.functions.labels import match_label
 from postlens.operators import match, reports, roles
 from postlens.plans.matching import gap_prompts, resume_skills
-from postlens.session import new_folder
+from postlens.session import new_folder, spread_small, stage
 from postlens.sources import resumes as resume_source
 
 DOCS, ROLES = checks.DOCUMENT_TAGGED, checks.ROLE_TAGGED
@@ -73,11 +73,12 @@ def _write_files(it: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
   length(regexp_replace(text, '^{checks.SPACE}+|{checks.SPACE}+$', '', 'g')) >= 100 AS usable
   FROM ({inputs.RESUME_SQL})""")
 def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Résumés as files with broken bytes, read back."""
+    """Résumés as files with broken bytes, read back. Each file is listed and opened once: what is read is
+    staged for the three passes over it."""
     folder = new_folder(spark, "resume-files")
-    inputs.resumes(spark, sf_dir).filter(F.col("text").isNotNull()) \
+    spread_small(inputs.resumes(spark, sf_dir).filter(F.col("text").isNotNull()), "resume_id") \
         .mapInArrow(lambda it: _write_files(it, folder), "resume_id long").count()
-    found = resume_source.read_resumes(spark, folder)
+    found = stage(resume_source.read_resumes(spark, folder), "resume-texts")
     fit = resume_source.usable(found).select("resume_id", F.lit(True).alias("usable"))
     short = resume_source.too_short(found).select("resume_id", F.lit(False).alias("usable"))
     return found.select("resume_id", F.md5("text").alias("text_md5")) \

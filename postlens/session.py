@@ -148,14 +148,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(int(tasks)) if tasks else scan
 
 
-def spread_small(scan: DataFrame) -> DataFrame:
-    """Deal rows that are short themselves but make long work over all cores.
+def spread_small(scan: DataFrame, *by: str) -> DataFrame:
+    """Deal rows that are short themselves but make long work over all cores; rows equal in `by`, if named,
+    to one task.
 
     A row group of a million short rows is a few MB, so no split size at the reader parts it, and all
     that is derived from them would be one task's. Unlike `spread` it needs no setting: what moves is
     small. `spark.postlens.spread` holds here too.
     """
     spark = scan.sparkSession
-    if spark.conf.get("spark.postlens.spread", None):
-        return spread(scan)
-    return scan.repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    tasks = spark.conf.get("spark.postlens.spread", None) or TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    return scan.repartition(int(tasks), *by)

@@ -192,3 +192,15 @@ def test_position_without_sorting_all(spark, monkeypatch):
     monkeypatch.setattr(reports, "FIRST", 0)
     assert near.collect() == reports.posting_at(rows, 250, order).collect()
     assert reports.posting_at(rows, 300, order).collect() == []
+
+
+def test_resume_files_are_opened_once(spark, tmp_path):
+    """What is read of the files is staged, so that no later pass opens them again."""
+    from postlens.catalog import match_queries
+
+    text = "experienced worker " * 8
+    spark.createDataFrame([(1, 1, text), (2, 1, "short"), (3, 1, None)], "conv_id long, turn int, text string") \
+        .coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = match_queries.resume_files(spark, str(tmp_path))
+    assert not any(f.endswith(".txt") for f in out.inputFiles())
+    assert sorted((r["resume_id"], r["usable"]) for r in out.collect()) == [("1001", True), ("2001", False)]
