@@ -25,7 +25,7 @@ def role_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.document_postings(spark, sf_dir)
     found = text.search_text(F.col("title"), F.col("description_clean"))
-    return skill_fn.with_skills(docs, found, inputs.PROSE_TERMS)
+    return skill_fn.with_skills(docs, found, inputs.PROSE_TERMS, long_texts=True)
 
 
 def flat(df: DataFrame) -> DataFrame:

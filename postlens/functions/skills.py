@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache, reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import automaton
 from postlens.functions.text import fold_case
-from postlens.taxonomy import ROLE_SKILLS, Taxonomy, Term, compile_taxonomy, jvm_regex
+from postlens.taxonomy import ROLE_SKILLS, Taxonomy, Term, compile_taxonomy, jvm_regex, python_regex
 
 # Patterns that are compiled into the plan.
 GENERATED = 400
@@ -50,6 +52,35 @@ def skill_names(folded: Column, taxonomy: Taxonomy = ROLE_SKILLS) -> Column:
     return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
 
 
+def skill_names_long(folded: Column, taxonomy: Taxonomy = ROLE_SKILLS) -> Column:
+    """The same for long texts, of which each test would decode and walk through the whole: a text is
+    decoded once, Python's search goes through it several times as fast, and a pattern is tried only
+    where its needles occur."""
+    tests = [(skill, [(t.needles, t.regex and python_regex(t.regex)) for t in terms])
+             for skill, terms in compile_taxonomy(taxonomy).items()]
+
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        ready = [(skill, [(needles, regex and re.compile(regex)) for needles, regex in terms])
+                 for skill, terms in tests]
+
+        def one(text: str | None) -> list[str]:
+            out = []
+            if text is None:
+                return out
+            for skill, terms in ready:
+                for needles, regex in terms:
+                    if all(any(n in text for n in group) if len(group) > 1 else group[0] in text
+                           for group in needles) and (regex is None or regex.search(text)):
+                        out.append(skill)
+                        break
+            return out
+
+        return pa.array([one(t.as_py()) for t in texts], pa.list_(pa.string()))
+
+    return found(folded)
+
+
 @lru_cache(maxsize=1)
 def _digit_forms() -> tuple[str, str]:
     """Decimal digits of every script, and the ASCII digit each stands for."""
@@ -73,14 +104,16 @@ def band_edge(numbers: Column, place: int) -> Column:
     return F.get(numbers, F.lit(place)).try_cast("int")
 
 
-def with_skills(df: DataFrame, text: Column, taxonomy: Taxonomy = ROLE_SKILLS) -> DataFrame:
+def with_skills(df: DataFrame, text: Column, taxonomy: Taxonomy = ROLE_SKILLS,
+                long_texts: bool = False) -> DataFrame:
     """Add skills_extracted and skill_count.
 
     The folded text gets its own projection, so it is made once per row and not once per pattern.
     """
+    names = skill_names_long if long_texts else skill_names
     return (
         df.withColumn("_folded", fold_case(text))
-        .withColumn("skills_extracted", skill_names(F.col("_folded"), taxonomy))
+        .withColumn("skills_extracted", names(F.col("_folded"), taxonomy))
         .withColumn("skill_count", F.size("skills_extracted"))
         .drop("_folded")
     )

@@ -101,12 +101,14 @@ def _batches(it: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
             yield _matrix(b["places"], b["values"], width)
 
 
-def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, rounded so that ties are ties whatever else is computed along with them."""
-    apart = x @ (-2 * centres.T)
-    apart += (x * x).sum(axis=1)[:, None]
-    apart += (centres * centres).sum(axis=1)
-    return np.maximum(np.round(apart, 9, out=apart), 0, out=apart)
+def _apart(x: np.ndarray, centres: np.ndarray, square: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances, rounded so that ties are ties whatever else is computed along with them.
+
+    They lie in memory centre by centre."""
+    apart = (-2 * centres) @ x.T
+    apart += (x * x).sum(axis=1) if square is None else square
+    apart += (centres * centres).sum(axis=1)[:, None]
+    return np.maximum(np.round(apart, 9, out=apart), 0, out=apart).T
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -139,16 +141,23 @@ def _step(data: DataFrame, fits: list[Fit], width: int, wide: bool) -> None:
         cost, any_rows = np.zeros(len(parts), np.int64), False
         for x in _batches(it, width):
             any_rows, at = True, np.arange(len(x))
-            apart = _apart(x, centres)
-            # row by row the nearest centre of every fit
-            own = np.column_stack([apart[:, b:e].argmin(axis=1) + b for b, e in parts])
-            cost += np.rint(apart[at[:, None], own] / GRID).astype(np.int64).sum(axis=0)
+            square = (x * x).sum(axis=1)
+            apart = _apart(x, centres, square).T
+            # fit by fit the nearest centre of every row; the first of those equally near
+            own = np.empty((len(parts), len(x)), np.int64)
+            for (b, e), to in zip(parts, own, strict=True):
+                least = apart[b].copy()
+                to[:] = b
+                for j in range(b + 1, e):
+                    to[apart[j] < least] = j
+                    np.minimum(least, apart[j], out=least)
+            cost += np.rint(apart[own, at] / GRID).astype(np.int64).sum(axis=1)
             members = np.zeros((len(centres), len(x)))
-            members[own.T, at] = 1
-            # whole numbers far below 2^53, so these sums are exact
-            sums += (members @ (x / GRID)).astype(np.int64)
+            members[own, at] = 1
+            # multiples of the grid that are far below 2^53 of it, so these sums are exact
+            sums += (members @ x / GRID).astype(np.int64)
             counts += members.sum(axis=1).astype(np.int64)
-            squares += (members @ np.rint((x * x).sum(axis=1) / GRID)).astype(np.int64)
+            squares += (members @ np.rint(square / GRID)).astype(np.int64)
         if any_rows:
             n = len(parts)
             yield pa.RecordBatch.from_arrays(

@@ -2,24 +2,25 @@
 
 Two forms with the same numbers. The table form gives one (doc, term, weight) row per non-zero
 cell, the vector form MLlib vectors for the clustering jobs. Terms are counted inside the row they
-occur in, so no shuffle carries tokens: the vocabulary shuffles one partial row per term and task,
-and the weights nothing.
+occur in, a few MB of text at a time, so no shuffle carries tokens: the vocabulary shuffles one partial
+row per term and task, and the weights nothing.
+
+The column of words is an array, or a string with a space between two words, which costs a fraction of
+the array wherever it is written, read or passed to Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import (
-    CountVectorizerModel,
-    ElementwiseProduct,
-    Normalizer,
-    StopWordsRemover,
-)
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ MAX_SHARE = 0.7
 # Bits of the constant by which tasks know frequent words. Its size does not follow the corpus: two
 # words of one bit only let a few more pairs be counted.
 WORD_BITS = 1 << 18
+# Bytes of words counted at once.
+SLICE_BYTES = 8 << 20
 
 
 def english_stop_words() -> list[str]:
@@ -53,6 +56,89 @@ def with_words(df: DataFrame, text: Column, stop_words: Sequence[str] | None = N
     return df.withColumn(out, F.filter(words, lambda w: ~w.isin(stops)) if stops else words)
 
 
+def with_word_line(df: DataFrame, text: Column, stop_words: Sequence[str] | None = None,
+                   out: str = "words") -> DataFrame:
+    """As `with_words`, the words in one string with a space between them; null for a null text."""
+    stops = pa.array(english_stop_words() if stop_words is None else list(stop_words), pa.string())
+
+    @F.arrow_udf("string")
+    def line(texts: pa.Array) -> pa.Array:
+        done = [pa.array([], pa.string())]
+        for part in _slices(texts):
+            found = pc.split_pattern(pc.replace_substring_regex(part, r"[^\pL\pN_]+", " "), " ")
+            sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            words = found.flatten()
+            kept = pc.and_(pc.greater(pc.utf8_length(words), 1), pc.invert(pc.is_in(words, stops)))
+            ends = np.cumsum(np.bincount(np.repeat(np.arange(len(part)), sizes), minlength=len(part),
+                                         weights=kept.to_numpy(zero_copy_only=False)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), words.filter(kept))
+            lines = pc.binary_join(lists, " ")
+            done.append(pc.if_else(part.is_valid(), lines, pa.scalar(None, pa.string())))
+        return pa.concat_arrays(done)
+
+    return df.withColumn(out, line(F.lower(text)))
+
+
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a column of about `SLICE_BYTES`, a row at least."""
+    if not len(column):
+        return
+    if pa.types.is_list(column.type):  # some 8 bytes a word
+        sizes = pc.multiply(pc.list_value_length(column), 8)
+    else:
+        sizes = pc.binary_length(column)
+    total = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.append(np.flatnonzero(np.diff(total // SLICE_BYTES)) + 1, len(column))
+    at = 0
+    for end in ends.tolist():
+        yield column.slice(at, end - at)
+        at = end
+
+
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The row of each word, its number among the different words (-1: null), and these."""
+    lists = column if pa.types.is_list(column.type) else pc.split_pattern(column, " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    rows, words = np.repeat(np.arange(len(column)), sizes), lists.flatten()
+    if lists is not column:  # an empty line splits into one empty word
+        there = pc.not_equal(words, "")
+        rows, words = rows[there.to_numpy(zero_copy_only=False)], words.filter(there)
+    coded = words.dictionary_encode()
+    return rows, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _counted(rows: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows each of n terms occurs, and how often."""
+    keys, tf = np.unique(rows * n + ids, return_counts=True)
+    ids = keys % n
+    return np.bincount(ids, minlength=n), np.bincount(ids, weights=tf, minlength=n).astype(np.int64)
+
+
+def _single_counts(column: pa.Array) -> pa.RecordBatch:
+    rows, ids, words = _coded(column)
+    there = ids >= 0
+    df, cf = _counted(rows[there], ids[there], max(len(words), 1))
+    return pa.RecordBatch.from_arrays(
+        [words, pa.array(df[:len(words)]), pa.array(cf[:len(words)])], names=["term", "df", "cf"])
+
+
+def _pair_counts(column: pa.Array, marked: np.ndarray | None) -> pa.RecordBatch:
+    """Pairs of marked words, or all."""
+    rows, ids, words = _coded(column)
+    used = np.ones(len(words) + 1, bool)
+    if marked is not None:
+        used[:-1] = marked[[zlib.crc32(w) % len(marked) for w in words.cast(pa.binary()).to_pylist()]]
+    used[-1] = False  # null words have number -1
+    good = used[ids]
+    at = np.flatnonzero((rows[1:] == rows[:-1]) & good[1:] & good[:-1])
+    pairs, own = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True)
+    first, second = (words.take(pa.array(x, pa.int64())) for x in np.divmod(pairs, max(len(words), 1)))
+    df, cf = _counted(rows[at], own, max(len(pairs), 1))
+    return pa.RecordBatch.from_arrays(
+        [pc.binary_join_element_wise(first, second, " "), pa.array(df[:len(pairs)]), pa.array(cf[:len(pairs)])],
+        names=["term", "df", "cf"])
+
+
 def word_pairs(words: Column) -> Column:
     """Adjacent words joined by a space. A null word makes no pair."""
     return F.array_compact(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)),
@@ -97,33 +183,35 @@ def vocabulary(df: DataFrame, doc: str, n_docs: int, words: str = "words",
     def most_frequent(counts: DataFrame) -> DataFrame:
         return fitting(counts).orderBy(F.desc("cf"), "term").limit(max_terms)
 
-    singles = stage(_totals(term_counts(df, doc, F.col(words))), "words")
+    singles = stage(_totals(df, words, _single_counts), "words")
     found, least = most_frequent(singles).agg(F.count("*"), F.min("cf")).first()
-    paired = F.col(words)
+    marked = None
     if found == max_terms:
         marked = bit_set(singles.filter(F.col("cf") >= least).select(word_bit("term").alias("b")))
-        paired = F.transform(paired, lambda w: F.when(F.call_function(
-            "shiftright", F.get(marked, F.shiftright(word_bit(w), 5)), word_bit(w).bitwiseAND(31))
-            .bitwiseAND(1) == 1, w))
-    pairs = df.select(doc, paired.alias("_paired")) \
-        .select(doc, word_pairs(F.col("_paired")).alias("_pairs"))
-    return most_frequent(singles.unionByName(_totals(term_counts(pairs, doc, F.col("_pairs")))))
+    return most_frequent(singles.unionByName(
+        _totals(df, words, lambda column: _pair_counts(column, marked))))
 
 
 def word_bit(word: Column | str) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(WORD_BITS)).cast("int")
+    return F.pmod(F.crc32(word), F.lit(WORD_BITS)).cast("int")
+
 
+def bit_set(bits: DataFrame) -> np.ndarray:
+    """Which of the bits are among `b`; at most `WORD_BITS` come here."""
+    marked = np.zeros(WORD_BITS, bool)
+    marked[[b for (b,) in bits.distinct().collect()]] = True
+    return marked
 
-def bit_set(bits: DataFrame) -> Column:
-    """A constant array of 32-bit words with the bits of `b` set; at most `WORD_BITS` come here."""
-    marked = np.zeros(WORD_BITS // 32, np.uint32)
-    for (b,) in bits.distinct().collect():
-        marked[b >> 5] |= np.uint32(1) << np.uint32(b & 31)
-    return F.split(F.lit(",".join(map(str, marked.tolist()))), ",").cast("array<bigint>")
 
+def _totals(df: DataFrame, words: str, counts: Callable[[pa.Array], pa.RecordBatch]) -> DataFrame:
+    """(term, df, cf) over all rows."""
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in _slices(batch.column(0)):
+                yield counts(part)
 
-def _totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return df.select(words).mapInArrow(counted, "term string, df long, cf long") \
+        .groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def tfidf(df: DataFrame, doc: str, words: str = "words", max_terms: int = MAX_TERMS,
@@ -153,23 +241,61 @@ class TermModel:
 
     def transform(self, df: DataFrame, words: str = "words", out: str = "features",
                   counts: str | None = None) -> DataFrame:
-        """Add the weights as vector `out`, and if named the counts."""
-        counter = CountVectorizerModel.from_vocabulary(
-            self.vocabulary, inputCol="_terms", outputCol="_tf")
-        scaled = ElementwiseProduct(scalingVec=DenseVector(self.weights), inputCol="_tf",
-                                    outputCol="_scaled")
-        unit = Normalizer(p=2.0, inputCol="_scaled", outputCol=out)
-        counted = counter.transform(df.withColumn("_terms", all_terms(F.col(words))))
-        done = unit.transform(scaled.transform(counted)).drop("_terms", "_scaled")
-        return done.withColumnRenamed("_tf", counts) if counts else done.drop("_tf")
+        """Add the weights as vector `out`, and if named the counts. A null gives an empty vector."""
+        done = df.withColumn(out, self._vectors(weighted=True)(F.col(words)))
+        return done.withColumn(counts, self._vectors(weighted=False)(F.col(words))) if counts else done
+
+    def _vectors(self, weighted: bool) -> Callable[[Column], Column]:
+        n, weights, singles = len(self.vocabulary), self.weights, pa.array(self.vocabulary, pa.string())
+        # the two words of a pair, wherever a term can be parted
+        parted = [(t[:i], t[i + 1:], v) for v, t in enumerate(self.vocabulary) for i, c in enumerate(t) if c == " "]
+        parts = pa.array(sorted({w for a, b, _ in parted for w in (a, b)}), pa.string())
+        number = {w: i for i, w in enumerate(parts.to_pylist())}
+        pairs = sorted((number[a] * len(parts) + number[b], v) for a, b, v in parted)
+        pair_keys, pair_terms = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+
+        def looked_up(words: pa.Array, among: pa.Array) -> np.ndarray:
+            """Places of the words, -1 for others and for null words, whose number is -1."""
+            at = pc.fill_null(pc.index_in(words, among), -1).to_numpy(zero_copy_only=False)
+            return np.append(at, -1).astype(np.int64)
+
+        def cells(column: pa.Array) -> pa.Array:
+            rows, ids, words = _coded(column)
+            own, part = looked_up(words, singles)[ids], looked_up(words, parts)[ids]
+            found = np.flatnonzero(own >= 0)
+            keys = [rows[found] * n + own[found]]
+            at = np.flatnonzero((rows[1:] == rows[:-1]) & (part[1:] >= 0) & (part[:-1] >= 0)) if pairs else []
+            if len(at):
+                key = part[at] * len(parts) + part[at + 1]
+                place = np.minimum(np.searchsorted(pair_keys, key), len(pair_keys) - 1)
+                hit = pair_keys[place] == key
+                keys.append(rows[at[hit]] * n + pair_terms[place[hit]])
+            keys, tf = np.unique(np.concatenate(keys), return_counts=True)
+            row, term = np.divmod(keys, n)
+            values = tf.astype(float)
+            if weighted:
+                values *= weights[term]
+                values /= np.sqrt(np.bincount(row, weights=values * values, minlength=len(column)))[row]
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(column)))), pa.int32())
+            return pa.StructArray.from_arrays(
+                [pa.array(np.zeros(len(column), np.int8)), pa.array(np.full(len(column), n, np.int32)),
+                 pa.ListArray.from_arrays(ends, pa.array(term, pa.int32())),
+                 pa.ListArray.from_arrays(ends, pa.array(values))],
+                names=["type", "size", "indices", "values"])
+
+        @F.arrow_udf(VectorUDT())
+        def vectors(column: pa.Array) -> pa.Array:
+            return pa.concat_arrays([cells(part) for part in _slices(column)] or [cells(column)])
+
+        return vectors
 
 
 def fit_terms(df: DataFrame, doc: str, words: str = "words", max_terms: int = MAX_TERMS,
               min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> TermModel:
     """Fit vocabulary and weights. At most `max_terms` rows come to the driver.
 
-    MLlib's IDF lacks the trailing +1 and its CountVectorizer settles ties by chance, so only their
-    fitted forms are used. If no term is kept, the one empty term marks nothing.
+    MLlib's IDF lacks the trailing +1 and its CountVectorizer settles ties by chance, so neither is used.
+    If no term is kept, the one empty term marks nothing.
     """
     n_docs = df.count()
     rows = vocabulary(df, doc, n_docs, words, max_terms, min_docs, max_share).collect()

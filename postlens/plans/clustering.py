@@ -18,7 +18,7 @@ from postlens.operators.roles import (
     project_2d,
     sweep_k,
 )
-from postlens.operators.terms import TermModel, corpus_text, fit_terms, with_words
+from postlens.operators.terms import TermModel, corpus_text, fit_terms, with_word_line
 from postlens.session import stage
 
 
@@ -56,7 +56,7 @@ def cluster_postings(clean: DataFrame, doc: str = "job_id", ks: Iterable[int] =
     sweep is used as it is: it has converged, so fitting it again would change nothing.
     """
     text = corpus_text(F.col("title"), F.col("skills_extracted"), F.col("description_clean"))
-    worded = stage(with_words(clean, text, stop_words), "words")
+    worded = stage(with_word_line(clean, text, stop_words), "words")
     model = fit_terms(worded, doc, **features)
     vectors = stage(model.transform(worded).drop("words"), "vectors")
     sweep = sweep_k(vectors, doc, ks, restarts)

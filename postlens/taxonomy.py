@@ -151,6 +151,14 @@ def jvm_regex(pattern: str) -> str:
     return flags + pattern
 
 
+def python_regex(regex: str) -> str:
+    """What `jvm_regex` gave, in Python's own terms: its word characters are the same, `.` stops at
+    '\\n' only."""
+    flags, body = ("(?i)", regex.removeprefix("(?iUd)")) if regex.startswith("(?i") \
+        else ("", regex.removeprefix("(?Ud)"))
+    return flags + body.replace(_WORD, r"\w")
+
+
 def compile_term(pattern: str) -> Term:
     if _LITERAL.fullmatch(pattern):
         return Term(((re.sub(r"\\(.)", r"\1", pattern).lower(),),), None)

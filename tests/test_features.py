@@ -154,3 +154,67 @@ def test_sweep_against_plain_fits(spark):
     assert len(sweep.models[5].centres) == 2 and sweep.best_k == 2
     with pytest.raises(ValueError):
         roles.sweep_k(few.where("id < 0"), "id", [2], 1)
+
+
+def test_word_lines_give_the_same_as_arrays(spark, monkeypatch):
+    """Words as one string: the same words, vocabulary, counts and weights, however texts are sliced."""
+    _, rows = corpus(spark)
+    odd = [None, "", "a", "  ", "É é ÉTÉ the été_2, naïve x٣٤ the the", "İstanbul ΣΑΣ straße", "…", "one one one two"]
+    df = spark.createDataFrame([*rows, *((100 + i, t) for i, t in enumerate(odd))], "id long, text string").repartition(3)
+    for size in (terms.SLICE_BYTES, 100):
+        monkeypatch.setattr(terms, "SLICE_BYTES", size)
+        both = [f(df, F.col("text"), ["the"]) for f in (terms.with_words, terms.with_word_line)]
+        arrays, lines = ({r["id"]: r["words"] for r in d.collect()} for d in both)
+        assert {i: None if w is None else " ".join(w) for i, w in arrays.items()} == lines
+        for n in (12, 500):
+            a, b = (terms.fit_terms(d, "id", max_terms=n) for d in both)
+            assert a.vocabulary == b.vocabulary and (a.weights == b.weights).all()
+            x, y = ({r["id"]: (r["f"], r["c"]) for r in a.transform(d, out="f", counts="c").collect()} for d in both)
+            assert x == y and x[100][0].numNonzeros() == 0
+
+
+def test_vectors_are_those_of_mllib(spark):
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import DenseVector
+
+    df, _ = corpus(spark)
+    lines = terms.with_word_line(df, F.col("text"), ["the"])
+    model = terms.fit_terms(lines, "id", max_terms=40)
+    plain = terms.with_words(df, F.col("text"), ["the"]).withColumn("_terms", terms.all_terms(F.col("words")))
+    counted = CountVectorizerModel.from_vocabulary(model.vocabulary, inputCol="_terms", outputCol="c").transform(plain)
+    scaled = ElementwiseProduct(scalingVec=DenseVector(model.weights), inputCol="c", outputCol="s").transform(counted)
+    want = Normalizer(p=2.0, inputCol="s", outputCol="f").transform(scaled).select("id", "c", "f").collect()
+    got = model.transform(lines, out="f", counts="c").select("id", "c", "f").collect()
+    assert sorted(got) == sorted(want)
+
+
+def test_null_words_part_pairs(spark):
+    df = spark.createDataFrame([(i, ["aa", None, "bb", "cc"]) for i in range(3)], "id long, words array<string>")
+    model = terms.fit_terms(df, "id", max_share=1.0)
+    assert set(model.vocabulary) == {"aa", "bb", "cc", "bb cc"}
+    assert {r["features"].numNonzeros() for r in model.transform(df).collect()} == {4}
+    few = terms.fit_terms(df, "id", max_share=1.0, max_terms=3)
+    assert set(few.vocabulary) == {"aa", "bb", "bb cc"}
+
+
+def test_clustering_moves_words_as_strings(spark, tmp_path, monkeypatch):
+    """Arrays of words cost about a microsecond a word wherever they are written or read, tests in the plan
+    a walk through the text each; neither may come back into the clustering job."""
+    from postlens.catalog import text_queries
+    from postlens.plans import clustering
+
+    kinds = {}
+
+    def seen(df, name):
+        kinds.setdefault(name, dict(df.dtypes))
+        return stage(df, name)
+
+    stage = clustering.stage
+    monkeypatch.setattr(clustering, "stage", seen)
+    spark.createDataFrame([(i, f"title {i % 3}\nthe data model {i % 3} token", "en", "web", 20) for i in range(30)],
+                          "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    tagged = text_queries.document_tagged(spark, str(tmp_path))
+    assert "RLIKE" not in tagged._jdf.queryExecution().executedPlan().toString()
+    found = cluster_postings(tagged, "posting_id", ks=[2], restarts=1, stop_words=["the"])
+    assert kinds["words"]["words"] == "string" and found.table().count() == 30

@@ -100,3 +100,21 @@ def test_spans(column):
         "very scalable and Scala", "excel excel", "a\nb scala\nc", "none", None])
     assert got == [["ry scalable"[:8 + 3], "nd scala"], ["excel ex", "el excel"], ["b scala"], [],
                    None]
+
+
+def test_long_texts_get_the_same_skills(column):
+    import random
+
+    from postlens.catalog.inputs import PROSE_TERMS
+    from postlens.functions.text import fold_case
+    from postlens.taxonomy import ROLE_SKILLS, compile_taxonomy
+
+    rng = random.Random(3)
+    for taxonomy in (PROSE_TERMS, ROLE_SKILLS, {"Odd": {"cased": ["C[a-c]T"], "space": [r"a\sb"], "all": [r"q?"]}}):
+        needles = [n for ts in compile_taxonomy(taxonomy).values() for t in ts for g in t.needles for n in g]
+        joints = ["", " ", "\n", "_", "é", ".", "́", "3", "\x1c", "’"]
+        texts = ["".join(rng.choice(needles + ["stat", "years", "cbt", "a", "b", "İ", "ſ"]) + rng.choice(joints)
+                         for _ in range(rng.randint(0, 9))) for _ in range(400)] + [None, ""]
+        plain, long = (column(lambda c: f(fold_case(c), taxonomy), texts)
+                       for f in (skills.skill_names, skills.skill_names_long))
+        assert plain == long
