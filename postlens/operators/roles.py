@@ -34,6 +34,8 @@ TOLERANCE = 1e-4
 GRID = 2.0 ** -30
 # Rows worked on at once.
 ROWS = 2048
+# Cells are added up one by one where less than one in so many is not zero, else by a product of matrices.
+SPARSE = 4
 # Tasks whose results are added up in one go.
 WIDTH = 64
 
@@ -94,11 +96,31 @@ def _matrix(places: pa.Array, values: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _batches(it: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+BLOCKS = "sizes binary, places binary, steps binary"
+
+
+def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Several vectors in one row: how many cells each has, their places, and their values in multiples of
+    the grid. A pass then moves them without a look at each cell."""
     for batch in it:
         for at in range(0, len(batch), ROWS):
-            b = batch.slice(at, ROWS)
-            yield _matrix(b["places"], b["values"], width)
+            places, values = (batch[c].slice(at, ROWS) for c in ("places", "values"))
+            sizes = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int32)
+            cells = (sizes, places.flatten().to_numpy(), np.rint(values.flatten().to_numpy() / GRID))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells],
+                                             names=["sizes", "places", "steps"])
+
+
+def _batches(it: Iterator[pa.RecordBatch], width: int) \
+        -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows as a matrix on the grid; row, place and multiple of the grid of each cell."""
+    for batch in it:
+        for row in zip(*batch.columns, strict=True):
+            sizes, places, steps = (np.frombuffer(x.as_buffer(), kind) for x, kind in
+                                    zip(row, (np.int32, np.int32, np.float64), strict=True))
+            out, rows = np.zeros((len(sizes), width)), np.repeat(np.arange(len(sizes)), sizes)
+            out[rows, places] = steps * GRID
+            yield out, rows, places, steps
 
 
 def _apart(x: np.ndarray, centres: np.ndarray, square: np.ndarray | None = None) -> np.ndarray:
@@ -139,7 +161,7 @@ def _step(data: DataFrame, fits: list[Fit], width: int, wide: bool) -> None:
         sums = np.zeros(centres.shape, np.int64)
         counts, squares = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
         cost, any_rows = np.zeros(len(parts), np.int64), False
-        for x in _batches(it, width):
+        for x, rows, places, steps in _batches(it, width):
             any_rows, at = True, np.arange(len(x))
             square = (x * x).sum(axis=1)
             apart = _apart(x, centres, square).T
@@ -152,12 +174,20 @@ def _step(data: DataFrame, fits: list[Fit], width: int, wide: bool) -> None:
                     to[apart[j] < least] = j
                     np.minimum(least, apart[j], out=least)
             cost += np.rint(apart[own, at] / GRID).astype(np.int64).sum(axis=1)
-            members = np.zeros((len(centres), len(x)))
-            members[own, at] = 1
-            # multiples of the grid that are far below 2^53 of it, so these sums are exact
-            sums += (members @ x / GRID).astype(np.int64)
-            counts += members.sum(axis=1).astype(np.int64)
-            squares += (members @ np.rint(square / GRID)).astype(np.int64)
+            # whole numbers far below 2^53, so these sums are exact, in whatever order
+            if len(places) * SPARSE < x.size:
+                for (b, e), to in zip(parts, own, strict=True):
+                    cells = ((to - b) * width)[rows] + places
+                    sums[b:e] += np.bincount(cells, weights=steps, minlength=(e - b) * width) \
+                        .reshape(e - b, width).astype(np.int64)
+            else:
+                members = np.zeros((len(centres), len(x)))
+                members[own, at] = 1
+                sums += (members @ (x / GRID)).astype(np.int64)
+            flat = own.ravel()
+            counts += np.bincount(flat, minlength=len(centres))
+            squares += np.bincount(flat, weights=np.tile(np.rint(square / GRID), len(parts)),
+                                   minlength=len(centres)).astype(np.int64)
         if any_rows:
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
@@ -203,7 +233,7 @@ def sweep_k(df: DataFrame, doc: str, ks: Iterable[int] = K_RANGE, restarts: int
     Without rows there is nothing to fit: a ValueError.
     """
     cells = df.select(doc, *_cells(features), F.unwrap_udt(features)["size"].alias("size"))
-    data = cells.select("places", "values").persist()
+    data = cells.select("places", "values").mapInArrow(_blocks, BLOCKS).persist()
     try:
         some = cells.orderBy(F.xxhash64(doc), doc).limit(START_ROWS).toArrow()
         if not len(some):
@@ -238,7 +268,7 @@ def _silhouettes(data: DataFrame, fits: dict[int, Fit], width: int) -> dict[int,
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = dict.fromkeys(fits, 0.0), 0
-        for x in _batches(it, width):
+        for x, *_ in _batches(it, width):
             n += len(x)
             for k, f in fits.items():
                 held = np.flatnonzero(f.counts)

@@ -218,3 +218,39 @@ def test_clustering_moves_words_as_strings(spark, tmp_path, monkeypatch):
     assert "RLIKE" not in tagged._jdf.queryExecution().executedPlan().toString()
     found = cluster_postings(tagged, "posting_id", ks=[2], restarts=1, stop_words=["the"])
     assert kinds["words"]["words"] == "string" and found.table().count() == 30
+
+
+def test_slices_are_all_rows_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(terms, "SLICE_BYTES", 100)
+    texts = pa.array(["a" * 60, None, "", "b" * 250, "c", "d" * 99], pa.string())
+    for column in (texts, pa.array([["w"] * 9, None, [], ["x"] * 30, ["y"]], pa.list_(pa.string()))):
+        parts = list(terms._slices(column))
+        assert len(parts) > 1 and pa.concat_arrays(parts).equals(column)
+    assert list(terms._slices(texts.slice(0, 0))) == []
+
+
+def test_sums_by_cell_and_by_product_agree(spark, monkeypatch):
+    df, _ = corpus(spark)
+    vectors = terms.fit_terms(terms.with_word_line(df, F.col("text"), ["the"]), "id")
+    vectors = vectors.transform(terms.with_word_line(df, F.col("text"), ["the"])).repartition(3)
+
+    def fits(sparse):
+        monkeypatch.setattr(roles, "SPARSE", sparse)
+        sweep = roles.sweep_k(vectors, "id", [2, 3, 5], 3)
+        return sweep.scores, {k: (f.cost, f.centres.tobytes(), f.squares.tolist()) for k, f in sweep.models.items()}
+
+    assert fits(0) == fits(10 ** 9)
+
+
+def test_blocks_hold_the_vectors():
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([[0, 2], [], [1]], pa.list_(pa.int32())), pa.array([[0.5, 1.0], [], [-2.0]])], names=["places", "values"])
+    blocks = list(roles._blocks(iter([batch])))
+    assert [b.num_rows for b in blocks] == [1]
+    [(x, *_)] = roles._batches(iter(blocks), 3)
+    assert np.array_equal(x, [[0.5, 0, 1.0], [0, 0, 0], [0, -2.0, 0]])
