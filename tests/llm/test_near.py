@@ -129,6 +129,85 @@ def test_vectors(spark):
     assert vector_join.near_copies(df.selectExpr("*", "1 AS rep", "2 AS cell")).count() == len(rows)
 
 
+def clustered(n, dim, seed, spread):
+    """Vectors around few directions, some of them side by side along a chain."""
+    r = np.random.default_rng(seed)
+    base = r.normal(size=(7, dim))
+    x = base[r.integers(0, 7, n)] + r.normal(size=(n, dim)) * spread
+    x[:20] = base[0] + np.arange(20)[:, None] * base[1] * 0.1
+    return x
+
+
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    """Cells of several blocks, groups of several blocks, and vectors longer than a sketch."""
+    monkeypatch.setattr(vector_join, "HELD", 100)
+    rows = [(i, v.tolist(), "ab"[i % 5 == 0]) for i, v in enumerate(clustered(240, 9, 4, 0.07))]
+    rows += [(1000 + i, v.tolist(), "a") for i, v in enumerate(clustered(40, 300, 5, 0.07))]
+    rows += [(2000, rows[3][1], "b"), (2001, rows[3][1], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    check_vectors(df, cell=4)
+    check_vectors(df)
+
+
+def test_vectors_move_to_few_places(spark):
+    """What is staged does not grow with the cells or blocks that a vector's neighbours may lie in."""
+    from postlens import session
+
+    n, dim = 20_000, 64
+    x = np.random.default_rng(6).normal(size=(n, dim)).astype(np.float32)
+    x[1::100] = x[::100] + np.float32(0.01)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())],
+                               "vec_id long, embedding array<float>, label int")
+    app = spark.sparkContext.applicationId
+    before = len(session._STAGED.get(app, []))
+    got = vector_join.near_copies(df).agg({"n_links": "sum"}).first()[0]
+    staged = sum(sum(session.files_under(spark, p).values()) for p in session._STAGED[app][before:])
+    assert got == 2 * n // 100
+    assert staged < 1.5 * 4 * n * dim
+
+
+def test_cells_send_one_way():
+    for n in (1, 2, 3, 8, 9):
+        sends = vector_join.sends(n)
+        assert (sends ^ sends.T == ~np.eye(n, dtype=bool)).all()
+        assert sends.sum(axis=0).max() <= n // 2
+
+
+def test_sketches_in_reach(monkeypatch):
+    """Whatever links ends in one tree, among held rows and between them and guests; what is far does not."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector_join, "LEAF", 4)
+    monkeypatch.setattr(vector_join, "CHUNK", 32)
+    monkeypatch.setattr(vector_join, "TILE", 8)
+    for dim, spread in ((3, 0.3), (40, 0.08), (300, 0.08)):
+        x = clustered(300, dim, dim, spread)
+        rows = pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(300)), pa.array(x.tolist()), pa.array(np.full(300, dim, np.int32))],
+            names=["h1", "embedding", "dim"])
+        sketches = list(vector_join.sketched(iter([rows])))
+        assert sum(map(len, sketches)) == 300
+        error = max(b["error"].to_numpy().max() for b in sketches)
+        one = pa.Table.from_batches(sketches).combine_chunks().to_batches()[0]
+        turned = vector_join.unit(x) @ vector_join.axes(dim)
+        scale, q = vector_join.opened(one["sketch"])
+        assert np.linalg.norm(turned - q * scale[:, None], axis=1).max() <= error + 1e-6
+        near = vector_join.Near(0.2 + 2 * error)
+        for i, j, hold in ((0, 90, True), (90, 200, True), (200, 230, False), (230, 300, False)):
+            near.add(one.slice(i, j - i), hold)
+        found = near.found()
+        root = roots(set(range(300)), list(zip(found["u"].to_pylist(), found["v"].to_pylist())))
+        y = vector_join.unit(x)
+        cosines = y @ y.T
+        linked = np.argwhere(cosines[:200] >= 0.98).tolist()
+        assert sum(i != j for i, j in linked) > 20
+        assert all(root[i] == root[j] for i, j in linked)
+        assert dim == 3 or len(set(root.values())) > 5
+        # Guests are held against held rows only.
+        alone = [i for i in range(200, 300) if cosines[i, :200].max() < 0.8]
+        assert dim == 300 or all(root[i] == i for i in alone)
+
+
 def test_slices_by_bytes():
     """Slices follow the bytes of the texts and need no copy of them; nulls have none."""
     import pyarrow as pa
